@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
 from .language_id import op5_language_id
+from .line_dedup import op7_line_dedup
 from .packing import op10_best_fit_packing
 from .quality import op8_quality_rules
 from .repeats import op1_suffix_dedup
 from .simhash import op2_simhash_near_dedup
 from .url_filter import op9_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash_near_dedup, op3_decontaminate, op5_language_id, op8_quality_rules, op9_url_filter, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash_near_dedup, op3_decontaminate, op5_language_id, op7_line_dedup, op8_quality_rules, op9_url_filter, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -239,7 +239,7 @@ def make_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        block, ids, texts = TaskContext.get().partitionId() << 32, [], []
+        block, ids, texts = TaskContext.get().partitionId() << 16, [], []
         size = 0
 
         def flush() -> pa.RecordBatch:
