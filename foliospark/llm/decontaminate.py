@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, slices, stage, utf8
 
@@ -50,16 +51,15 @@ def automaton(items: list[tuple[str | None, bytes]], window: int):
     return machine if owners else None
 
 
-def scan(text: bytes, machine, ids: list[str | None]) -> tuple[int, np.ndarray, set[str], bytes]:
-    """Words in the text, the hit words' mask (empty if none is hit), listed item ids, folded text."""
-    folded = text.translate(_FOLD)
-    words = folded.split()
+def scan(text: bytes, machine, ids: list[str | None]) -> tuple[int, np.ndarray, set[str], int]:
+    """Words in the text, the hit words' mask (empty if none is hit), listed item ids, words of the longest window hit."""
+    words = text.translate(_FOLD).split()
     if machine is None or not words:
-        return len(words), np.zeros(0, bool), set(), folded
+        return len(words), np.zeros(0, bool), set(), 0
     joined = b" " + b" ".join(words) + b" "
     hits = list(machine.iter(joined.decode("latin-1")))
     if not hits:
-        return len(words), np.zeros(0, bool), set(), folded
+        return len(words), np.zeros(0, bool), set(), 0
     blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     step = np.zeros(len(words) + 1, np.int64)
     found: set[int] = set()
@@ -68,7 +68,7 @@ def scan(text: bytes, machine, ids: list[str | None]) -> tuple[int, np.ndarray,
         step[last - n] += 1
         step[last] -= 1
         found.update(ks)
-    return len(words), np.cumsum(step[:-1]) > 0, {ids[k] for k in found if ids[k] is not None}, folded
+    return len(words), np.cumsum(step[:-1]) > 0, {ids[k] for k in found if ids[k] is not None}, max(n for _, (n, _) in hits)
 
 
 def _slices_of(items: DataFrame, slice_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
@@ -86,18 +86,17 @@ def _slices_of(items: DataFrame, slice_bytes: int) -> Iterator[list[tuple[str |
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items: int = 2, slice_bytes: int = 16 << 20) -> DataFrame:
-    """One row per document: doc_id, text, n_words, n_hit, item_ids, spans, contaminated.
+    """One row per document: doc_id, text, n_words, n_hit, item_ids, longest, spans, contaminated.
 
-    item_ids: the sorted ids of items with a window in the text. spans: maximal runs of hit
+    item_ids: the sorted ids of items with a window in the text. longest: the words of the
+    longest window that occurs. spans: maximal runs of hit
     words as [start, end) byte offsets of the original UTF-8 text.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text").withColumns({"n_words": F.lit(0).cast("bigint"), "mask": F.lit(b""), "item_ids": F.array().cast("array<string>")})
-    arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("mask", pa.binary()), ("item_ids", pa.list_(pa.string()))])
-    doc_type = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    rows = docs.select("doc_id", "text").withColumns({"n_words": F.lit(0).cast("bigint"), "mask": F.lit(b""), "item_ids": F.array().cast("array<string>"), "longest": F.lit(0).cast("bigint")})
     schema = rows.schema
-    out = pa.schema([*list(arrow)[:3], ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+    result = T.StructType([*schema.fields[:3], *T.StructType.fromDDL("n_hit bigint, item_ids array<string>, longest bigint, spans array<struct<start:bigint,end:bigint>>").fields])
+    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,9 +111,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items:
                 at = [m.span() for m in _WORD.finditer(text.translate(_FOLD))]
                 edge = np.diff(np.concatenate([[0], hit, [0]]).astype(np.int8))
                 spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hits, pa.int64()), batch.column(4), pa.array(spans, out.field("spans").type)], schema=out)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hits, pa.int64()), batch.column(4), batch.column(5), pa.array(spans, span_type)], names=result.names)
 
-    result = "doc_id bigint, text string, n_words bigint, n_hit bigint, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>"
     parts = _slices_of(items.select(F.col("item_id").cast("string"), "text"), slice_bytes)
     part = next(parts)
     while part is not None:
@@ -125,15 +123,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items:
             machine, ids = automaton(sent.value, window), [i for i, _ in sent.value]
             for batch in slices(batches):
                 texts = utf8(batch.column(1))
-                n, masks, lists = [], [], []
-                for text, mask, listed in zip(texts, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                    words, hit, found, _ = scan(text, machine, ids)
+                n, masks, lists, longest = [], [], [], []
+                for text, mask, listed, most in zip(texts, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                    words, hit, found, now = scan(text, machine, ids)
                     if mask and len(hit):
                         hit = hit | np.unpackbits(np.frombuffer(mask, np.uint8), count=words).astype(bool)
                     n.append(words)
                     masks.append(np.packbits(hit).tobytes() if len(hit) else mask)
                     lists.append(sorted({*listed, *found}))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(masks, pa.binary()), pa.array(lists, pa.list_(pa.string()))], schema=arrow)
+                    longest.append(max(most, now))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(masks, pa.binary()), pa.array(lists, pa.list_(pa.string())), pa.array(longest, pa.int64())], names=schema.names)
 
         if after is None:
             rows = rows.mapInArrow(lambda batches, mark=mark: finish(mark(batches)), result)
@@ -141,9 +140,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items:
             rows = stage(rows.mapInArrow(mark, schema), "decontaminate")
         part = after
 
-    return rows.withColumn("contaminated", F.size("item_ids") >= min_items).withColumn("doc_id", F.col("doc_id").cast(doc_type))
+    return rows.withColumn("contaminated", F.size("item_ids") >= min_items)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", "spans")
+
+
+def clean_rows(docs: DataFrame, items: DataFrame, window: int = 8, min_items: int = 2) -> DataFrame:
+    """The rows of docs with no full window of an item and windows of fewer than `min_items` items."""
+    rest = F.struct(*[c for c in docs.columns if c != "text"])
+    found = decontaminate(docs.select(rest.alias("doc_id"), "text"), items, window, min_items)
+    return found.where((F.col("longest") < window) & ~F.col("contaminated")).select("doc_id.*", "text").select(docs.columns)

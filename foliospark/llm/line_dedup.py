@@ -27,6 +27,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import connected_components, documents, stage, unstage
 from .repeats import make_blocks
@@ -181,8 +182,11 @@ def _large_band_links(members: DataFrame, lines: DataFrame, links: DataFrame, th
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, text (the lines that stay), n_lines, n_removed."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """One row per document: doc_id, text (the lines that stay), n_lines, n_removed.
+
+    doc_id may be of any type, such as a struct of all other columns.
+    """
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("text string, n_lines bigint, n_removed bigint").fields])
     blocks = stage(make_blocks(docs, BLOCK_BYTES).drop("n_bytes"), "line-blocks")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +259,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
                     removed.append(gone)
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], id_type), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=["doc_id", "text", "n_lines", "n_removed"])
 
-    return _with_lines(blocks, stays).mapInArrow(finish, f"doc_id {kind}, text string, n_lines bigint, n_removed bigint")
+    return _with_lines(blocks, stays).mapInArrow(finish, schema)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, slices, stage, unstage, utf8
 
@@ -236,6 +237,7 @@ def _gathered(ties: DataFrame) -> DataFrame:
 def make_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """Rows (block, doc_ids, sizes, blob, n_bytes): texts in blocks, compressed."""
     kind = docs.schema["doc_id"].dataType
+    schema = T.StructType([*T.StructType.fromDDL("block bigint").fields, T.StructField("doc_ids", T.ArrayType(kind)), *T.StructType.fromDDL("sizes array<bigint>, blob binary, n_bytes bigint").fields])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
@@ -258,7 +260,7 @@ def make_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(build, f"block bigint, doc_ids array<{kind.simpleString()}>, sizes array<bigint>, blob binary, n_bytes bigint")
+    return docs.select("doc_id", "text").mapInArrow(build, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, bucket: int = BUCKET) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import connected_components, documents, slices, stage, utf8
 
@@ -190,3 +191,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) ->
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
+    """The rows of docs with one of each component: that of the least doc_id, else the first read."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = np.array([fingerprint(t, shingle) for t in utf8(batch.column(at))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, "_fp"])
+
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+    own = stage(marked.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
+    roots = connected_components(fingerprint_links(own.select(F.col("_fp").alias("fp")).distinct(), radius))
+    first = own.groupBy("_fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
+    best = first.join(roots, first["_fp"] == roots["node"], "left").groupBy(F.coalesce("root", "_fp")).agg(F.min("first")["_row"].alias("_row"))
+    return own.join(best.select("_row"), "_row", "left_semi").select(docs.columns)
