@@ -10,8 +10,9 @@ from .quality import op8_quality_rules
 from .repeats import op1_suffix_dedup
 from .simhash import op2_simhash_near_dedup
 from .token_counts import op6_token_counts
+from .token_files import op4_token_files
 from .url_filter import op9_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash_near_dedup, op3_decontaminate, op5_language_id, op6_token_counts, op7_line_dedup, op8_quality_rules, op9_url_filter, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash_near_dedup, op3_decontaminate, op4_token_files, op5_language_id, op6_token_counts, op7_line_dedup, op8_quality_rules, op9_url_filter, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
