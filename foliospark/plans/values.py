@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 VALUE, NUM, DIV0, NA, REF, NAME = "#VALUE!", "#NUM!", "#DIV/0!", "#N/A", "#REF!", "#NAME?"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_TYPES = {"num": "double", "str": "string", "bool": "boolean"}
 _RADIX = r"^\s*0[xX][0-9a-fA-F]+\s*$"
 
 
@@ -24,6 +25,7 @@ class Val:
     kind: str
     col: Column
     err: Column | None = None
+    empty: bool = False  # nothing but an error, which fits any kind
 
     def fail(self, *more: Column | None) -> Val:
         return Val(self.kind, self.col, first_error(self.err, *more))
@@ -58,7 +60,7 @@ def boolean(col: Column, *errors: Column | None) -> Val:
 
 
 def error(code: str) -> Val:
-    return Val("num", F.lit(None).cast("double"), F.lit(code))
+    return Val("num", F.lit(None).cast("double"), F.lit(code), True)
 
 
 def literal(x: float | str | bool) -> Val:
@@ -172,9 +174,14 @@ def field(v: Val, kind: str) -> Column:
 
 def choose(branches: list[tuple[Column, Val]], other: Val) -> Val:
     """The first branch whose condition holds; kinds that differ meet as cells, errors only count where chosen."""
-    vals = [v for _, v in branches] + [other]
-    kinds = {v.kind for v in vals}
+    kinds = {v.kind for v in (*(v for _, v in branches), other) if not v.empty} or {"num"}
     same = len(kinds) == 1
+    if same and kinds <= set(_TYPES):
+        (kind,) = kinds
+        fit = lambda v: Val(kind, F.lit(None).cast(_TYPES[kind]), v.err) if v.empty else v
+        branches, other = [(c, fit(v)) for c, v in branches], fit(other)
+    vals = [v for _, v in branches] + [other]
+    same = len({v.kind for v in vals}) == 1
     get = (lambda v: v.col) if same else to_cell
 
     def pick(part) -> Column:
@@ -182,7 +189,7 @@ def choose(branches: list[tuple[Column, Val]], other: Val) -> Val:
         return out.otherwise(part(other))
 
     err = None if all(v.err is None for v in vals) else pick(lambda v: F.lit(None).cast("string") if v.err is None else v.err)
-    return Val(kinds.pop() if same else "cell", pick(get), err)
+    return Val(vals[0].kind if same else "cell", pick(get), err)
 
 
 def compare(symbol: str, a: Val, b: Val) -> Val:
