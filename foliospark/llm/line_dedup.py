@@ -4,15 +4,16 @@ A line is a stretch between newlines with a non-space character, compared lower-
 with white space collapsed. Equal lines are one node: the first occurrence in block order.
 Nodes are similar at Jaccard >= `threshold` over character shingles (a line shorter than one
 shingle is its own only shingle). Signatures of bands * rows minima are banded; with the
-defaults a pair at 0.8 meets in some band with probability 0.997, at 0.9 with 0.9999997.
+defaults a pair at 0.8 meets in two bands or more with probability 0.98, at 0.85 with 0.999.
 
-A band of up to SMALL nodes yields all its pairs. A larger one is compared with its least
-node: those at the threshold link to it and leave; the rest is dealt again until none is
-left. Jaccard distance is a metric, so a node farther than twice the threshold distance from
-the least node cannot be similar to one that left; nearer ones that are not yet in the same
-component are compared with those that left. So no candidate pair that could connect two
-components stays unverified, and no band is gathered. One line of each component stays: the
-least. Everything else of the text stays as it is, blank lines included.
+Bands are compared by size. One of up to SMALL nodes yields its pairs, and pairs that met in
+two bands or more are compared. A larger band is one group of nodes with their texts: each
+node not yet reached is compared with those reached that share two bands with it, so a crowd
+of near copies costs one comparison each and a crowd that only shares a passage none. Bands
+over LARGE nodes are split: nodes with all bands equal are compared with their least, and
+what is left is dealt again under its other bands. So no band is gathered whole and no
+candidate is left out. One line of each component stays: the least. Everything else of the
+text stays as it is, blank lines included.
 
 Null and empty texts have no lines. A text whose lines are all removed keeps its blank lines.
 """
@@ -20,6 +21,7 @@ Null and empty texts have no lines. A text whose lines are all removed keeps its
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 from .common import connected_components, documents, stage, unstage
 from .repeats import make_blocks
 
-SHINGLE, BANDS, ROWS, THRESHOLD, SMALL = 5, 20, 6, 0.8, 16
+SHINGLE, BANDS, ROWS, THRESHOLD, SMALL, LARGE = 5, 20, 6, 0.8, 16, 4096
 BLOCK_BYTES = 2 << 20
 _INDEX_BITS = 26  # of a line id; the block is above
 
@@ -79,23 +81,30 @@ def signatures(lines: list[str], bands: int = BANDS, rows: int = ROWS, shingle:
     for first in range(0, len(lines), 256):
         part = lines[first : first + 256]
         codes, starts = shingle_codes(part, shingle)
+        x = np.empty_like(codes)
         for b in range(bands):
             key = np.full(len(part), b + 1, np.uint64)
             for r in range(rows):
-                x = codes * mult[b * rows + r]
-                x ^= x >> np.uint32(15)
+                np.multiply(codes, mult[b * rows + r], out=x)
                 key = (key ^ np.minimum.reduceat(x, starts)) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
             out[first : first + 256, b] = key
     return out
 
 
-def jaccard(a: str, b: str, size: int = SHINGLE) -> float:
-    x, y = ({t[i : i + size] for i in range(max(1, len(t) - size + 1))} for t in (a, b))
+def shingle_set(line: str, size: int = SHINGLE) -> frozenset[str]:
+    return frozenset(line[i : i + size] for i in range(max(1, len(line) - size + 1)))
+
+
+def similarity(x: frozenset[str], y: frozenset[str]) -> float:
     both = len(x & y)
     return both / (len(x) + len(y) - both)
 
 
+def jaccard(a: str, b: str, size: int = SHINGLE) -> float:
+    return similarity(shingle_set(a, size), shingle_set(b, size))
+
+
 def _with_lines(blocks: DataFrame, ids: DataFrame) -> DataFrame:
     """blocks left-joined with chosen: the sorted indexes of the line ids (column id) that fall in each."""
     chosen = ids.groupBy(F.shiftright("id", _INDEX_BITS).alias("block")).agg(F.sort_array(F.collect_list(F.col("id").bitwiseAND(F.lit((1 << _INDEX_BITS) - 1)))).alias("chosen"))
@@ -147,8 +156,9 @@ def _verified(pairs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
     """pairs(a, b) with their exact Jaccard similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = lru_cache(maxsize=4096)(lambda line: shingle_set(line, shingle))
         for batch in batches:
-            s = [jaccard(x, y, shingle) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            s = [similarity(sets(x), sets(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
     left, right = lines.select(F.col("id").alias("a"), F.col("line").alias("line_a")), lines.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
@@ -156,29 +166,81 @@ def _verified(pairs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
     return stage(both.mapInArrow(compare, "a bigint, b bigint, similarity double"), "line-verified")
 
 
-def _large_band_links(members: DataFrame, lines: DataFrame, links: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """links and those of bands too large for all pairs, by rounds of comparison with the least node."""
-    left = members
-    misses = None  # (key, least, id) nearer than twice the threshold distance, but not linked
-    gone = None  # (key, least, id) linked
-    while not left.isEmpty():
-        least = left.groupBy("key").agg(F.min("id").alias("least"))
-        stars = left.join(least, "key").where("id <> least")
-        seen = _verified(stars.select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), lines, shingle)
-        judged = stage(stars.join(seen, (F.col("least") == F.col("a")) & (F.col("id") == F.col("b"))).select("key", "least", "id", "similarity"), "line-band")
-        links = links.union(seen.where(F.col("similarity") >= threshold).select("a", "b"))
-        near = judged.where(F.col("similarity") >= threshold).select("key", "least", "id")
-        mid = judged.where((F.col("similarity") < threshold) & (1 - F.col("similarity") <= 2 * (1 - threshold) + 1e-9)).select("key", "least", "id")
-        gone = near if gone is None else gone.union(near)
-        misses = mid if misses is None else misses.union(mid)
-        left = judged.where(F.col("similarity") < threshold).select("key", "id")
-    if misses is None or misses.isEmpty():
-        return links
-    label = connected_components(links)
-    here, there = label.select(F.col("node").alias("id"), F.col("root").alias("r1")), label.select(F.col("node").alias("other"), F.col("root").alias("r2"))
-    apart = misses.join(here, "id", "left").join(gone.withColumnRenamed("id", "other"), ["key", "least"]).join(there, "other", "left")
-    more = apart.where("not (r1 <=> r2)").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    return links.union(_verified(more, lines, shingle).where(F.col("similarity") >= threshold).select("a", "b"))
+def _crowd(ids: list[int], lines: list[str], sketches: np.ndarray, threshold: float, shingle: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the similar pairs that share two bands or more, breadth first."""
+    sets: dict[int, frozenset[str]] = {}
+
+    def of(k: int) -> frozenset[str]:
+        if k not in sets:
+            sets[k] = shingle_set(lines[k], shingle)
+        return sets[k]
+
+    left, queue = np.arange(1, len(ids)), [0]
+    while queue or len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        k = queue.pop()
+        near = np.flatnonzero((sketches[left] == sketches[k]).sum(axis=1) >= 2)
+        hit = [i for i in near.tolist() if similarity(of(k), of(int(left[i]))) >= threshold]
+        for i in hit:
+            yield ids[k], ids[int(left[i])]
+            queue.append(int(left[i]))
+        left = np.delete(left, hit)
+        sets.pop(k, None)
+
+
+def _crowds(batches: Iterator[pa.RecordBatch], bands: int, threshold: float, shingle: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, line, sketch) sorted by key: links (a, b, null); (null, id, key) of groups over the limit."""
+    now, group, over = None, [], False
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if len(group) > 1:
+            found = list(_crowd([g[0] for g in group], [g[1] for g in group], np.array([np.frombuffer(g[2], np.uint32) for g in group]), threshold, shingle))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64()), pa.nulls(len(found), pa.int64())], names=["a", "b", "key"])
+
+    def pass_on() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(group), pa.int64()), pa.array([g[0] for g in group], pa.int64()), pa.array([now] * len(group), pa.int64())], names=["a", "b", "key"])
+
+    for batch in batches:
+        for key, node, line, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != now:
+                if over:
+                    yield pass_on()
+                else:
+                    yield from flush()
+                now, group, over = key, [], False
+            group.append((node, line, sketch))
+            if len(group) > limit:
+                over = True
+                yield pass_on()
+                group = []
+    if over:
+        yield pass_on()
+    else:
+        yield from flush()
+
+
+def _large_band_links(members: DataFrame, lines: DataFrame, bands: int, threshold: float, shingle: int, limit: int = LARGE) -> DataFrame:
+    """Links of the bands too large for all pairs: members(key, id), lines(id, line, sketch)."""
+    links = None
+    while True:
+        rows = members.join(lines, "id").select("key", "id", "line", "sketch")
+        ordered = rows.repartition("key").sortWithinPartitions("key", "id")
+        met = stage(ordered.mapInArrow(lambda batches: _crowds(batches, bands, threshold, shingle, limit), "a bigint, b bigint, key bigint"), "line-crowds")
+        part = met.where("key is null").select("a", "b")
+        links = part if links is None else links.union(part)
+        over = met.where("key is not null").select("key", F.col("b").alias("id"))
+        if over.isEmpty():
+            return links
+        with_sketch = stage(over.join(lines.select("id", "sketch"), "id"), "line-over")
+        one = with_sketch.select("id", "sketch").distinct()
+        stars = one.join(one.groupBy("sketch").agg(F.min("id").alias("a")), "sketch").where("a <> id").select("a", F.col("id").alias("b"))
+        alike = _verified(stars, lines, shingle).where(F.col("similarity") >= threshold).select("a", "b")
+        links = links.union(alike)
+        rest = with_sketch.join(alike.select(F.col("b").alias("id")), "id", "left_anti")
+        parts = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64("key", k, F.substring("sketch", k * 4 + 1, F.lit(4))))
+        members = rest.select("id", F.explode(parts).alias("key"))
+        limit *= 2  # a split that does not shrink ends all the same
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
@@ -217,23 +279,23 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
     light = blocks.select("block", "sizes", "blob")
     banded = _with_lines(light, owners).mapInArrow(band, "key bigint, id bigint")
     met = stage(banded.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_band_pairs, "a bigint, b bigint, key bigint"), "line-bands")
-    pairs = met.where("key is null").select("a", "b").distinct()
+    pairs = stage(met.where("key is null").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2").select("a", "b"), "line-pairs")
     large = met.where("key is not null").select("key", F.col("b").alias("id"))
-    wanted = met.select(F.col("b").alias("id")).union(met.where("a is not null").select("a")).distinct()
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct()
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 if row["chosen"]:
                     ids, lines = chosen_lines(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lines, pa.string())], names=["id", "line"])
+                    sketch = signatures(lines, bands, rows, shingle).astype(np.uint32)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lines, pa.string()), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["id", "line", "sketch"])
 
-    lines = stage(_with_lines(light, wanted).mapInArrow(fetch, "id bigint, line string"), "line-texts")
+    lines = stage(_with_lines(light, wanted).mapInArrow(fetch, "id bigint, line string, sketch binary"), "line-texts")
     links = _verified(pairs, lines, shingle).where(F.col("similarity") >= threshold).select("a", "b")
-    links = _large_band_links(large, lines, links, threshold, shingle)
-    components = connected_components(links)
+    components = connected_components(links.union(_large_band_links(large, lines, bands, threshold, shingle)))
     stays = owners.join(components.where("node <> root").select(F.col("node").alias("id")), "id", "left_anti")
-    for done in (met, lines):
+    for done in (met, pairs, lines):
         unstage(done)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
