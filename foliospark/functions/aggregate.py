@@ -401,6 +401,14 @@ def _rank(args, plan):
     x, e = to_num(args[0])
     up = to_num(args[2])[0] != 0 if len(args) > 2 else F.lit(False)
     y = _number(args[1])
+    if plan.window is not None and id(args[0]) not in plan.literals:
+        down = not (len(args) > 2 and plan.literals.get(id(args[2])))
+        if str(args[0].col) == str(args[1].val.col):  # this row's own value
+            place = F.rank().over(plan.window.orderBy(y.desc_nulls_last() if down else y.asc_nulls_last()))
+            return exact(place.cast("double"), e, F.when(y.isNull(), NA))
+        ys = plan(F.collect_list(y))
+        place = F.size(F.filter(ys, lambda v: v > x if down else v < x)) + 1
+        return exact(place.cast("double"), e, F.when(~F.array_contains(ys, x), NA))
     beyond = plan(F.count_if(F.coalesce(F.when(up, y < x).otherwise(y > x), F.lit(False))))
     there = plan(F.count_if(F.coalesce(y == x, F.lit(False))))
     return exact((beyond + 1).cast("double"), e, F.when(there == 0, NA))
@@ -492,6 +500,8 @@ def _match(args, plan):
     """Position in the range's order (plan.order counts from 1)."""
     if not isinstance(args[1], Range) or plan.order is None:
         return error(VALUE)
+    if plan.window is not None and id(args[0]) not in plan.literals:
+        raise NotImplementedError("look up a column's own values with operators.lookup")
     kind = to_num(args[2])[0] if len(args) > 2 else F.lit(1.0)
     v, at = args[1].val, plan.order
     wild = plan.literals.get(id(args[0]))
