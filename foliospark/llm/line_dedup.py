@@ -1,7 +1,7 @@
 """Fuzzy line deduplication over the whole corpus: MinHash bands, exact Jaccard, union-find.
 
-A line is a stretch between newlines with a non-space character, compared lower-cased and
-with white space collapsed. Equal lines are one node: the first occurrence in block order.
+A line is a stretch between newlines with a character other than ASCII white space, compared
+with A-Z lower-cased and that white space collapsed. Equal lines are one node: the first occurrence in block order.
 Nodes are similar at Jaccard >= `threshold` over character shingles (a line shorter than one
 shingle is its own only shingle). Signatures of bands * rows minima are banded; with the
 defaults a pair at 0.8 meets in two bands or more with probability 0.98, at 0.85 with 0.999.
@@ -20,6 +20,7 @@ Null and empty texts have no lines. A text whose lines are all removed keeps its
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,14 +38,27 @@ from .repeats import make_blocks
 SHINGLE, BANDS, ROWS, THRESHOLD, SMALL, LARGE = 5, 20, 6, 0.8, 16, 4096
 BLOCK_BYTES = 2 << 20
 _INDEX_BITS = 26  # of a line id; the block is above
+_MIX = np.random.default_rng(11).integers(0, 2**31, 64, np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+_SPACE = " \t\r\f\v"
+_SPACES = re.compile(f"[{_SPACE}]+")
+
+
+def _collapsed(line: str) -> str:
+    if "  " in line or "\t" in line or "\r" in line or "\f" in line or "\v" in line:
+        line = _SPACES.sub(" ", line)
+    return line.strip(" ")
 
 
 def normal(line: str) -> str:
-    return " ".join(line.lower().split())
+    """A-Z lower-cased and ASCII white space collapsed; empty if there is nothing else."""
+    return _collapsed(line.encode("utf-8", "replace").lower().decode())
 
 
-def block_texts(blob: bytes, sizes: list[int]) -> Iterator[str]:
+def block_texts(blob: bytes, sizes: list[int], lower: bool = False) -> Iterator[str]:
     data, at = zstandard.ZstdDecompressor().decompress(blob), 0
+    data = data.lower() if lower else data
     for n in sizes:
         yield data[at : at + n].decode("utf-8", "replace")
         at += n
@@ -52,25 +66,30 @@ def block_texts(blob: bytes, sizes: list[int]) -> Iterator[str]:
 
 def block_lines(blob: bytes, sizes: list[int]) -> list[str]:
     """The normalised lines of a block in order; a line's index here is its place in its id."""
-    return [x for t in block_texts(blob, sizes) for line in t.split("\n") if (x := normal(line))]
+    return [x for t in block_texts(blob, sizes, True) for line in t.split("\n") if (x := _collapsed(line))]
 
 
 def shingle_codes(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """32-bit codes of all lines' shingles, and where each line's start; every line has one or more."""
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
-    full = np.concatenate([codes, np.zeros(size, np.uint64)])
-    mixed = np.zeros(len(codes), np.uint64)
-    left = np.repeat(ends, lengths) - np.arange(len(codes))
-    for k in range(size):  # characters past the line's end count as none
-        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + np.where(left > k, full[k : k + len(codes)] + np.uint64(1), np.uint64(0))
-        mixed ^= mixed >> np.uint64(31)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    keep = (left >= size) | (np.arange(len(codes)) == np.repeat(starts, lengths))
-    count = np.add.reduceat(keep.astype(np.int64), starts)
-    return (mixed[keep] >> np.uint64(32)).astype(np.uint32), np.cumsum(count) - count
+    starts = np.cumsum(lengths) - lengths
+    count = np.maximum(lengths - size + 1, 1)
+    firsts = np.cumsum(count) - count
+    full = np.concatenate([codes + np.uint32(1), np.zeros(size, np.uint32)])
+    mixed = np.zeros(len(codes), np.uint32)
+    for k, m in enumerate(_MIX[:size]):
+        mixed += full[k : k + len(codes)] * m
+    for k in np.flatnonzero(lengths < size).tolist():  # characters past the line's end count as none
+        at, n = int(starts[k]), int(lengths[k])
+        mixed[at] = np.sum(full[at : at + n] * _MIX[:n], dtype=np.uint32)
+    kept = mixed[np.repeat(starts - firsts, count) + np.arange(int(count.sum()))]
+    kept ^= kept >> np.uint32(16)
+    kept *= np.uint32(0x85EBCA6B)
+    kept ^= kept >> np.uint32(13)
+    kept *= np.uint32(0xC2B2AE35)
+    kept ^= kept >> np.uint32(16)
+    return kept, firsts
 
 
 def signatures(lines: list[str], bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> np.ndarray:
@@ -112,7 +131,7 @@ def _with_lines(blocks: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _band_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id) sorted: all pairs (a, b, null) of small bands, members (null, id, key) of large ones."""
+    """Rows (key, id) sorted by key: all pairs (a, b, null) of small bands, members (null, id, key) of large ones."""
 
     def rows(a, b, key) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (a, b, key)], names=["a", "b", "key"])
@@ -148,7 +167,8 @@ def _band_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in range(1, SMALL):
             pair = g[s:] == g[:-s] if len(g) > s else np.zeros(0, bool)
             if pair.any():
-                yield rows(n[:-s][pair], n[s:][pair], none(int(pair.sum())))
+                x, y = n[:-s][pair], n[s:][pair]
+                yield rows(np.minimum(x, y), np.maximum(x, y), none(len(x)))
         key, node = key[~big & last], node[~big & last]
 
 
@@ -225,7 +245,7 @@ def _large_band_links(members: DataFrame, lines: DataFrame, bands: int, threshol
     links = None
     while True:
         rows = members.join(lines, "id").select("key", "id", "line", "sketch")
-        ordered = rows.repartition("key").sortWithinPartitions("key", "id")
+        ordered = rows.repartition("key").sortWithinPartitions("key")
         met = stage(ordered.mapInArrow(lambda batches: _crowds(batches, bands, threshold, shingle, limit), "a bigint, b bigint, key bigint"), "line-crowds")
         part = met.where("key is null").select("a", "b")
         links = part if links is None else links.union(part)
@@ -278,7 +298,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
 
     light = blocks.select("block", "sizes", "blob")
     banded = _with_lines(light, owners).mapInArrow(band, "key bigint, id bigint")
-    met = stage(banded.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_band_pairs, "a bigint, b bigint, key bigint"), "line-bands")
+    met = stage(banded.repartition("key").sortWithinPartitions("key").mapInArrow(_band_pairs, "a bigint, b bigint, key bigint"), "line-bands")
     pairs = stage(met.where("key is null").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2").select("a", "b"), "line-pairs")
     large = met.where("key is not null").select("key", F.col("b").alias("id"))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct()
@@ -307,7 +327,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
                 for text in block_texts(row["blob"], row["sizes"]):
                     out, n, gone = [], 0, 0
                     for line in text.split("\n"):
-                        if not line or line.isspace():
+                        if not line.strip(_SPACE):
                             out.append(line)
                             continue
                         n += 1
