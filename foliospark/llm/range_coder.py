@@ -3,8 +3,8 @@
 Ids are cut into blocks that are reset and checksummed independently, and all blocks of a
 segment are coded together, one id a step, with numpy across blocks. For each id the models
 predict: order 2 (by the last two ids), order 1 (by the last id) and order 0 (the block's
-commonest id). The event coded is the first predictor that is right, or else the id's bit
-length, followed by its lower bits. The event's distribution mixes one adaptive table chosen
+commonest id). The event coded is the first predictor that is right, or else the id's size
+class, followed by its place in the class. The event's distribution mixes one adaptive table chosen
 by the order-2 and order-1 predictors' confidence with one that is not, by a weight that
 follows whichever has served the block better. Arithmetic is in integers only, so encoder
 and decoder agree anywhere.
@@ -20,57 +20,65 @@ import zlib
 import numpy as np
 
 MAGIC, BLOCK, MAX_ID = 0x31435446, 4096, 1 << 17
-_EVENTS = 3 + 18  # predictors, then bit lengths 0 to 17
-_SCALE = 65536 - 32 * _EVENTS  # every event keeps at least 32 of 65536
-_T2, _T1, _T0 = 4096, 2048, 1024
+#: Events: which predictor is right, else the id's size class: 0, then two bit lengths each.
+_EVENTS = 3 + 10
+_LIMIT = 2000  # a table's counts are halved beyond this, so frequencies stay below 2**16
+_T2, _T1, _T0 = 1024, 1024, 512
 _ONE, _FULL = np.uint64(1), np.uint64(2**64 - 1)
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _W, _TOP_SHIFT = np.uint64(16), np.uint64(48)
 
 
 class _Model:
-    """The predictors and event tables of n blocks."""
+    """The predictors and event counts of n blocks."""
 
     def __init__(self, n: int):
         self.row = np.arange(n)
-        self.id2, self.sure2 = np.zeros(n * _T2, np.int32), np.zeros(n * _T2, np.int8)
-        self.id1, self.sure1 = np.zeros(n * _T1, np.int32), np.zeros(n * _T1, np.int8)
+        self.two, self.one = np.zeros(n * _T2, np.int32), np.zeros(n * _T1, np.int32)  # id * 4 + confidence
         self.seen, self.best, self.times = np.zeros(n * _T0, np.int16), np.zeros(n, np.int32), np.zeros(n, np.int16)
-        start = np.arange(_EVENTS + 1) * _SCALE // _EVENTS
-        self.mixed_in = np.broadcast_to(start, (n * 16, _EVENTS + 1)).astype(np.int32)
-        self.plain = np.broadcast_to(start, (n, _EVENTS + 1)).astype(np.int32)
+        self.by_context, self.plain = np.zeros((n * 16, _EVENTS), np.int32), np.zeros((n, _EVENTS), np.int32)
+        self.held = np.zeros(n * 16, np.int32), np.zeros(n, np.int32)  # the tables' totals
         self.weight = np.full(n, 8, np.int32)
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        place = np.arange(_EVENTS + 1)
-        self.target = np.where(place[None, :] > place[:_EVENTS, None], _SCALE, 0).astype(np.int32)
-        self.floor = (32 * place).astype(np.int32)
+        self.base2, self.base1, self.base0, self.base_c = self.row * _T2, self.row * _T1, self.row * _T0, self.row * 16
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Predictions of order 2, 1 and 0, and the cumulative event table of 65536."""
-        row, last = self.row[:n], self.last[:n]
-        self.at2 = row * _T2 + ((self.before[:n] * 40503 + last * 10007) >> 3 & (_T2 - 1))
-        self.at1 = row * _T1 + (last * 40503 >> 4 & (_T1 - 1))
-        self.context = row * 16 + self.sure2[self.at2] * 4 + self.sure1[self.at1]
-        self.a, self.b = self.mixed_in[self.context], self.plain[:n]
+        """Predictions of order 2, 1 and 0, and the cumulative event frequencies."""
+        last = self.last[:n]
+        self.at2 = self.base2[:n] + ((self.before[:n] * 40503 + last * 10007) >> 3 & (_T2 - 1))
+        self.at1 = self.base1[:n] + (last * 40503 >> 4 & (_T1 - 1))
+        self.got2, self.got1 = self.two[self.at2], self.one[self.at1]
+        self.context = self.base_c[:n] + (self.got2 & 3) * 4 + (self.got1 & 3)
         w = self.weight[:n, None]
-        return self.id2[self.at2], self.id1[self.at1], self.best[:n], ((self.a * w + self.b * (16 - w)) >> 4) + self.floor
+        mixed = self.by_context[self.context]
+        mixed *= w
+        mixed += self.plain[:n] * (16 - w)
+        mixed += 4
+        return self.got2 >> 2, self.got1 >> 2, self.best[:n], np.cumsum(mixed, axis=1, out=mixed)
 
     def update(self, n: int, ids: np.ndarray, event: np.ndarray) -> None:
-        row = self.row[:n]
-        flat = row * (_EVENTS + 1) + event
-        a, b = self.a.reshape(-1), self.b.reshape(-1)
-        better = (a[flat + 1] - a[flat]) - (b[flat + 1] - b[flat])
+        row, ids = self.row[:n], ids.astype(np.int32)
+        for table, held, at, side in ((self.by_context, self.held[0], self.context, 0), (self.plain, self.held[1], row, 1)):
+            flat = table.reshape(-1)
+            place = at * _EVENTS + event
+            now = flat[place] + 24
+            flat[place] = now
+            total = held[at] + 24
+            held[at] = total
+            share = now * 1024 // total
+            better = share if not side else better - share
+            full = np.flatnonzero(total > _LIMIT)
+            if len(full):
+                rows = at[full]
+                table[rows] >>= 1
+                held[rows] = table[rows].sum(axis=1)
         self.weight[:n] = np.clip(self.weight[:n] + np.sign(better), 1, 15)
-        target = self.target[event]
-        self.mixed_in[self.context] = self.a + ((target - self.a) >> 4)
-        self.plain[:n] += (target - self.b) >> 5
-        for table, sure, at in ((self.id2, self.sure2, self.at2), (self.id1, self.sure1, self.at1)):
-            right = table[at] == ids
-            s = sure[at]
-            table[at] = np.where(right | (s > 0), table[at], ids)
-            sure[at] = np.where(right, np.minimum(s + 1, 3), np.maximum(s - 1, 0))
-        at0 = row * _T0 + (ids & (_T0 - 1))
-        count = np.minimum(self.seen[at0] + 1, 32000).astype(np.int16)
+        for table, got, at in ((self.two, self.got2, self.at2), (self.one, self.got1, self.at1)):
+            sure = got & 3
+            right = got >> 2 == ids
+            table[at] = np.where(right, got + (sure < 3), np.where(sure > 0, got - 1, ids << 2))
+        at0 = self.base0[:n] + (ids & (_T0 - 1))
+        count = np.minimum(self.seen[at0], 32000) + np.int16(1)
         self.seen[at0] = count
         more = count > self.times[:n]
         self.best[:n] = np.where(more, ids, self.best[:n])
@@ -78,8 +86,11 @@ class _Model:
         self.before[:n], self.last[:n] = self.last[:n], ids
 
 
-def _bit_length(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
+#: Class k > 0 holds the ids of 2k - 1 and 2k bits.
+_CLASS = np.array([(x.bit_length() + 1) // 2 for x in range(MAX_ID)], np.int64)
+_FIRST = np.array([0, 0, 0, *(0 if k == 0 else 4 ** (k - 1) for k in range(10))], np.int64)
+_SPAN = np.array([1, 1, 1, *(1 if k == 0 else 3 * 4 ** (k - 1) for k in range(10))], np.uint64)
+_RAW = np.array([0, 0, 0, *[1] * 10], np.uint64)
 
 
 class _Encoder:
@@ -87,9 +98,9 @@ class _Encoder:
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, _FULL)
         self.out, self.used = np.zeros((n, words), np.uint16), np.zeros(n, np.int64)
 
-    def put(self, n: int, start: np.ndarray, size: np.ndarray, bits: np.ndarray) -> None:
-        """Narrow to [start, start + size) of 2**bits."""
-        r = self.range[:n] >> bits
+    def put(self, n: int, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
+        """Narrow to [start, start + size) of total."""
+        r = self.range[:n] // total
         self.low[:n] += r * start
         self.range[:n] = r * size
         self.settle(n)
@@ -126,9 +137,9 @@ class _Decoder:
             self.code = self.code << _W | self.words[self.next]
             self.next += 1
 
-    def peek(self, n: int, bits: np.ndarray) -> np.ndarray:
-        self.r = self.range[:n] >> bits
-        return np.minimum((self.code[:n] - self.low[:n]) // self.r, (_ONE << bits) - _ONE)
+    def peek(self, n: int, total: np.ndarray) -> np.ndarray:
+        self.r = self.range[:n] // total
+        return np.minimum((self.code[:n] - self.low[:n]) // self.r, total - _ONE)
 
     def take(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
         self.low[:n] += self.r * start
@@ -139,7 +150,7 @@ class _Decoder:
             lo, r = low[go], rng[go]
             apart = (lo ^ (lo + r)) >= _TOP
             r = np.where(apart, (~lo + _ONE) & (_BOTTOM - _ONE), r)
-            code[go] = code[go] << _W | self.words[self.next[go]]
+            code[go] = code[go] << _W | self.words[np.minimum(self.next[go], len(self.words) - 1)]  # damaged input must not read past the end
             self.next[go] += 1
             lo, r = lo << _W, r << _W
             low[go], rng[go] = lo, r
@@ -163,13 +174,11 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         m = n if k < sizes[-1] else n - 1  # only the last block can be short
         now = grid[k, :m]
         p2, p1, p0, table = model.predict(m)
-        length = _bit_length(now)
-        event = np.where(now == p2, 0, np.where(now == p1, 1, np.where(now == p0, 2, 3 + length)))
-        flat, at = table.reshape(-1), model.row[:m] * (_EVENTS + 1) + event
-        start = flat[at].astype(np.uint64)
-        coder.put(m, start, flat[at + 1].astype(np.uint64) - start, _W)
-        bits = np.where(event < 3, 0, np.maximum(length - 1, 0))
-        coder.put(m, (now & ((1 << bits) - 1)).astype(np.uint64), _ONE, bits.astype(np.uint64))
+        event = np.where(now == p2, 0, np.where(now == p1, 1, np.where(now == p0, 2, 3 + _CLASS[now])))
+        flat, at = table.reshape(-1), model.row[:m] * _EVENTS + event
+        start = np.where(event > 0, flat[at - 1], 0).astype(np.uint64)
+        coder.put(m, start, flat[at].astype(np.uint64) - start, table[:, -1].astype(np.uint64))
+        coder.put(m, (now - _FIRST[event]).astype(np.uint64) * _RAW[event], _ONE, _SPAN[event])
         model.update(m, now, event)
     coder.finish()
     crc = [zlib.crc32(ids[block * k : block * k + int(s)].tobytes()) for k, s in enumerate(sizes)]
@@ -189,22 +198,18 @@ def decode(data: bytes) -> np.ndarray:
     if len(data) != 12 + 12 * n + 2 * int(used.sum()) or (n and (sizes.max() > block or (sizes[:-1] != block).any())):
         raise ValueError("the segment's length does not fit its header")
     coder, model = _Decoder(np.frombuffer(data, "<u2", int(used.sum()), 12 + 12 * n), np.cumsum(used) - used), _Model(n)
-    limit = len(coder.words) - 1
     grid = np.zeros((block if n else 0, n), np.int64)
     for k in range(int(sizes[0]) if n else 0):
         m = n if k < sizes[-1] else n - 1
         p2, p1, p0, table = model.predict(m)
-        value = coder.peek(m, _W)
-        event = (table <= value[:, None].astype(np.int64)).sum(axis=1) - 1
-        event = np.minimum(event, _EVENTS - 1)
-        flat, at = table.reshape(-1), model.row[:m] * (_EVENTS + 1) + event
-        start = flat[at].astype(np.uint64)
-        coder.take(m, start, flat[at + 1].astype(np.uint64) - start)
-        bits = np.where(event < 3, 0, np.maximum(event - 4, 0))
-        lower = coder.peek(m, bits.astype(np.uint64))
+        value = coder.peek(m, table[:, -1].astype(np.uint64)).astype(np.int32)
+        event = np.minimum((table <= value[:, None]).sum(axis=1), _EVENTS - 1)
+        flat, at = table.reshape(-1), model.row[:m] * _EVENTS + event
+        start = np.where(event > 0, flat[at - 1], 0).astype(np.uint64)
+        coder.take(m, start, flat[at].astype(np.uint64) - start)
+        lower = coder.peek(m, _SPAN[event])
         coder.take(m, lower, _ONE)
-        np.minimum(coder.next, limit, out=coder.next)  # damaged input must not read past the end
-        now = np.where(event == 0, p2, np.where(event == 1, p1, np.where(event == 2, p0, np.where(event == 3, 0, (1 << bits) | lower.astype(np.int64)))))
+        now = np.where(event == 0, p2, np.where(event == 1, p1, np.where(event == 2, p0, _FIRST[event] + lower.astype(np.int64))))
         grid[k, :m] = now
         model.update(m, now, event)
     flat = grid.T.reshape(-1)[: int(sizes.sum())].astype("<u4")
