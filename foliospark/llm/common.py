@@ -24,17 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Existing files are deleted when the JVM ends."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back, which cuts its lineage.
 
     The files survive lost executors and are deleted when the JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

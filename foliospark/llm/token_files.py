@@ -12,7 +12,6 @@ repeat a doc_id are ordered by text, and equal rows are written once each.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import documents, shared_dir, slices
+from .common import delete_at_exit, documents, fresh_path, slices
 from .tokens import default_path, encoder, with_end
 
 SEGMENT_IDS = 4 << 20
@@ -94,6 +93,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "token-files")
     write_token_files(documents(spark, sf_dir), path, default_path())
+    delete_at_exit(spark, path)
     return read_token_files(spark, path, with_ids=False)
