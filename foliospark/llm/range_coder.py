@@ -25,7 +25,7 @@ _EVENTS = 3 + 10
 _LIMIT = 2000  # a table's counts are halved beyond this, so frequencies stay below 2**16
 _T2, _T1, _T0 = 1024, 1024, 512
 _ONE, _FULL = np.uint64(1), np.uint64(2**64 - 1)
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
+_TOP = _BOTTOM = np.uint64(1 << 48)  # the range is kept at 48 bits or more: an event and its place fit before it is settled
 _W, _TOP_SHIFT = np.uint64(16), np.uint64(48)
 
 
@@ -103,7 +103,6 @@ class _Encoder:
         r = self.range[:n] // total
         self.low[:n] += r * start
         self.range[:n] = r * size
-        self.settle(n)
 
     def settle(self, n: int) -> None:
         low, rng = self.low[:n], self.range[:n]
@@ -144,6 +143,8 @@ class _Decoder:
     def take(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
         self.low[:n] += self.r * start
         self.range[:n] = self.r * size
+
+    def settle(self, n: int) -> None:
         low, rng, code = self.low[:n], self.range[:n], self.code[:n]
         go = np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _BOTTOM))
         while len(go):
@@ -169,7 +170,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     grid = np.zeros(n * block, np.int64)
     grid[: len(ids)] = ids
     grid = grid.reshape(n, block).T.copy()
-    coder, model = _Encoder(n, 2 * block + 16), _Model(n)
+    coder, model = _Encoder(n, 2 * block + 64), _Model(n)
     for k in range(int(sizes[0]) if n else 0):
         m = n if k < sizes[-1] else n - 1  # only the last block can be short
         now = grid[k, :m]
@@ -179,6 +180,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         start = np.where(event > 0, flat[at - 1], 0).astype(np.uint64)
         coder.put(m, start, flat[at].astype(np.uint64) - start, table[:, -1].astype(np.uint64))
         coder.put(m, (now - _FIRST[event]).astype(np.uint64) * _RAW[event], _ONE, _SPAN[event])
+        coder.settle(m)
         model.update(m, now, event)
     coder.finish()
     crc = [zlib.crc32(ids[block * k : block * k + int(s)].tobytes()) for k, s in enumerate(sizes)]
@@ -209,6 +211,7 @@ def decode(data: bytes) -> np.ndarray:
         coder.take(m, start, flat[at].astype(np.uint64) - start)
         lower = coder.peek(m, _SPAN[event])
         coder.take(m, lower, _ONE)
+        coder.settle(m)
         now = np.where(event == 0, p2, np.where(event == 1, p1, np.where(event == 2, p0, _FIRST[event] + lower.astype(np.int64))))
         grid[k, :m] = now
         model.update(m, now, event)
