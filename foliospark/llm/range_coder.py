@@ -10,7 +10,7 @@ follows whichever has served the block better. Arithmetic is in integers only, s
 and decoder agree anywhere.
 
 Segment: magic, blocks and block size (3 x uint32); per block ids, 16-bit words and crc32 of
-the ids (3 x uint32); then the blocks' words. All little-endian.
+the ids and then the words (3 x uint32); then the blocks' words. All little-endian.
 """
 
 from __future__ import annotations
@@ -183,9 +183,9 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         coder.settle(m)
         model.update(m, now, event)
     coder.finish()
-    crc = [zlib.crc32(ids[block * k : block * k + int(s)].tobytes()) for k, s in enumerate(sizes)]
-    head = np.concatenate([[MAGIC, n, block], np.stack([sizes, coder.used, crc], axis=1).reshape(-1) if n else []]).astype("<u4")
     body = [coder.out[k, : coder.used[k]].astype("<u2").tobytes() for k in range(n)]
+    crc = [zlib.crc32(body[k], zlib.crc32(ids[block * k : block * k + int(s)].tobytes())) for k, s in enumerate(sizes)]
+    head = np.concatenate([[MAGIC, n, block], np.stack([sizes, coder.used, crc], axis=1).reshape(-1) if n else []]).astype("<u4")
     return head.tobytes() + b"".join(body)
 
 
@@ -216,7 +216,9 @@ def decode(data: bytes) -> np.ndarray:
         grid[k, :m] = now
         model.update(m, now, event)
     flat = grid.T.reshape(-1)[: int(sizes.sum())].astype("<u4")
+    ends = 12 + 12 * n + 2 * np.cumsum(used)
     for k in range(n):
-        if zlib.crc32(flat[block * k : block * k + int(sizes[k])].tobytes()) != crc[k]:
+        body = data[int(ends[k]) - 2 * int(used[k]) : int(ends[k])]
+        if zlib.crc32(body, zlib.crc32(flat[block * k : block * k + int(sizes[k])].tobytes())) != crc[k]:
             raise ValueError(f"block {k} fails its checksum")
     return flat
