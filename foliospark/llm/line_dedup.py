@@ -4,13 +4,13 @@ A line is a stretch between newlines with a character other than ASCII white spa
 with A-Z lower-cased and that white space collapsed. Equal lines are one node: the first occurrence in block order.
 Nodes are similar at Jaccard >= `threshold` over character shingles (a line shorter than one
 shingle is its own only shingle). Signatures of bands * rows minima are banded; with the
-defaults a pair at 0.8 meets in two bands or more with probability 0.98, at 0.85 with 0.999.
+defaults a pair at 0.8 meets in some band with probability 0.997, at 0.85 with 0.9999.
 
-Bands are compared by size. One of up to SMALL nodes yields its pairs, and pairs that met in
-two bands or more are compared. A larger band is one group of nodes with their texts: each
-node not yet reached is compared with those reached that share two bands with it, so a crowd
-of near copies costs one comparison each and a crowd that only shares a passage none. Bands
-over LARGE nodes are split: nodes with all bands equal are compared with their least, and
+Every pair that meets in a band is compared, by the band's size. One of up to SMALL nodes
+yields its pairs. A larger band is one group of nodes with their texts: each node not yet
+reached is compared with those reached that have one of its rarest shingles, which a similar
+one must, so a crowd of near copies costs one comparison each and a crowd that only shares a
+passage few. Bands over LARGE nodes are split: nodes with all bands equal are compared with their least, and
 what is left is dealt again under its other bands. So no band is gathered whole and no
 candidate is left out. One line of each component stays: the least. Everything else of the
 text stays as it is, blank lines included.
@@ -186,27 +186,59 @@ def _verified(pairs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
     return stage(both.mapInArrow(compare, "a bigint, b bigint, similarity double"), "line-verified")
 
 
-def _crowd(ids: list[int], lines: list[str], sketches: np.ndarray, threshold: float, shingle: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the similar pairs that share two bands or more, breadth first."""
-    sets: dict[int, frozenset[str]] = {}
-
-    def of(k: int) -> frozenset[str]:
-        if k not in sets:
-            sets[k] = shingle_set(lines[k], shingle)
-        return sets[k]
-
-    left, queue = np.arange(1, len(ids)), [0]
-    while queue or len(left):
+def shingle_numbers(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's distinct shingles, numbered so that equal ones alone share a number, and where the lines' start and end."""
+    alphabet, chars = np.unique(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    base, lengths = len(alphabet) + 1, np.fromiter(map(len, lines), np.int64, len(lines))
+    ends = np.cumsum(lengths)
+    count = np.maximum(lengths - size + 1, 1)
+    line = np.repeat(np.arange(len(lines)), count)
+    at = (ends - lengths - np.cumsum(count) + count)[line] + np.arange(len(line))
+    full = np.concatenate([chars.astype(np.int64) + 1, np.zeros(size, np.int64)])
+    numbers, top = np.zeros(len(line), np.int64), 1
+    for k in range(size):  # characters past the line's end count as none
+        if top > 2**62 // base:
+            kinds, numbers = np.unique(numbers, return_inverse=True)
+            top = len(kinds)
+        numbers, top = numbers * base + np.where(at + k < ends[line], full[at + k], 0), top * base
+    kinds, numbers = np.unique(numbers, return_inverse=True)
+    line, numbers = np.divmod(np.unique(line * len(kinds) + numbers), max(len(kinds), 1))
+    return numbers, np.searchsorted(line, np.arange(len(lines) + 1))
+
+
+def _crowd(ids: list[int], lines: list[str], threshold: float, shingle: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the similar pairs, breadth first.
+
+    A similar line lacks at most 1 - threshold of a line's shingles, so it has one of any more than that: the rarest.
+    """
+    numbers, starts = shingle_numbers(lines, shingle)
+    sizes, count = np.diff(starts), np.bincount(numbers)
+    owners, first = np.repeat(np.arange(len(lines)), sizes)[np.argsort(numbers, kind="stable")], np.cumsum(count) - count
+    left, mine = np.ones(len(lines), bool), np.zeros(len(count), np.int64)
+    n_left, seed, queue = len(lines), 0, []
+    while n_left:
         if not queue:
-            queue, left = [int(left[0])], left[1:]
+            seed += int(np.argmax(left[seed:]))
+            queue, left[seed], n_left = [seed], False, n_left - 1
         k = queue.pop()
-        near = np.flatnonzero((sketches[left] == sketches[k]).sum(axis=1) >= 2)
-        hit = [i for i in near.tolist() if similarity(of(k), of(int(left[i]))) >= threshold]
-        for i in hit:
-            yield ids[k], ids[int(left[i])]
-            queue.append(int(left[i]))
-        left = np.delete(left, hit)
-        sets.pop(k, None)
+        own = numbers[starts[k] : starts[k + 1]]
+        rare = own[np.argsort(count[own])[: int((1 - threshold) * len(own) + 1e-9) + 1]]
+        near = np.zeros(len(lines), bool)
+        for s in rare.tolist():
+            near[owners[first[s] : first[s] + count[s]]] = True
+        near = np.flatnonzero(near & left)
+        if not len(near):
+            continue
+        n = sizes[near]
+        begin = np.cumsum(n) - n
+        mine[own] = 1
+        both = np.add.reduceat(mine[numbers[np.repeat(starts[near] - begin, n) + np.arange(int(n.sum()))]], begin)
+        mine[own] = 0
+        hit = near[both / (len(own) + n - both) >= threshold]
+        left[hit], n_left = False, n_left - len(hit)
+        for i in hit.tolist():
+            yield ids[k], ids[i]
+            queue.append(i)
 
 
 def _crowds(batches: Iterator[pa.RecordBatch], bands: int, threshold: float, shingle: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -215,7 +247,7 @@ def _crowds(batches: Iterator[pa.RecordBatch], bands: int, threshold: float, shi
 
     def flush() -> Iterator[pa.RecordBatch]:
         if len(group) > 1:
-            found = list(_crowd([g[0] for g in group], [g[1] for g in group], np.array([np.frombuffer(g[2], np.uint32) for g in group]), threshold, shingle))
+            found = list(_crowd([g[0] for g in group], [g[1] for g in group], threshold, shingle))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64()), pa.nulls(len(found), pa.int64())], names=["a", "b", "key"])
 
     def pass_on() -> pa.RecordBatch:
@@ -299,7 +331,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
     light = blocks.select("block", "sizes", "blob")
     banded = _with_lines(light, owners).mapInArrow(band, "key bigint, id bigint")
     met = stage(banded.repartition("key").sortWithinPartitions("key").mapInArrow(_band_pairs, "a bigint, b bigint, key bigint"), "line-bands")
-    pairs = stage(met.where("key is null").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2").select("a", "b"), "line-pairs")
+    pairs = stage(met.where("key is null").select("a", "b").distinct(), "line-pairs")
     large = met.where("key is not null").select("key", F.col("b").alias("id"))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct()
 

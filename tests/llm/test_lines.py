@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from foliospark.llm import line_dedup
@@ -91,6 +92,55 @@ def test_crowds_lose_no_link(spark, limit):
                 assert find(i) == find(j)
 
 
+@pytest.fixture(scope="module")
+def one_band_pair():
+    """Two similar lines that meet in one band alone."""
+    rng = random.Random(8)
+    while True:
+        base = [rng.choice("abcdefghij klmnop") for _ in range(200)]
+        lines = ["".join(base)]
+        for _ in range(300):
+            line = base.copy()
+            for at in rng.sample(range(2, 198), 5):
+                line[at] = "z"
+            lines.append("".join(line))
+        keys = line_dedup.signatures(lines)
+        for i in range(1, len(lines)):
+            if (keys[i] == keys[0]).sum() == 1 and jaccard(lines[0], lines[i]) >= 0.8:
+                return lines[0], lines[i]
+
+
+def test_one_band_is_enough(spark, one_band_pair):
+    docs = spark.createDataFrame(list(enumerate(one_band_pair)), "doc_id long, text string").coalesce(1)
+    got = dedup_lines(docs).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(0, 0), (1, 1)]
+
+
+def test_one_band_is_enough_in_a_crowd(one_band_pair):
+    rng = random.Random(9)
+    others = ["".join(rng.choice("qrstuvwxyz") for _ in range(rng.randint(1, 90))) for _ in range(30)]
+    assert list(_pairs_of_crowd([one_band_pair[0], *others, one_band_pair[1]])) == [(0, 31)]
+
+
+def _pairs_of_crowd(lines):
+    """The links of one large band that holds all lines."""
+    sketch = [x.tobytes() for x in line_dedup.signatures(lines).astype("uint32")]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * len(lines)), pa.array(range(len(lines))), pa.array(lines), pa.array(sketch)], names=["key", "id", "line", "sketch"])
+    for found in line_dedup._crowds(iter([batch]), line_dedup.BANDS, 0.8, 5, 4096):
+        yield from ((min(x, y), max(x, y)) for x, y in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 40])
+def test_shingle_numbers_are_exact(size):
+    rng = random.Random(10)
+    lines = ["".join(rng.choice("abcÜ😀") for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    numbers, starts = line_dedup.shingle_numbers(lines, size)
+    sets = [line_dedup.shingle_set(x, size) for x in lines]
+    mine = [set(numbers[a:b].tolist()) for a, b in zip(starts, starts[1:], strict=False)]
+    assert [len(x) for x in mine] == [len(x) for x in sets] == (starts[1:] - starts[:-1]).tolist()
+    assert all(len(mine[i] & mine[j]) == len(sets[i] & sets[j]) for i in range(40) for j in range(i))
+
+
 def test_shingles_stay_within_their_line():
     a, starts = shingle_codes(["abcdef", "x", "bcdef"])
     assert starts.tolist() == [0, 2, 3]
