@@ -10,10 +10,11 @@ Every pair that meets in a band is compared, by the band's size. One of up to SM
 yields its pairs. A larger band is one group of nodes with their texts: each node not yet
 reached is compared with those reached that have one of its rarest shingles, which a similar
 one must, so a crowd of near copies costs one comparison each and a crowd that only shares a
-passage few. Bands over LARGE nodes are split: nodes with all bands equal are compared with their least, and
-what is left is dealt again under its other bands. So no band is gathered whole and no
-candidate is left out. One line of each component stays: the least. Everything else of the
-text stays as it is, blank lines included.
+passage few. Bands over LARGE nodes or CHARS characters are cut into blocks, each compared
+within and with one node of the first; where that leaves a band in several components, every
+two of its blocks are compared. So no band is gathered whole and no candidate is left out.
+One line of each component stays: the least. Everything else of the text stays as it is,
+blank lines included.
 
 Null and empty texts have no lines. A text whose lines are all removed keeps its blank lines.
 """
@@ -36,6 +37,7 @@ from .common import connected_components, documents, stage, unstage
 from .repeats import make_blocks
 
 SHINGLE, BANDS, ROWS, THRESHOLD, SMALL, LARGE = 5, 20, 6, 0.8, 16, 4096
+CHARS = 2 << 20  # of a block; a longer line is one by itself
 BLOCK_BYTES = 2 << 20
 _INDEX_BITS = 26  # of a line id; the block is above
 _MIX = np.random.default_rng(11).integers(0, 2**31, 64, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -241,58 +243,80 @@ def _crowd(ids: list[int], lines: list[str], threshold: float, shingle: int) ->
             queue.append(i)
 
 
-def _crowds(batches: Iterator[pa.RecordBatch], bands: int, threshold: float, shingle: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, line, sketch) sorted by key: links (a, b, null); (null, id, key) of groups over the limit."""
-    now, group, over = None, [], False
+_FOUND = "a bigint, b bigint, key bigint, block int"
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        if len(group) > 1:
-            found = list(_crowd([g[0] for g in group], [g[1] for g in group], threshold, shingle))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64()), pa.nulls(len(found), pa.int64())], names=["a", "b", "key"])
 
-    def pass_on() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(len(group), pa.int64()), pa.array([g[0] for g in group], pa.int64()), pa.array([now] * len(group), pa.int64())], names=["a", "b", "key"])
+def _found(links: list[tuple[int, int]], members: list[tuple[int, int]] | tuple[()] = (), key: int | None = None) -> pa.RecordBatch:
+    """Rows (a, b, null, null) of links and (null, id, key, block) of members."""
+    none = [None] * len(links)
+    columns = [a for a, _ in links] + [None] * len(members), [b for _, b in [*links, *members]], none + [key] * len(members), none + [block for block, _ in members]
+    kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32()
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["a", "b", "key", "block"])
+
+
+def _crowds(batches: Iterator[pa.RecordBatch], threshold: float, shingle: int, limit: int, chars: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, line) sorted by key: links, and the members of keys over the limits, which are cut into blocks.
+
+    Each block is compared within and with the key's first node.
+    """
+    now, first, block, nodes, size = None, None, 0, [], 0
+
+    def done(cut: bool) -> pa.RecordBatch:
+        group = [first, *nodes] if block else nodes
+        links = list(_crowd([i for i, _ in group], [x for _, x in group], threshold, shingle)) if len(group) > 1 else []
+        return _found(links, [(block, i) for i, _ in nodes] if cut else (), now)
 
     for batch in batches:
-        for key, node, line, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, node, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if key != now:
-                if over:
-                    yield pass_on()
-                else:
-                    yield from flush()
-                now, group, over = key, [], False
-            group.append((node, line, sketch))
-            if len(group) > limit:
-                over = True
-                yield pass_on()
-                group = []
-    if over:
-        yield pass_on()
-    else:
-        yield from flush()
-
-
-def _large_band_links(members: DataFrame, lines: DataFrame, bands: int, threshold: float, shingle: int, limit: int = LARGE) -> DataFrame:
-    """Links of the bands too large for all pairs: members(key, id), lines(id, line, sketch)."""
-    links = None
-    while True:
-        rows = members.join(lines, "id").select("key", "id", "line", "sketch")
-        ordered = rows.repartition("key").sortWithinPartitions("key")
-        met = stage(ordered.mapInArrow(lambda batches: _crowds(batches, bands, threshold, shingle, limit), "a bigint, b bigint, key bigint"), "line-crowds")
-        part = met.where("key is null").select("a", "b")
-        links = part if links is None else links.union(part)
-        over = met.where("key is not null").select("key", F.col("b").alias("id"))
-        if over.isEmpty():
-            return links
-        with_sketch = stage(over.join(lines.select("id", "sketch"), "id"), "line-over")
-        one = with_sketch.select("id", "sketch").distinct()
-        stars = one.join(one.groupBy("sketch").agg(F.min("id").alias("a")), "sketch").where("a <> id").select("a", F.col("id").alias("b"))
-        alike = _verified(stars, lines, shingle).where(F.col("similarity") >= threshold).select("a", "b")
-        links = links.union(alike)
-        rest = with_sketch.join(alike.select(F.col("b").alias("id")), "id", "left_anti")
-        parts = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64("key", k, F.substring("sketch", k * 4 + 1, F.lit(4))))
-        members = rest.select("id", F.explode(parts).alias("key"))
-        limit *= 2  # a split that does not shrink ends all the same
+                if nodes:
+                    yield done(block > 0)
+                now, first, block, nodes, size = key, (node, line), 0, [], 0
+            elif len(nodes) >= limit or size + len(line) > chars:
+                yield done(True)
+                block, nodes, size = block + 1, [], 0
+            nodes.append((node, line))
+            size += len(line)
+    if nodes:
+        yield done(block > 0)
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch], threshold: float, shingle: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, id, line) sorted by the first three: the links of each group."""
+    now, nodes = None, []
+
+    def compare() -> pa.RecordBatch:
+        return _found(list(_crowd([i for i, _ in nodes], [x for _, x in nodes], threshold, shingle)))
+
+    for batch in batches:
+        for *group, node, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group != now:
+                if len(nodes) > 1:
+                    yield compare()
+                now, nodes = group, []
+            nodes.append((node, line))
+    if len(nodes) > 1:
+        yield compare()
+
+
+def _large_band_links(members: DataFrame, lines: DataFrame, bands: int, threshold: float, shingle: int, limit: int = LARGE, chars: int = CHARS) -> DataFrame:
+    """Links of the bands too large for all pairs: members(key, id), lines(id, line)."""
+    lines = lines.select("id", "line")
+    ordered = members.join(lines, "id").select("key", "id", "line").repartition("key").sortWithinPartitions("key")
+    met = stage(ordered.mapInArrow(lambda batches: _crowds(batches, threshold, shingle, limit, chars), _FOUND), "line-crowds")
+    links = met.where("key is null").select("a", "b")
+    cut = met.where("key is not null").select("key", "block", F.col("b").alias("id"))
+    if cut.isEmpty():
+        return links
+    roots = connected_components(links).select(F.col("node").alias("id"), "root")
+    rooted = cut.join(roots, "id", "left").select("key", "block", "id", F.coalesce("root", "id").alias("root"))
+    apart = rooted.groupBy("key").agg(F.max("block").alias("last"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "last")
+    other = F.explode(F.sequence(F.lit(0), F.col("last")))
+    paired = cut.join(apart, "key").select("key", "block", "id", other.alias("other")).where("block <> other")
+    group = paired.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id")
+    ordered = group.join(lines, "id").select("key", "i", "j", "id", "line").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    across = stage(ordered.mapInArrow(lambda batches: _block_pairs(batches, threshold, shingle), _FOUND), "line-crowds")
+    return links.union(across.select("a", "b"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
@@ -340,10 +364,9 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
             for row in batch.to_pylist():
                 if row["chosen"]:
                     ids, lines = chosen_lines(row)
-                    sketch = signatures(lines, bands, rows, shingle).astype(np.uint32)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lines, pa.string()), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["id", "line", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lines, pa.string())], names=["id", "line"])
 
-    lines = stage(_with_lines(light, wanted).mapInArrow(fetch, "id bigint, line string, sketch binary"), "line-texts")
+    lines = stage(_with_lines(light, wanted).mapInArrow(fetch, "id bigint, line string"), "line-texts")
     links = _verified(pairs, lines, shingle).where(F.col("similarity") >= threshold).select("a", "b")
     components = connected_components(links.union(_large_band_links(large, lines, bands, threshold, shingle)))
     stays = owners.join(components.where("node <> root").select(F.col("node").alias("id")), "id", "left_anti")

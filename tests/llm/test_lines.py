@@ -1,6 +1,5 @@
 import random
 
-import pyarrow as pa
 import pytest
 
 from foliospark.llm import line_dedup
@@ -116,18 +115,43 @@ def test_one_band_is_enough(spark, one_band_pair):
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(0, 0), (1, 1)]
 
 
-def test_one_band_is_enough_in_a_crowd(one_band_pair):
+def crowd_links(spark, lines, **limits):
+    """The links of one large band that holds all lines."""
+    sketch = [x.tobytes() for x in line_dedup.signatures(lines).astype("uint32")]
+    members = spark.createDataFrame([(1, k) for k in range(len(lines))], "key long, id long")
+    table = spark.createDataFrame(list(zip(range(len(lines)), lines, sketch, strict=True)), "id long, line string, sketch binary")
+    return line_dedup._large_band_links(members, table, line_dedup.BANDS, 0.8, 5, **limits).collect()
+
+
+def test_one_band_is_enough_in_a_crowd(spark, one_band_pair):
     rng = random.Random(9)
     others = ["".join(rng.choice("qrstuvwxyz") for _ in range(rng.randint(1, 90))) for _ in range(30)]
-    assert list(_pairs_of_crowd([one_band_pair[0], *others, one_band_pair[1]])) == [(0, 31)]
+    links = crowd_links(spark, [one_band_pair[0], *others, one_band_pair[1]])
+    assert {frozenset((r.a, r.b)) for r in links} == {frozenset((0, 31))}
 
 
-def _pairs_of_crowd(lines):
-    """The links of one large band that holds all lines."""
-    sketch = [x.tobytes() for x in line_dedup.signatures(lines).astype("uint32")]
-    batch = pa.RecordBatch.from_arrays([pa.array([1] * len(lines)), pa.array(range(len(lines))), pa.array(lines), pa.array(sketch)], names=["key", "id", "line", "sketch"])
-    for found in line_dedup._crowds(iter([batch]), line_dedup.BANDS, 0.8, 5, 4096):
-        yield from ((min(x, y), max(x, y)) for x, y in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
+def test_a_node_like_another_keeps_its_links(spark):
+    """a and b have equal sketches, and only b is similar to c; the band is over the limit."""
+    rng = random.Random(12)
+    draw = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    while True:
+        b = draw(2004)
+        a = b[:1000] + "!" + b[1001:]
+        keys = line_dedup.signatures([a, b])
+        if (keys[0] == keys[1]).all():
+            break
+    c = b + "".join(rng.choice("qrstuvwxyz") for _ in range(len(line_dedup.shingle_set(b)) // 4))
+    assert jaccard(a, b) >= 0.8 and jaccard(b, c) >= 0.8 > jaccard(a, c)
+    found = {frozenset((r.a, r.b)) for r in crowd_links(spark, [a, b, c, draw(50), draw(60)], limit=2)}
+    assert found == {frozenset((0, 1)), frozenset((1, 2))}
+
+
+def test_cut_by_characters_loses_no_link(spark):
+    """Pairs far from each other in a band of long lines."""
+    rng = random.Random(13)
+    heads = ["".join(rng.choice("abcdefghijklmnop") for _ in range(100)) for _ in range(9)]
+    found = {frozenset((r.a, r.b)) for r in crowd_links(spark, heads + [x + "!" for x in heads], chars=250)}
+    assert found == {frozenset((k, 9 + k)) for k in range(9)}
 
 
 @pytest.mark.parametrize("size", [1, 2, 5, 40])
