@@ -362,7 +362,7 @@ _text("UPPER", F.upper)
 _text("TRIM", lambda s: F.trim(F.regexp_replace(s, r"(?U)\s+", " ")))
 _text("CLEAN", lambda s: F.regexp_replace(s, r"[\x00-\x1f]", ""))
 #: Every run of ASCII letters starts with a capital.
-_text("PROPER", lambda s: F.array_join(F.transform(F.regexp_extract_all(s, F.lit(r"([A-Za-z]+|[^A-Za-z]+)")), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, MAX_TEXT)))), ""))
+_text("PROPER", lambda s: F.array_join(F.transform(F.regexp_extract_all(s, F.lit(r"([A-Za-z]+|[^A-Za-z]+)")), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), ""))
 
 
 def _edge(take: Callable[[Column, Column], Column]):
@@ -395,7 +395,7 @@ def _replace(args, ctx):
     new, e2 = to_text(args[3])
     a, n = trunc(start).cast("int"), trunc(length).cast("int")
     bad = (a < 1) | (n < 0)
-    return text(F.when(~bad, F.concat(F.substring(s, F.lit(1), a - 1), new, F.substring(s, a + n, F.lit(MAX_TEXT)))), e, *es, e2, F.when(bad, VALUE))
+    return text(F.when(~bad, F.concat(F.substring(s, F.lit(1), a - 1), new, F.substring(s, a + n, F.length(s)))), e, *es, e2, F.when(bad, VALUE))
 
 
 @define("SUBSTITUTE", 3, 4)
@@ -408,7 +408,7 @@ def _substitute(args, ctx):
     n = trunc(k).cast("int")
     before = F.call_function("substring_index", s, old, n)
     has = (F.length(before) < F.length(s)) & (old != "")
-    return text(F.when(has, F.concat(before, new, F.substring(s, F.length(before) + F.length(old) + 1, F.lit(MAX_TEXT)))).otherwise(s), e, e2, e3, e4, F.when(n < 1, VALUE))
+    return text(F.when(has, F.concat(before, new, F.substring(s, F.length(before) + F.length(old) + 1, F.length(s)))).otherwise(s), e, e2, e3, e4, F.when(n < 1, VALUE))
 
 
 @define("REPT", 2)

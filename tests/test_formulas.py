@@ -35,6 +35,15 @@ def test_case_table(spark):
             assert got == want, formula
 
 
+def test_long_texts_keep_their_tails(spark):
+    """Only REPT and joins are limited to 32 767 characters."""
+    long = "xYz" * 20000
+    table = spark.createDataFrame([("b-c" + long,)], "t string")
+    row = with_formulas(table, {"r": 'REPLACE(t,2,1,"*")', "s": 'SUBSTITUTE(t,"-","*",1)', "p": "PROPER(t)"}).first()
+    assert (row.r, row.s) == ("b*c" + long, "b*c" + long)
+    assert row.p == "B-C" + long.lower()
+
+
 def test_every_function_name_is_known():
     known = set(aggregate.RANGE) | set(scalar.SCALAR) | {"ROW", "COLUMN", "ROWS", "COLUMNS", "ISREF", "VLOOKUP", "HLOOKUP"}
     assert len(known) >= 156
