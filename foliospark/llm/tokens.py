@@ -5,6 +5,11 @@ follows a non-space, so a text is cut there and each distinct piece is encoded o
 pieces are joined into long texts, encoded by the library, and cut apart again by their byte
 lengths; punctuation after a letter is encoded apart, so that words with and without it share. The memo lives in the Python worker across batches and is emptied beyond `limit`
 pieces, which changes cost only.
+
+Texts that hold an added token's content, such as an end mark spelled out, go through the
+library whole, as its special tokens cut a text before the pre-tokeniser does. So do pieces
+whose tokens cross a cut, each by itself. Null is for the caller to replace; any text, of any
+length, has the library's own ids.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content})
         self.limit = limit
         vocab = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -78,12 +83,19 @@ class Encoder:
             size += len(piece) + 1
             if size < JOINED and k + 1 < len(pieces):
                 continue
-            ids = self._ids([" " + " ".join(group)])[0]
+            joined = " " + " ".join(group)
+            if self._has_added(joined):  # an added token with a blank in it
+                self._learn_alone(group, self.led, " ")
+                group, size = [], 0
+                continue
+            ids = self._ids([joined])[0]
             ends = np.cumsum(np.fromiter((len(p.encode("utf-8", "replace")) for p in group), np.int64, len(group)) + 1)
             token_ends = np.cumsum(self.n_bytes[ids])
             last = np.searchsorted(token_ends, ends)
-            if len(ids) != last[-1] + 1 or not np.array_equal(token_ends[last], ends):
-                raise AssertionError("a token crosses a piece's end")
+            if len(ids) != last[-1] + 1 or not np.array_equal(token_ends[last], ends):  # a token crosses a piece's end
+                self._learn_alone(group, self.led, " ")
+                group, size = [], 0
+                continue
             self.led.update(zip(group, range(self.used, self.used + len(group)), strict=True))
             self._put(ids, np.diff(np.concatenate([[0], last + 1])))
             self._mark(group)
@@ -131,12 +143,29 @@ class Encoder:
         found[at] = [self.first[h] for h in heads]
         return found
 
+    def _has_added(self, text: str) -> bool:
+        return any(c in text for c in self.added)
+
+    def _with_whole(self, texts: list[str], whole: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        """encode() where the texts numbered in `whole` go through the library by themselves."""
+        rest, counts = [k for k in range(len(texts)) if k not in whole], np.zeros(len(texts), np.int64)
+        ids, n = self.encode([texts[k] for k in rest])
+        counts[rest] = n
+        parts: list[np.ndarray] = [*np.split(ids, np.cumsum(n)[:-1])] if rest else []
+        for k in sorted(whole):
+            parts.insert(k, self._ids([texts[k]])[0])
+            counts[k] = len(parts[k])
+        return np.concatenate(parts).astype(np.uint32), counts
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, and each text's number of ids."""
         if not texts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if self.used > self.limit:
             self.clear()
+        whole = [k for k, t in enumerate(texts) if self._has_added(t)]
+        if whole:
+            return self._with_whole(texts, set(whole))
         parts = [t.split(" ") for t in texts]
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         at = np.cumsum(counts) - counts

@@ -1,14 +1,19 @@
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+import tokenizers
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from foliospark.llm import packing, range_coder, token_counts, token_files, tokens
 
 PATH = tokens.default_path()
+SF = Path("/root/testdata/sf0.01/documents.parquet")
 
 
 def library_ids(text):
@@ -30,17 +35,44 @@ def test_memo_can_be_emptied(rows):
 
 
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 3000])
-@pytest.mark.parametrize("top", [1, 3, 300, range_coder.MAX_ID])
+@pytest.mark.parametrize("top", [1, 3, 300, 60_000])
 def test_coder_round_trip(n, top):
     ids = np.random.default_rng(n).integers(0, top, n)
     assert np.array_equal(range_coder.decode(range_coder.encode(ids, 256)), ids)
 
 
+def test_coder_takes_any_id_below_its_bound():
+    ids = np.array([range_coder.MAX_ID - 1, 0, 7])
+    assert np.array_equal(range_coder.decode(range_coder.encode(ids)), ids)
+
+
 def test_coder_compresses_what_repeats():
     ids = np.tile(np.random.default_rng(1).integers(0, 50_000, 50), 80)
     assert len(range_coder.encode(ids)) < 2 * len(ids) / 6
 
 
+def test_coder_learns_each_order():
+    rng = np.random.default_rng(5)
+    skewed = np.minimum(rng.zipf(1.2, 400_000), 5000)  # order 0 alone, about as skewed as words
+    p = np.bincount(skewed)[np.unique(skewed)] / len(skewed)
+    assert 8 * len(range_coder.encode(skewed)) / len(skewed) < 1.1 * -(p * np.log2(p)).sum()
+    follows = rng.permutation(3000)
+    chain = [0]
+    for jump in rng.random(40_000):  # an id foretells the next nine times in ten
+        chain.append(int(follows[chain[-1]]) if jump < 0.9 else int(rng.integers(3000)))
+    assert 8 * len(range_coder.encode(np.array(chain))) / len(chain) < 0.35 * np.log2(3000)
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_real_ids_take_fewer_bytes_than_a_general_compressor():
+    texts = pq.read_table(SF)["text"].to_pylist()
+    ids = tokens.encoder(PATH).encode([t or "" for t in texts])[0]
+    data = range_coder.encode(ids)
+    p = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert len(data) < min(len(zstandard.compress(ids.astype("<u2").tobytes(), 3)), -(p * np.log2(p)).sum() * len(ids) / 8)
+    assert np.array_equal(range_coder.decode(data), ids)
+
+
 def test_coder_finds_damage():
     data = bytearray(range_coder.encode(np.arange(3000) % 700, 512))
     for at in random.Random(2).sample(range(12, len(data)), 40):
@@ -129,6 +161,19 @@ def test_longest_match_on_random_vocabularies():
         assert token_counts.LongestMatch(pieces).count(words).tolist() == [brute_count(w, pieces) for w in words]
 
 
+def test_long_words_are_read_alone():
+    import time
+
+    rng = random.Random(11)
+    pieces = {bytes(rng.choice(b"ab ") for _ in range(rng.randint(1, 6))) for _ in range(12)}
+    words = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (0, 255, 256, 257, 3000)]
+    machine = token_counts.LongestMatch(pieces)
+    assert machine.count(words).tolist() == [brute_count(w, pieces) for w in words]
+    began = time.perf_counter()
+    machine.count([bytes(rng.choices(b"abc", k=1 << 20))])
+    assert time.perf_counter() - began < 5
+
+
 def test_token_counts(docs, rows):
     import public_tokenizers
 
