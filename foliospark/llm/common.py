@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,46 +15,95 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass handles at a time; bounds a Python worker's memory.
 SLICE_BYTES = 4 << 20
+#: The paths staged since the innermost stage_alone() began.
+_STAGED: ContextVar[list[str]] = ContextVar("staged", default=[])  # noqa: B039
+#: The local folders of sessions on one machine that name no shared one.
+_ONE_MACHINE: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a fresh local one only where none is configured."""
+    """The folder all executors share: spark.checkpoint.dir, or on one machine alone a fresh local one.
+
+    Raises ValueError on a cluster that names none, as executors cannot see one another's disks.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="foliospark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _ONE_MACHINE:
+        _ONE_MACHINE[context.applicationId] = tempfile.mkdtemp(prefix="foliospark-")
+        _delete_at_exit(spark, _ONE_MACHINE[context.applicationId])
+    return _ONE_MACHINE[context.applicationId]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that is not taken; what is written there goes when the JVM ends, or before."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _delete_at_exit(spark, path)
+    _STAGED.get().append(path)
+    return path
 
 
-def delete_at_exit(spark: SparkSession, path: str) -> None:
-    """Existing files are deleted when the JVM ends."""
+def _file_system(spark: SparkSession, path: str) -> tuple:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    files, hadoop_path = _file_system(spark, path)
+    files.mkdirs(hadoop_path)  # only what exists is deleted
+    files.deleteOnExit(hadoop_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, hadoop_path = _file_system(spark, path)
+    files.delete(hadoop_path, True)
+    files.cancelDeleteOnExit(hadoop_path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back, which cuts its lineage.
 
-    The files survive lost executors and are deleted when the JVM ends.
+    The files survive lost executors. They go with unstage() or, what a lazy result still
+    reads, when the JVM ends.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    delete_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete the files behind a staged frame that nothing reads any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if name.startswith((shared_dir(spark), "file:" + shared_dir(spark).removeprefix("file:"))):
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def unstage(*frames: DataFrame) -> None:
+    """Delete the files behind frames of stage() that nothing reads any more."""
+    for df in frames:
+        _delete(df.sparkSession, df.staged_at)
+
+
+def stage_alone(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """stage() for the frame that `make` returns, without any file that was staged on its way."""
+    mine: list[str] = []
+    token = _STAGED.set(mine)
+    try:
+        out = stage(make(), label)
+    finally:
+        _STAGED.reset(token)
+    for path in mine:
+        if path != out.staged_at:
+            _delete(out.sparkSession, path)
+    _STAGED.get().append(out.staged_at)
+    return out
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes to be no column's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,27 +144,31 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     map-side or split by adaptive execution; nothing is collected.
     """
     live = stage(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct(), "cc-edges")
-    label = None
+    label, done = None, []
     while not live.isEmpty():
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         jump = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "cc-parent")
         while True:
             up = jump.select(F.col("node").alias("mid"), F.col("root").alias("top"))
             longer = stage(jump.join(up, F.col("root") == F.col("mid")).select("node", F.col("top").alias("root"), (F.col("root") != F.col("top")).alias("moved")), "cc-jump")
-            moved = not longer.where("moved").isEmpty()
             unstage(jump)
-            jump = longer.select("node", "root")
-            if not moved:
+            jump = longer
+            if longer.where("moved").isEmpty():
                 break
+        done.append(jump)
+        flat = jump.select("node", "root")
         if label is None:
-            label = jump
+            label = flat
         else:
-            up = jump.select(F.col("node").alias("mid"), F.col("root").alias("top"))
+            up = flat.select(F.col("node").alias("mid"), F.col("root").alias("top"))
             label = label.join(up, F.col("root") == F.col("mid"), "left").select("node", F.coalesce("top", "root").alias("root"))
-        pa_, pb_ = jump.select(F.col("node").alias("a"), F.col("root").alias("ra")), jump.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        pa_, pb_ = flat.select(F.col("node").alias("a"), F.col("root").alias("ra")), flat.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         old = live
         live = stage(live.join(pa_, "a").join(pb_, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
         unstage(old)
+    unstage(live)
     if label is None:
         return edges.select(F.col(a).alias("node"), F.col(a).alias("root")).limit(0)
-    return stage(label, "cc-labels")
+    label = stage(label, "cc-labels")
+    unstage(*done)
+    return label

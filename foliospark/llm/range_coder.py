@@ -1,16 +1,23 @@
-"""An adaptive context-mixing range coder for token ids, many blocks in step.
-
-Ids are cut into blocks that are reset and checksummed independently, and all blocks of a
-segment are coded together, one id a step, with numpy across blocks. For each id the models
-predict: order 2 (by the last two ids), order 1 (by the last id) and order 0 (the block's
-commonest id). The event coded is the first predictor that is right, or else the id's size
-class, followed by its place in the class. The event's distribution mixes one adaptive table chosen
-by the order-2 and order-1 predictors' confidence with one that is not, by a weight that
-follows whichever has served the block better. Arithmetic is in integers only, so encoder
-and decoder agree anywhere.
-
-Segment: magic, blocks and block size (3 x uint32); per block ids, 16-bit words and crc32 of
-the ids and then the words (3 x uint32); then the blocks' words. All little-endian.
+"""An adaptive context-mixing range coder for token ids.
+
+Ids are cut into blocks that are reset and checksummed independently. A block's ids lie in
+lanes, stretches of up to STEPS ids; one id of every lane is coded a step, with numpy across
+the lanes, and all lanes share the block's model, which then learns from the whole step.
+
+Three orders predict each id: order 2 (by the last two ids) has one candidate, order 1 (by the
+last id) two, each with a confidence, and order 0 a distribution over all ids. An id's
+probability is what the event "this candidate is right" or "none is" gets, times, for none, its
+share in order 0. The event's distribution mixes two adaptive ones: by the confidences of all
+candidates, and by the last events and the confidence of order 2; the weight of each follows
+what has served the lane better. Order 0 learns the ids that no candidate foretold. The model
+is integers and correctly rounded float64 products, so encoder and decoder agree anywhere.
+
+A lane's code is a range coder's: 48 bits of low and range, 16-bit words, carries settled when
+the block ends.
+
+Segment: magic, blocks and crc32 of the header (3 x uint32); per block ids, ids' upper bound,
+words, crc32 of the ids and then the words (4 x uint32); per block the lanes' word counts
+(uint16) and words, lane by lane. All little-endian.
 """
 
 from __future__ import annotations
@@ -19,143 +26,241 @@ import zlib
 
 import numpy as np
 
-MAGIC, BLOCK, MAX_ID = 0x31435446, 4096, 1 << 17
-#: Events: which predictor is right, else the id's size class: 0, then two bit lengths each.
-_EVENTS = 3 + 10
-_LIMIT = 2000  # a table's counts are halved beyond this, so frequencies stay below 2**16
-_T2, _T1, _T0 = 1024, 1024, 512
-_ONE, _FULL = np.uint64(1), np.uint64(2**64 - 1)
-_TOP = _BOTTOM = np.uint64(1 << 48)  # the range is kept at 48 bits or more: an event and its place fit before it is settled
-_W, _TOP_SHIFT = np.uint64(16), np.uint64(48)
+MAGIC, LANES, STEPS, MAX_ID = 0x32435446, 4096, 1024, 1 << 20
+BLOCK = LANES * STEPS
+#: Events: the candidate of order 2, the two of order 1, none of them.
+_EVENTS, _NONE = 4, 3
+_EVENT_BITS, _ID_BITS = 15, 22  # totals of the two distributions
+_LEAST, _LEAST_NONE = 8, 256  # of an event's share, so that a range of 32 bits bears an event and an id
+_BOTTOM, _DIGIT = 1 << 32, (1 << 32) - 1
+_ROWS, _LIMIT = 256, 1 << 16
+_STEP0 = 32  # an id's weight in order 0 against the 1 of an id not yet seen
+_TABLE2 = 20  # bits of the largest table of order 2
+#: A candidate's confidence after a miss.
+_MISSED = np.array([0, 0, 1, 1, 2, 2, 3, 3])
+#: The first candidate that is right, by 4 * order 2's + 2 * order 1's first + order 1's second.
+_FIRST_RIGHT = np.array([3, 2, 1, 1, 0, 0, 0, 0])
+
+
+def _slot_rules() -> tuple[np.ndarray, ...]:
+    """How slots (id * 8 + confidence) change, by what was right and the confidences.
+
+    Order 2, by 8 * right + confidence: what is added (at 0 the id is replaced). Order 1, by
+    64 * (2 * first right + second right) + 8 * first's confidence + second's: what is added to
+    each, whether the second is replaced, and whether the two change places.
+    """
+    sure = np.arange(8)
+    add2 = np.concatenate([_MISSED - sure, (sure < 7) * 1])
+    right, one, other = (x.reshape(-1) for x in np.meshgrid(np.arange(4), sure, sure, indexing="ij"))
+    add1 = np.where(right >= 2, (one < 7) * 1, np.where(right == 1, 0, -1 * (one > 0)))
+    add0 = np.where(right == 1, (other < 7) * 1, np.where(right >= 2, 0, -1 * (other > 0)))
+    fresh = (right == 0) & (other == 0)
+    swap = np.where(fresh, 1, other + add0) > one + add1
+    return add2.astype(np.int32), add1.astype(np.int32), add0.astype(np.int32), fresh, swap
+
+
+_ADD2, _ADD1, _ADD0, _FRESH0, _SWAP = _slot_rules()
+
+
+class _Events:
+    """One adaptive distribution of events for each row."""
+
+    def __init__(self):
+        self.count = np.ones((_EVENTS, _ROWS), np.int64)
+        self.edges = np.zeros((_EVENTS + 1, _ROWS), np.int64)
+        self.edges[-1] = 1 << _EVENT_BITS
+        self.renew()
+
+    def add(self, at: np.ndarray) -> None:
+        """at: event * ROWS + row."""
+        self.count += 24 * np.bincount(at, minlength=_EVENTS * _ROWS).reshape(_EVENTS, _ROWS)
+
+    def renew(self) -> None:
+        full = self.count.sum(axis=0) > _LIMIT
+        if full.any():
+            self.count[:, full] = (self.count[:, full] >> 1) + 1
+        upto = np.cumsum(self.count, axis=0)
+        share = ((1 << _EVENT_BITS) - 3 * _LEAST - _LEAST_NONE) / upto[-1]
+        for k in range(_NONE):
+            self.edges[k + 1] = (upto[k] * share).astype(np.int64) + (k + 1) * _LEAST
+        self.size = np.diff(self.edges, axis=0).reshape(-1)
 
 
 class _Model:
-    """The predictors and event counts of n blocks."""
-
-    def __init__(self, n: int):
-        self.row = np.arange(n)
-        self.two, self.one = np.zeros(n * _T2, np.int32), np.zeros(n * _T1, np.int32)  # id * 4 + confidence
-        self.seen, self.best, self.times = np.zeros(n * _T0, np.int16), np.zeros(n, np.int32), np.zeros(n, np.int16)
-        self.by_context, self.plain = np.zeros((n * 16, _EVENTS), np.int32), np.zeros((n, _EVENTS), np.int32)
-        self.held = np.zeros(n * 16, np.int32), np.zeros(n, np.int32)  # the tables' totals
-        self.weight = np.full(n, 8, np.int32)
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.base2, self.base1, self.base0, self.base_c = self.row * _T2, self.row * _T1, self.row * _T0, self.row * 16
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Predictions of order 2, 1 and 0, and the cumulative event frequencies."""
-        last = self.last[:n]
-        self.at2 = self.base2[:n] + ((self.before[:n] * 40503 + last * 10007) >> 3 & (_T2 - 1))
-        self.at1 = self.base1[:n] + (last * 40503 >> 4 & (_T1 - 1))
-        self.got2, self.got1 = self.two[self.at2], self.one[self.at1]
-        self.context = self.base_c[:n] + (self.got2 & 3) * 4 + (self.got1 & 3)
-        w = self.weight[:n, None]
-        mixed = self.by_context[self.context]
-        mixed *= w
-        mixed += self.plain[:n] * (16 - w)
-        mixed += 4
-        return self.got2 >> 2, self.got1 >> 2, self.best[:n], np.cumsum(mixed, axis=1, out=mixed)
-
-    def update(self, n: int, ids: np.ndarray, event: np.ndarray) -> None:
-        row, ids = self.row[:n], ids.astype(np.int32)
-        for table, held, at, side in ((self.by_context, self.held[0], self.context, 0), (self.plain, self.held[1], row, 1)):
-            flat = table.reshape(-1)
-            place = at * _EVENTS + event
-            now = flat[place] + 24
-            flat[place] = now
-            total = held[at] + 24
-            held[at] = total
-            share = now * 1024 // total
-            better = share if not side else better - share
-            full = np.flatnonzero(total > _LIMIT)
-            if len(full):
-                rows = at[full]
-                table[rows] >>= 1
-                held[rows] = table[rows].sum(axis=1)
-        self.weight[:n] = np.clip(self.weight[:n] + np.sign(better), 1, 15)
-        for table, got, at in ((self.two, self.got2, self.at2), (self.one, self.got1, self.at1)):
-            sure = got & 3
-            right = got >> 2 == ids
-            table[at] = np.where(right, got + (sure < 3), np.where(sure > 0, got - 1, ids << 2))
-        at0 = self.base0[:n] + (ids & (_T0 - 1))
-        count = np.minimum(self.seen[at0], 32000) + np.int16(1)
-        self.seen[at0] = count
-        more = count > self.times[:n]
-        self.best[:n] = np.where(more, ids, self.best[:n])
-        self.times[:n] = np.where(more, count, self.times[:n])
-        self.before[:n], self.last[:n] = self.last[:n], ids
-
-
-#: Class k > 0 holds the ids of 2k - 1 and 2k bits.
-_CLASS = np.array([(x.bit_length() + 1) // 2 for x in range(MAX_ID)], np.int64)
-_FIRST = np.array([0, 0, 0, *(0 if k == 0 else 4 ** (k - 1) for k in range(10))], np.int64)
-_SPAN = np.array([1, 1, 1, *(1 if k == 0 else 3 * 4 ** (k - 1) for k in range(10))], np.uint64)
-_RAW = np.array([0, 0, 0, *[1] * 10], np.uint64)
-
-
-class _Encoder:
-    def __init__(self, n: int, words: int):
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, _FULL)
-        self.out, self.used = np.zeros((n, words), np.uint16), np.zeros(n, np.int64)
-
-    def put(self, n: int, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        """Narrow to [start, start + size) of total."""
-        r = self.range[:n] // total
-        self.low[:n] += r * start
-        self.range[:n] = r * size
-
-    def settle(self, n: int) -> None:
-        low, rng = self.low[:n], self.range[:n]
-        go = np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _BOTTOM))
-        while len(go):
-            lo, r = low[go], rng[go]
-            apart = (lo ^ (lo + r)) >= _TOP
-            r = np.where(apart, (~lo + _ONE) & (_BOTTOM - _ONE), r)
-            self.out[go, self.used[go]] = lo >> _TOP_SHIFT
-            self.used[go] += 1
-            lo, r = lo << _W, r << _W
-            low[go], rng[go] = lo, r
-            go = go[((lo ^ (lo + r)) < _TOP) | (r < _BOTTOM)]
+    """What a block's lanes have in common, and each lane's own place."""
+
+    def __init__(self, lanes: int, size: int, top: int):
+        bits = min(_TABLE2, max(10, (size - 1).bit_length()))
+        self.mask2 = (1 << bits) - 1
+        self.two = np.zeros(1 << bits, np.int32)  # id * 8 + confidence
+        self.one, self.other = np.zeros(top, np.int32), np.zeros(top, np.int32)
+        self.by_confidence, self.by_history = _Events(), _Events()
+        self.seen, self.new, self.top = np.ones(top, np.int64), [], top
+        self.place = np.arange(top + 1)
+        self.cum = self.place.copy()
+        self.learn0()
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.history, self.weight = np.zeros(lanes, np.int64), np.full(lanes, 8, np.int64)
+        self.lanes, self.lane = lanes, np.arange(lanes)
+        self.edges = np.zeros((_EVENTS + 1, lanes), np.int64)
+        self.edges[-1] = 1 << _EVENT_BITS
+        self.flat = self.edges.reshape(-1)
+        self.often = 16 if top <= 32 * lanes else 64
+        self.step = 0
+
+    def learn0(self) -> None:
+        if self.new:
+            self.seen += _STEP0 * np.bincount(np.concatenate(self.new), minlength=self.top)
+            self.new = []
+        upto = np.cumsum(self.seen)
+        self.cum[1:] = (upto * (((1 << _ID_BITS) - self.top) / upto[-1])).astype(np.int64) + self.place[1:]
+        self.cum[-1] = 1 << _ID_BITS
+
+    def predict(self, m: int) -> None:
+        """The first m lanes' candidates (c2, c1, c0) and the edges of their events."""
+        last = self.last[:m]
+        self.at2 = (self.before[:m] * 0x9E3779B1 + last * 0x85EBCA6B >> 11) & self.mask2
+        self.got2, self.got1, self.got0 = self.two.take(self.at2), self.one.take(last), self.other.take(last)
+        self.c2, self.c1, self.c0 = self.got2 >> 3, self.got1 >> 3, self.got0 >> 3
+        self.sure2, self.sures = self.got2 & 7, (self.got1 & 7) << 3 | self.got0 & 7
+        self.row_a = self.sure2 << 5 | (self.sures & 56) >> 1 | (self.c2 == self.c1) << 1 | (self.sures & 6 > 0)
+        self.row_b = self.history[:m] | self.sure2 >> 1
+        w = self.weight[:m]
+        for k in range(1, _EVENTS):
+            b = self.by_history.edges[k].take(self.row_b)
+            self.edges[k, :m] = b + ((self.by_confidence.edges[k].take(self.row_a) - b) * w >> 4)
 
-    def finish(self) -> None:
-        for _ in range(4):
-            self.out[np.arange(len(self.low)), self.used] = self.low >> _TOP_SHIFT
-            self.used += 1
-            self.low <<= _W
+    def right(self, ids: np.ndarray) -> np.ndarray:
+        """4 * (order 2 foretold it) + 2 * (order 1's first) + (order 1's second)."""
+        return (self.c2 == ids) * 4 + (self.c1 == ids) * 2 + (self.c0 == ids)
 
+    def update(self, m: int, ids: np.ndarray, right: np.ndarray, event: np.ndarray, none: np.ndarray) -> None:
+        """none: the lanes whose id no candidate foretold."""
+        self.step += 1
+        last, rows = self.last[:m], event * _ROWS
+        at_a, at_b = rows + self.row_a, rows + self.row_b
+        better = np.sign(self.by_confidence.size.take(at_a) - self.by_history.size.take(at_b))
+        self.weight[:m] = np.minimum(np.maximum(self.weight[:m] + better, 1), 15)
+        self.by_confidence.add(at_a)
+        self.by_history.add(at_b)
+        if self.step < 16 or self.step % 4 == 0:
+            self.by_confidence.renew()
+            self.by_history.renew()
+        self.history[:m] = (self.history[:m] << 2 | event << 2) & 255
+        fresh = (ids << 3).astype(np.int32)
+        rule = (right & 4) * 2 + self.sure2
+        self.two[self.at2] = np.where(rule == 0, fresh, self.got2 + _ADD2.take(rule))
+        rule = (right & 3) * 64 + self.sures
+        one, other, swap = self.got1 + _ADD1.take(rule), np.where(_FRESH0.take(rule), fresh + 1, self.got0 + _ADD0.take(rule)), _SWAP.take(rule)
+        self.one[last], self.other[last] = np.where(swap, other, one), np.where(swap, one, other)
+        if len(none):
+            self.new.append(ids[none])
+        if self.step & self.step - 1 == 0 or self.step % self.often == 0:
+            self.learn0()
+        self.before[:m], self.last[:m] = last, ids
 
 
+def _shape(size: int) -> tuple[int, int]:
+    """(lanes, steps) of a block; only the last lane can be short."""
+    steps = min(size, STEPS)
+    steps = max(steps, -(-size // LANES))
+    return -(-size // steps), steps
 
 
-class _Decoder:
-    def __init__(self, words: np.ndarray, starts: np.ndarray):
-        n = len(starts)
-        self.words, self.next = np.concatenate([words, np.zeros(8, np.uint16)]), starts.copy()
-        self.low, self.range, self.code = np.zeros(n, np.uint64), np.full(n, _FULL), np.zeros(n, np.uint64)
-        for _ in range(4):
-            self.code = self.code << _W | self.words[self.next]
-            self.next += 1
+def _encode_block(ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lanes' word counts, and their words one lane after the other."""
+    lanes, steps = _shape(len(ids))
+    short = len(ids) - (lanes - 1) * steps
+    grid = np.zeros(lanes * steps, np.int64)
+    grid[: len(ids)] = ids
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    model = _Model(lanes, len(ids), top)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1)
+    room = 3 * steps + 4
+    out, used = np.zeros(lanes * room, np.int32), np.arange(lanes) * room
+    for k in range(steps):
+        m = lanes if k < short else lanes - 1
+        now = grid[k, :m]
+        model.predict(m)
+        right = model.right(now)
+        event = _FIRST_RIGHT.take(right)
+        at = event * lanes + model.lane[:m]
+        start, unit = model.flat.take(at), span[:m] >> _EVENT_BITS
+        low[:m] += unit * start
+        span[:m] = unit * (model.flat.take(at + lanes) - start)
+        none = np.flatnonzero(event == _NONE)
+        if len(none):
+            x = now.take(none)
+            start, unit = model.cum.take(x), span.take(none) >> _ID_BITS
+            low[none] += unit * start
+            span[none] = unit * (model.cum.take(x + 1) - start)
+        go = np.flatnonzero(span < _BOTTOM)
+        while len(go):
+            lo, place, s = low[go], used[go], span[go] << 16
+            out[place] = lo >> 32
+            used[go] = place + 1
+            low[go], span[go] = (lo & _DIGIT) << 16, s
+            go = go[s < _BOTTOM]
+        model.update(m, now, right, event, none)
+    low += _DIGIT  # the first value of the range with nothing after its top word
+    out[used] = low >> 32
+    used += 1
+    out = out.reshape(lanes, room)
+    for k in range(room - 1, 0, -1):  # carries
+        out[:, k - 1] += out[:, k] >> 16
+    count = used - np.arange(lanes) * room
+    return count, (out & 0xFFFF)[np.arange(room) < count[:, None]]
+
 
-    def peek(self, n: int, total: np.ndarray) -> np.ndarray:
-        self.r = self.range[:n] // total
-        return np.minimum((self.code[:n] - self.low[:n]) // self.r, total - _ONE)
+def _decode_block(count: np.ndarray, words: np.ndarray, size: int, top: int) -> np.ndarray:
+    lanes, steps = _shape(size)
+    short = size - (lanes - 1) * steps
+    ends = np.cumsum(count)
+    at = ends - count
+    words = np.append(words.astype(np.int64), 0)
+    last = len(words) - 1
 
-    def take(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
-        self.low[:n] += self.r * start
-        self.range[:n] = self.r * size
+    def take(lane: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return words[np.where(place < ends[lane], place, last)]
 
-    def settle(self, n: int) -> None:
-        low, rng, code = self.low[:n], self.range[:n], self.code[:n]
-        go = np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _BOTTOM))
+    every = np.arange(lanes)
+    code = np.zeros(lanes, np.int64)
+    for _ in range(3):
+        code = code << 16 | take(every, at)
+        at = at + 1
+    span = np.full(lanes, (1 << 48) - 1)
+    model = _Model(lanes, size, top)
+    grid = np.zeros((steps, lanes), np.int64)
+    for k in range(steps):
+        m = lanes if k < short else lanes - 1
+        model.predict(m)
+        unit = span[:m] >> _EVENT_BITS
+        value = code[:m] / unit
+        _, one, two, three, _ = model.edges[:, :m]
+        event = (value >= one) * 1 + (value >= two) + (value >= three)
+        place = event * lanes + model.lane[:m]
+        start = model.flat.take(place)
+        code[:m] -= unit * start
+        span[:m] = unit * (model.flat.take(place + lanes) - start)
+        now = np.where(event == 0, model.c2, np.where(event == 1, model.c1, model.c0)).astype(np.int64)
+        none = np.flatnonzero(event == _NONE)
+        if len(none):
+            unit = span[none] >> _ID_BITS
+            value = np.minimum((code[none] / unit).astype(np.int64), (1 << _ID_BITS) - 1)
+            x = np.searchsorted(model.cum, value, side="right") - 1
+            start = model.cum.take(x)
+            now[none] = x
+            code[none] -= unit * start
+            span[none] = unit * (model.cum.take(x + 1) - start)
+        go = np.flatnonzero(span < _BOTTOM)
         while len(go):
-            lo, r = low[go], rng[go]
-            apart = (lo ^ (lo + r)) >= _TOP
-            r = np.where(apart, (~lo + _ONE) & (_BOTTOM - _ONE), r)
-            code[go] = code[go] << _W | self.words[np.minimum(self.next[go], len(self.words) - 1)]  # damaged input must not read past the end
-            self.next[go] += 1
-            lo, r = lo << _W, r << _W
-            low[go], rng[go] = lo, r
-            go = go[((lo ^ (lo + r)) < _TOP) | (r < _BOTTOM)]
+            place, s = at[go], span[go] << 16
+            code[go], span[go] = (code[go] << 16 | take(go, place)) & (1 << 62) - 1, s  # damaged words must not overflow
+            at[go] = place + 1
+            go = go[s < _BOTTOM]
+        grid[k, :m] = now
+        model.update(m, now, model.right(now), event, none)
+    return grid.T.reshape(-1)[:size]
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
@@ -163,62 +268,41 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     ids = np.ascontiguousarray(ids, "<u4")
     if len(ids) and int(ids.max()) >= MAX_ID:
         raise ValueError(f"ids must be below {MAX_ID}")
-    n = -(-len(ids) // block)
-    sizes = np.full(n, block, np.int64)
-    if n:
-        sizes[-1] = len(ids) - block * (n - 1)
-    grid = np.zeros(n * block, np.int64)
-    grid[: len(ids)] = ids
-    grid = grid.reshape(n, block).T.copy()
-    coder, model = _Encoder(n, 2 * block + 64), _Model(n)
-    for k in range(int(sizes[0]) if n else 0):
-        m = n if k < sizes[-1] else n - 1  # only the last block can be short
-        now = grid[k, :m]
-        p2, p1, p0, table = model.predict(m)
-        event = np.where(now == p2, 0, np.where(now == p1, 1, np.where(now == p0, 2, 3 + _CLASS[now])))
-        flat, at = table.reshape(-1), model.row[:m] * _EVENTS + event
-        start = np.where(event > 0, flat[at - 1], 0).astype(np.uint64)
-        coder.put(m, start, flat[at].astype(np.uint64) - start, table[:, -1].astype(np.uint64))
-        coder.put(m, (now - _FIRST[event]).astype(np.uint64) * _RAW[event], _ONE, _SPAN[event])
-        coder.settle(m)
-        model.update(m, now, event)
-    coder.finish()
-    body = [coder.out[k, : coder.used[k]].astype("<u2").tobytes() for k in range(n)]
-    crc = [zlib.crc32(body[k], zlib.crc32(ids[block * k : block * k + int(s)].tobytes())) for k, s in enumerate(sizes)]
-    head = np.concatenate([[MAGIC, n, block], np.stack([sizes, coder.used, crc], axis=1).reshape(-1) if n else []]).astype("<u4")
-    return head.tobytes() + b"".join(body)
+    head, body = [], []
+    for first in range(0, len(ids), block):
+        part = ids[first : first + block]
+        top = int(part.max()) + 1
+        count, words = _encode_block(part, top)
+        coded = count.astype("<u2").tobytes() + words.astype("<u2").tobytes()
+        head.append([len(part), top, len(words), zlib.crc32(coded, zlib.crc32(part.tobytes()))])
+        body.append(coded)
+    table = np.array(head, "<u4").tobytes()
+    return np.array([MAGIC, len(head), zlib.crc32(table)], "<u4").tobytes() + table + b"".join(body)
 
 
 def decode(data: bytes) -> np.ndarray:
     """The ids of a segment; ValueError if it is damaged."""
     if len(data) < 12:
         raise ValueError("the segment is cut short")
-    magic, n, block = np.frombuffer(data, "<u4", 3).tolist()
-    if magic != MAGIC or len(data) < 12 + 12 * n:
+    magic, n, crc = np.frombuffer(data, "<u4", 3).tolist()
+    if magic != MAGIC or len(data) < 12 + 16 * n:
         raise ValueError("this is no segment, or it is cut short")
-    sizes, used, crc = np.frombuffer(data, "<u4", 3 * n, 12).reshape(n, 3).astype(np.int64).T if n else (np.zeros(0, np.int64),) * 3
-    if len(data) != 12 + 12 * n + 2 * int(used.sum()) or (n and (sizes.max() > block or (sizes[:-1] != block).any())):
-        raise ValueError("the segment's length does not fit its header")
-    coder, model = _Decoder(np.frombuffer(data, "<u2", int(used.sum()), 12 + 12 * n), np.cumsum(used) - used), _Model(n)
-    grid = np.zeros((block if n else 0, n), np.int64)
-    for k in range(int(sizes[0]) if n else 0):
-        m = n if k < sizes[-1] else n - 1
-        p2, p1, p0, table = model.predict(m)
-        value = coder.peek(m, table[:, -1].astype(np.uint64)).astype(np.int32)
-        event = np.minimum((table <= value[:, None]).sum(axis=1), _EVENTS - 1)
-        flat, at = table.reshape(-1), model.row[:m] * _EVENTS + event
-        start = np.where(event > 0, flat[at - 1], 0).astype(np.uint64)
-        coder.take(m, start, flat[at].astype(np.uint64) - start)
-        lower = coder.peek(m, _SPAN[event])
-        coder.take(m, lower, _ONE)
-        coder.settle(m)
-        now = np.where(event == 0, p2, np.where(event == 1, p1, np.where(event == 2, p0, _FIRST[event] + lower.astype(np.int64))))
-        grid[k, :m] = now
-        model.update(m, now, event)
-    flat = grid.T.reshape(-1)[: int(sizes.sum())].astype("<u4")
-    ends = 12 + 12 * n + 2 * np.cumsum(used)
-    for k in range(n):
-        body = data[int(ends[k]) - 2 * int(used[k]) : int(ends[k])]
-        if zlib.crc32(body, zlib.crc32(flat[block * k : block * k + int(sizes[k])].tobytes())) != crc[k]:
+    at = 12 + 16 * n
+    if zlib.crc32(data[12:at]) != crc:
+        raise ValueError("the segment's header fails its checksum")
+    parts = [np.zeros(0, "<u4")]
+    for k, (size, top, used, crc) in enumerate(np.frombuffer(data, "<u4", 4 * n, 12).reshape(n, 4).tolist()):
+        lanes = _shape(size)[0]
+        end = at + 2 * (lanes + used)
+        coded = data[at:end]
+        count = np.frombuffer(coded, "<u2", min(lanes, len(coded) // 2)).astype(np.int64)
+        if len(coded) != end - at or int(count.sum()) != used:
+            raise ValueError(f"block {k} does not fit its header")
+        ids = _decode_block(count, np.frombuffer(coded, "<u2", used, 2 * lanes), size, top).astype("<u4")
+        if zlib.crc32(coded, zlib.crc32(ids.tobytes())) != crc:
             raise ValueError(f"block {k} fails its checksum")
-    return flat
+        parts.append(ids)
+        at = end
+    if at != len(data):
+        raise ValueError("the segment's length does not fit its header")
+    return np.concatenate(parts)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import delete_at_exit, documents, fresh_path, slices
+from .common import documents, fresh_path, slices
 from .tokens import default_path, encoder, with_end
 
 SEGMENT_IDS = 4 << 20
@@ -60,7 +60,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield flush()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, f"shard bigint, before bigint, doc_ids array<{kind}>, lengths array<bigint>, payload binary").write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(run, f"shard bigint, before bigint, doc_ids array<{kind}>, lengths array<bigint>, payload binary").write.mode("overwrite").option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -95,5 +95,4 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     write_token_files(documents(spark, sf_dir), path, default_path())
-    delete_at_exit(spark, path)
     return read_token_files(spark, path, with_ids=False)
