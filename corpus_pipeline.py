@@ -20,14 +20,15 @@ MIN_LANGUAGE_SCORE = 0.05
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled ones are in."""
     prototypes = language_id.learn(docs.select("text", "lang"))
-    found = language_id.predict(docs, prototypes)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+    plain = docs.toDF(*[c if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)])  # no name that the result has too
+    found = language_id.predict(plain, prototypes)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(plain.columns).toDF(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that another line repeats; documents with no line left go."""
     rest = [c for c in docs.columns if c != "text"]
-    found = line_dedup.dedup_lines(docs.select(F.struct(*rest).alias("doc_id"), "text"))
+    found = line_dedup.dedup_lines(docs.select(F.struct(*rest).alias("doc_id"), "text"), order=F.col("doc_id.doc_id"))
     left = found.where("n_lines > n_removed").select("doc_id.*", "text")
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
@@ -63,5 +64,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = common.stage(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.stage_alone(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name)
+        if hasattr(before, "staged_at"):
+            common.unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)

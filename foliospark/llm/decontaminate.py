@@ -5,14 +5,17 @@ characters. A window is `window` consecutive words of an item, an item of fewer
 window, an item without words has none. All windows go into one automaton; every text is
 scanned once, and hits are mapped back to byte offsets of the original text.
 
-Null texts have no words. Repeated items share windows and each counts. An item whose id is
-null marks words but is not listed. Items are broadcast in slices of at most `slice_bytes`,
-so that a benchmark of any size is scanned with a bounded automaton.
+Null texts have no words. Items of equal id count once, of other ids each, also if their texts
+are equal. An item whose id is null marks words but is not listed. Repeated documents each get
+a row. Items are broadcast in slices of at most `slice_bytes` of text (1 MB makes an automaton
+of about 360 MB, built once a Python worker), each scanned for by itself, so that a benchmark
+of any size needs bounded memory. A text is scanned whole, in memory that follows its length.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, slices, stage, utf8
+from .common import documents, slices, stage, unstage, utf8
 
 _WORD_BYTES = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(0x80, 0x100))
 #: Upper case to lower case, every separator to a blank; one byte stays one byte, so offsets hold.
 _FOLD = bytes(c if c in _WORD_BYTES else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
+SLICE = 1 << 20
 
 
 def item_windows(text: bytes, window: int) -> set[str]:
@@ -51,6 +55,17 @@ def automaton(items: list[tuple[str | None, bytes]], window: int):
     return machine if owners else None
 
 
+_BUILT: dict[str, tuple] = {}
+
+
+def _built(token: str, items: list[tuple[str | None, bytes]], window: int) -> tuple:
+    """(automaton, ids) of a slice; a Python worker keeps the last one."""
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = automaton(items, window), [i for i, _ in items]
+    return _BUILT[token]
+
+
 def scan(text: bytes, machine, ids: list[str | None]) -> tuple[int, np.ndarray, set[str], int]:
     """Words in the text, the hit words' mask (empty if none is hit), listed item ids, words of the longest window hit."""
     words = text.translate(_FOLD).split()
@@ -85,7 +100,7 @@ def _slices_of(items: DataFrame, slice_bytes: int) -> Iterator[list[tuple[str |
     yield part
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items: int = 2, slice_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items: int = 2, slice_bytes: int = SLICE) -> DataFrame:
     """One row per document: doc_id, text, n_words, n_hit, item_ids, longest, spans, contaminated.
 
     item_ids: the sorted ids of items with a window in the text. longest: the words of the
@@ -117,10 +132,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items:
     part = next(parts)
     while part is not None:
         after = next(parts, None)
-        sent = spark.sparkContext.broadcast(part)
+        sent, token = spark.sparkContext.broadcast(part), uuid.uuid4().hex
 
-        def mark(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            machine, ids = automaton(sent.value, window), [i for i, _ in sent.value]
+        def mark(batches: Iterator[pa.RecordBatch], sent=sent, token=token) -> Iterator[pa.RecordBatch]:
+            machine, ids = _built(token, sent.value, window)
             for batch in slices(batches):
                 texts = utf8(batch.column(1))
                 n, masks, lists, longest = [], [], [], []
@@ -137,7 +152,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items:
         if after is None:
             rows = rows.mapInArrow(lambda batches, mark=mark: finish(mark(batches)), result)
         else:
-            rows = stage(rows.mapInArrow(mark, schema), "decontaminate")
+            last, rows = rows, stage(rows.mapInArrow(mark, schema), "decontaminate")
+            if hasattr(last, "staged_at"):
+                unstage(last)
         part = after
 
     return rows.withColumn("contaminated", F.size("item_ids") >= min_items)

@@ -8,13 +8,14 @@ texts. The prediction is the prototype of greatest cosine and the score that cos
 least. Ties go to the first language in order.
 
 Null texts and texts without a letter get `und` and score 0. Rows without lang are predicted
-but not learned from. With nothing to learn from, every text is `und`.
+but not learned from. With nothing to learn from, every text is `und`. Repeated rows each
+count. Texts of any length are read whole, some PIECE characters at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from .common import documents, slices
 
 DIMENSIONS, GRAM, SEED = 1024, 3, 20240229
 _DENSE = 160  # alphabets up to this size are counted by table
+PIECE, CHUNK = 1 << 20, 4096  # characters and grams handled at a time
+_REACH = 64  # characters beyond a cut that are looked at for a letter's neighbours
 
 
 @cache
@@ -33,22 +36,53 @@ def _letters() -> np.ndarray:
     return np.frombuffer(bytes(chr(c).isalpha() for c in range(0x110000)), np.bool_)
 
 
-@cache
+@lru_cache(maxsize=1 << 14)
 def letter_vector(code: int, dims: int = DIMENSIONS) -> np.ndarray:
     return np.random.default_rng([SEED, code]).integers(0, 2, dims, np.int8) * np.int8(2) - np.int8(1)
 
 
-def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts (texts x grams), the grams' code points (grams x GRAM; 0 is blank), has-letter mask."""
-    joined = "\x00".join(t.lower().replace("\x00", " ") for t in texts)
+def _pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str], np.ndarray, np.ndarray]]:
+    """Lower-cased texts in packs of about PIECE characters: text numbers, pieces, and which of them follow or precede another.
+
+    A longer text is cut; a piece then has a character of the next and of the one before, whose grams are not its own.
+    """
+    numbers, parts, after, before, held = [], [], [], [], 0
+    for k, t in enumerate(texts):
+        t = t.lower().replace("\x00", " ")
+        for start in range(0, max(1, len(t)), PIECE):
+            stop = min(len(t), start + PIECE)
+            first, last = max(0, start - _REACH), min(len(t), stop + _REACH)
+            numbers.append(k)
+            parts.append(t[first:last])
+            after.append(start - first)
+            before.append(last - stop)
+            held += last - first
+            if held >= PIECE:
+                yield numbers, parts, np.array(after), np.array(before)
+                numbers, parts, after, before, held = [], [], [], [], 0
+    if parts:
+        yield numbers, parts, np.array(after), np.array(before)
+
+
+def grams_of(parts: list[str], after: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each letter's part, its gram's number, and the grams' code points (grams x GRAM; 0 is blank).
+
+    The first `after` and last `before` characters of a part give its letters' neighbours alone.
+    """
+    joined = "\x00".join(parts)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    own = np.ones(len(codes), bool)
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(lengths + 1) - 1
+    for k in np.flatnonzero((after > 0) | (before > 0)).tolist():
+        own[ends[k] - lengths[k] : ends[k] - lengths[k] + after[k]] = False
+        own[ends[k] - before[k] : ends[k]] = False
     cut = codes == 0
     letter = _letters()[codes]
     keep = letter | cut
     keep[1:] |= letter[:-1]  # the first other character after a letter stays as a blank
-    codes, cut, letter = codes[keep], cut[keep], letter[keep]
+    codes, cut, letter, own = codes[keep], cut[keep], letter[keep], own[keep]
     doc = np.cumsum(cut, dtype=np.int64)
-    has = np.bincount(doc[letter], minlength=len(texts)) > 0
     # Blanks around: a text starts and ends with one (its cut mark serves as both).
     alphabet, index = np.unique(np.where(letter, codes, 0), return_inverse=True) if len(codes) else (np.zeros(1, np.uint32), np.zeros(0, np.int64))
     if not len(alphabet) or alphabet[0] != 0:
@@ -56,7 +90,7 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = len(alphabet)
     padded = np.concatenate([[0], index, [0]]).astype(np.int64)
     key = (padded[:-2] * size + padded[1:-1]) * size + padded[2:]
-    real = padded[1:-1] > 0  # one gram for each letter: its neighbours and itself
+    real = (padded[1:-1] > 0) & own  # one gram for each letter: its neighbours and itself
     key, doc = key[real], doc[real]
     if size <= _DENSE:
         present = np.flatnonzero(np.bincount(key, minlength=size**3))
@@ -65,23 +99,39 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         column = slot[key]
     else:
         present, column = np.unique(key, return_inverse=True)
-    counts = np.bincount(doc * max(1, len(present)) + column, minlength=len(texts) * max(1, len(present))).reshape(len(texts), -1).astype(np.float32)
     grams = np.stack([alphabet[present // size**2], alphabet[present // size % size], alphabet[present % size]], axis=1) if len(present) else np.zeros((0, GRAM), np.uint32)
-    return (counts if len(present) else np.zeros((len(texts), 0), np.float32)), grams, has
+    return doc, column, grams
 
 
 def encode(texts: list[str], dims: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors (texts x dims, float32; zero without letters) and the has-letter mask."""
-    counts, grams, has = gram_counts(texts)
-    if not grams.size:
-        return np.zeros((len(texts), dims), np.float32), has
-    codes, place = np.unique(grams, return_inverse=True)
-    place = place.reshape(grams.shape)
-    base = np.stack([letter_vector(int(c), dims) for c in codes])
-    bound = np.roll(base, 2, axis=1)[place[:, 0]]
-    bound *= np.roll(base, 1, axis=1)[place[:, 1]]
-    bound *= base[place[:, 2]]
-    out = counts @ bound.astype(np.float32)
+    """Unit vectors (texts x dims, float32; zero without letters) and the has-letter mask.
+
+    Grams are bound CHUNK at a time, so memory does not grow with a text's length or its scripts.
+    """
+    out, has = np.zeros((len(texts), dims), np.float32), np.zeros(len(texts), bool)
+    for numbers, parts, after, before in _pieces(texts):
+        doc, column, grams = grams_of(parts, after, before)
+        if not len(grams):
+            continue
+        codes, place = np.unique(grams, return_inverse=True)
+        place = place.reshape(grams.shape)
+        order = np.argsort(column, kind="stable") if len(grams) > CHUNK else np.arange(len(column))
+        doc, column = doc[order], column[order]
+        for first in range(0, len(grams), CHUNK):
+            some = slice(None) if len(grams) <= CHUNK else slice(*np.searchsorted(column, (first, first + CHUNK)))
+            used, at = np.unique(place[first : first + CHUNK], return_inverse=True)
+            at = at.reshape(-1, GRAM)
+            base = np.stack([letter_vector(int(codes[c]), dims) for c in used])
+            bound = np.roll(base, 2, axis=1)[at[:, 0]]
+            bound *= np.roll(base, 1, axis=1)[at[:, 1]]
+            bound *= base[at[:, 2]]
+            counts = np.bincount(doc[some] * len(at) + column[some] - first, minlength=len(parts) * len(at)).reshape(len(parts), -1).astype(np.float32)
+            vectors = counts @ bound.astype(np.float32)
+            if len(parts) == len(set(numbers)):
+                out[numbers] += vectors
+            else:
+                np.add.at(out, numbers, vectors)
+        has[np.array(numbers)[np.unique(doc)]] = True
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm > 0, norm, 1), has
 
@@ -123,7 +173,7 @@ def learn(labelled: DataFrame, dims: int = DIMENSIONS) -> dict[str, np.ndarray]:
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = DIMENSIONS) -> DataFrame:
-    """docs with lang_pred and score; every other column passes through (same names replaced)."""
+    """docs with lang_pred and score after its own columns; own ones of these two names are replaced."""
     langs = list(prototypes)
     table = np.stack([prototypes[k] for k in langs]).astype(np.float32) if langs else np.zeros((0, dims), np.float32)
     docs = docs.drop("lang_pred", "score")

@@ -6,8 +6,10 @@ goes to the open bin with the least free space that holds it, found as the lowes
 a bitset keyed by free space; when `open_bins` are open and none fits, the fullest closes.
 
 Packing is online within each input partition, so there is no shuffle: at most `open_bins`
-sequences a partition stay unfilled. A null text is empty (its end id alone). Repeated rows
-are packed once each. sequence_id is the partition's number in the upper bits.
+sequences a partition stay unfilled, and many small partitions need more sequences than few
+large ones (at 50 MB of text a partition about 1 %). A null text is empty (its end id alone).
+Repeated rows are packed once each; a text of any length is encoded whole and cut. Columns
+other than doc_id and text are not read. sequence_id is the partition's number in the upper bits.
 """
 
 from __future__ import annotations

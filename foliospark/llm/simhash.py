@@ -20,6 +20,7 @@ its fingerprint's component but cannot name it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, documents, slices, stage, utf8
+from .common import connected_components, documents, free_name, slices, stage, unstage, utf8
 
 RADIUS, BUCKET, SMALL = 3, 4096, 8
 _ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -159,30 +160,40 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(a, b) links that connect all pairs of distinct(fp) within the radius, none beyond it."""
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> list[DataFrame]:
+    """Staged frames of (a, b) links, which connect all pairs of distinct(fp) within the radius and none beyond it."""
     masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
     todo = distinct.select("fp", F.explode(masks).alias("mask"))
-    links = None
+    rounds: list[DataFrame] = []
     while True:
         dealt = todo.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("masked"), "fp")
         sorted_ = dealt.repartition("mask", "masked").sortWithinPartitions("mask", "masked")
-        found = stage(sorted_.mapInArrow(lambda batches: _match(batches, radius, bucket), "a bigint, b bigint, mask bigint"), "simhash-links")
-        part = found.where("mask is null").select("a", "b")
-        links = part if links is None else links.union(part)
-        hot = found.where("mask is not null")
+        rounds.append(stage(sorted_.mapInArrow(lambda batches: _match(batches, radius, bucket), "a bigint, b bigint, mask bigint"), "simhash-links"))
+        hot = rounds[-1].where("mask is not null")
         if hot.isEmpty():
-            return links
+            return rounds
         fixed = [r[0] for r in hot.select("mask").distinct().collect()]  # at most tables x blocks**rounds
         finer = F.create_map(*[x for m in fixed for x in (F.lit(m), F.array(*[F.lit(_signed(f)) for f in finer_masks(m & (2**64 - 1), radius)]))])
         todo = hot.select(F.col("a").alias("fp"), F.explode(finer[F.col("mask")]).alias("mask")).distinct()
 
 
+def fingerprint_components(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, root) of the fingerprints of distinct(fp) that link to another."""
+    rounds = fingerprint_links(distinct, radius)
+    links = reduce(DataFrame.union, [r.where("mask is null").select("a", "b") for r in rounds])
+    roots = connected_components(links)
+    unstage(*rounds)
+    return roots
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
-    """doc_id, fp, component_id (least doc_id reachable, itself included) for every row."""
+    """doc_id, fp, component_id (least doc_id reachable, itself included) for every row.
+
+    Other columns of docs are not read, whatever their names. Repeated rows each get a row.
+    """
     own = stage(fingerprints(docs, shingle), "simhash")
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(fingerprint_links(distinct.select("fp"), radius))
+    roots = fingerprint_components(distinct.select("fp"), radius)
     labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = labelled.join(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -194,17 +205,21 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
-    """The rows of docs with one of each component: that of the least doc_id, else the first read."""
-    at = docs.columns.index("text")
+    """The rows of docs with one of each component: that of the least doc_id, else the first read.
+
+    All columns pass through, whatever their names.
+    """
+    at, fp, row = docs.columns.index("text"), free_name(docs, "fp"), free_name(docs, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(t, shingle) for t in utf8(batch.column(at))], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, "_fp"])
-
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
-    own = stage(marked.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
-    roots = connected_components(fingerprint_links(own.select(F.col("_fp").alias("fp")).distinct(), radius))
-    first = own.groupBy("_fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
-    best = first.join(roots, first["_fp"] == roots["node"], "left").groupBy(F.coalesce("root", "_fp")).agg(F.min("first")["_row"].alias("_row"))
-    return own.join(best.select("_row"), "_row", "left_semi").select(docs.columns)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, fp])
+
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
+    own = stage(marked.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    small = own.select(F.col(fp).alias("fp"), "doc_id", F.col(row).alias("row"))
+    roots = fingerprint_components(small.select("fp").distinct(), radius)
+    first = small.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    best = first.join(roots, first["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first")["row"].alias(row))
+    return own.join(best.select(row), row, "left_semi").select(docs.columns)

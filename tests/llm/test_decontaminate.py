@@ -54,6 +54,14 @@ def test_clean_rows_drop_full_windows_and_keep_short_chance_hits(spark):
     assert [r.doc_id for r in clean_rows(docs, items).orderBy("doc_id").collect()] == [2, 3]
 
 
+def test_ten_megabytes_in_one_text(spark):
+    text = "filler word " * 900_000 + "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "One two three four, five six seven eight")], "item_id long, text string")
+    (row,) = decontaminate(docs, items).select("n_words", "n_hit", "item_ids", "spans").collect()
+    assert (row.n_words, row.n_hit, row.item_ids) == (1_800_008, 8, ["5"]) and row.spans[0].end == len(text)
+
+
 def test_empty_tables(spark, docs, no_docs, rows):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {(r.n_hit, r.contaminated) for r in decontaminate(docs, none).collect()} == {(0, False)}

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter
@@ -12,8 +13,6 @@ TEXTS = {"en": "the quick brown fox jumps over the lazy dog and the river", "de"
 
 
 def test_language_held_out_accuracy(spark):
-    import random
-
     rng = random.Random(1)
     rows = []
     for i in range(300):
@@ -44,6 +43,65 @@ def test_language_gram_counts_do_not_depend_on_the_batch():
     assert np.allclose(together, alone, atol=1e-5)
 
 
+def brute_vector(text, dims=language_id.DIMENSIONS):
+    """Letter by letter: neighbours and itself, bound and bundled."""
+    text, out = text.lower(), np.zeros(dims)
+    units = []
+    for c in text:
+        if c.isalpha():
+            units.append(c)
+        elif units and units[-1]:
+            units.append("")
+    units = ["", *units, ""]
+    vector = lambda c: language_id.letter_vector(ord(c) if c else 0, dims).astype(float)
+    for k in range(1, len(units) - 1):
+        if units[k]:
+            out += np.roll(vector(units[k - 1]), 2) * np.roll(vector(units[k]), 1) * vector(units[k + 1])
+    return out / (np.linalg.norm(out) or 1)
+
+
+def test_language_matches_brute_force(docs, rows):
+    """Prototypes, predictions and scores of the whole table, letter by letter."""
+    some = [r for r in rows if r[0] != 5000]
+    held_out = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 == 0
+    langs = lambda i: "ab"[(i or 0) % 2]
+    table = docs.where("doc_id is null or doc_id <> 5000").select("doc_id", "text", F.when(F.coalesce("doc_id", F.lit(0)) % 2 == 0, "a").otherwise("b").alias("lang"), language_id.is_held_out(F.col("doc_id")).alias("held_out"))
+    protos = language_id.learn(table.where("not held_out").select("text", "lang"))
+    sums = {}
+    for i, t in some:
+        if not held_out(i):
+            sums[langs(i)] = sums.get(langs(i), 0) + brute_vector(t or "")
+    want_protos = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    assert list(protos) == sorted(want_protos) and all(np.allclose(protos[k], v, atol=1e-4) for k, v in want_protos.items())
+    got = sorted(((r.doc_id, r.held_out, r.score) for r in language_id.predict(table, protos).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    want = sorted(((i, held_out(i), max(0.0, *(float(v @ brute_vector(t or "")) for v in want_protos.values()))) for i, t in some), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-4)
+
+
+def test_language_of_cut_and_long_texts(monkeypatch):
+    """Cut anywhere, a text has the vector it has whole; many scripts need little memory."""
+    texts = ["".join(random.Random(k).choices("abc é中ß\u0130 .\n", k=900)) for k in range(4)]
+    whole, has = language_id.encode(texts)
+    monkeypatch.setattr(language_id, "PIECE", 50)
+    monkeypatch.setattr(language_id, "CHUNK", 7)
+    cut, has_too = language_id.encode(texts)
+    assert np.allclose(whole, cut, atol=1e-5) and has.tolist() == has_too.tolist() == [True] * 4
+    assert np.allclose(whole[0], brute_vector(texts[0]), atol=1e-4)
+
+
+def test_language_of_many_han_letters_in_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(8)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(350_000))
+    language_id.encode(["warm up"])
+    tracemalloc.start()
+    language_id.encode([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+
+
 def brute_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))

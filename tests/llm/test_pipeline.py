@@ -3,6 +3,8 @@ import re
 
 import numpy as np
 import pytest
+import tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from foliospark.llm import common, language_id, line_dedup, tokens
@@ -59,7 +61,8 @@ def brute(rows):
         w = words_of(t)
         if not any(tuple(w[k : k + 8]) in windows for k in range(len(w) - 7)):
             clean.append((i, t))
-    return {i: [*tokens.encoder(tokens.default_path()).tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in clean}
+    library = tokenizers.Tokenizer.from_file(tokens.default_path())
+    return {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in clean}
 
 
 def test_run_matches_brute_force(spark, folder):
@@ -77,5 +80,56 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, folder):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), folder[1]).collect() == []
 
 
+def test_clashing_columns_pass_through(spark, folder):
+    """Columns named like the operators' own keep their values through the stages."""
+    names = ["score", "lang_pred", "_fp", "_row", "block", "place", "order", "longest", "contaminated", "c0"]
+    docs = common.documents(spark, folder[1]).select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, folder[1])
+        assert kept.dtypes == docs.dtypes
+        assert all(r[n] == f"{n}{r.doc_id}" for r in kept.select("doc_id", *names).collect() for n in names)
+
+
+def test_staged_files_go(spark, folder):
+    """After a run only what the lazy result reads is left."""
+    import os
+
+    before = set(os.listdir(common.shared_dir(spark)))
+    corpus_pipeline.run(spark, folder[1]).count()
+    left = {x.split("-")[0] for x in set(os.listdir(common.shared_dir(spark))) - before}
+    assert left == {"decontaminate"}
+
+
+CODE = """
+from pyspark.sql import SparkSession
+from foliospark.llm import common
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+df = common.stage(spark.range(5), "x")
+assert df.count() == 5 and common.shared_dir(spark) == common.shared_dir(spark)
+common.unstage(df)
+print("staged", flush=True)
+"""
+
+
+def test_a_session_without_a_shared_folder(tmp_path):
+    """One machine gets a folder of its own; a cluster is told to name one."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    run = subprocess.run([sys.executable, "-c", CODE], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True)
+    assert "staged" in run.stdout, run.stderr[-2000:]
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Cluster)
+
+
 def test_stages_are_the_five_in_order():
     assert [re.sub("_.*", "", n) for n, _ in corpus_pipeline.STAGES] == ["language", "line", "simhash", "decontaminate", "best"]
