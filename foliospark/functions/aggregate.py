@@ -1,14 +1,16 @@
 """Range formula functions as aggregate expressions.
 
 An argument is a Range (a whole column of the table, one value a row) or a direct value.
-Most functions are decomposable aggregates, which Spark combines map-side. Those that need
-the values together (several ranges in MEDIAN and its like, LARGE, SMALL, MODE, ordered
-concatenation) gather one group's numbers; for groups without a bound use the window
-operators in `operators.statistics`.
+Most functions are decomposable aggregates, which Spark combines map-side. Those that need a
+group's values in order (LARGE, SMALL, MODE, MEDIAN, percentiles, RANK, AVEDEV, several ranges
+in a spread, joined texts) are frames of their own from `operators.statistics`, joined to the
+groups, so that no group is gathered. On a stream, which cannot be joined to itself, and where a
+position or percentile is no constant, these gather a group's numbers.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field as default
 from functools import reduce
@@ -17,6 +19,7 @@ from operator import add, and_, mul
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators import statistics
 from ..plans.values import DIV0, NA, NUM, REF, VALUE, Val, boolean, compare, error, exact, field, first_error, is_blank, kind_is, num, text, to_cell, to_num, to_text
 from .criteria import predicate, wildcard_match
 
@@ -35,16 +38,51 @@ class Range:
         return c if self.where is None else F.when(self.where, c)
 
 
+#: What the columns that a plan adds are named by, with a number after.
+PREFIX = "_folio"
+
+
 @dataclass(frozen=True)
 class Plan:
-    """How aggregates are taken: over a window, or plainly; order gives the rows' order."""
+    """The aggregates and frames that formulas need; their results are columns by name.
+
+    per_row: the formulas are for each row, not each group. order: the rows' order.
+    streaming: the table is a stream, so frames of its own rows cannot be joined to it.
+    """
 
-    window: object = None
+    per_row: bool = False
     order: Column | None = None
     literals: dict = default(default_factory=dict)
+    streaming: bool = False
+    aggregates: list = default(default_factory=list)
+    frames: list = default(default_factory=list)  # (key of each row or None, (table, by) to a frame)
+    shares: dict = default(default_factory=dict)  # percentiles wanted of the same rows, by name
 
     def __call__(self, c: Column) -> Column:
-        return c if self.window is None else c.over(self.window)
+        name = f"{PREFIX}_a{len(self.aggregates)}"
+        self.aggregates.append(c.alias(name))
+        return F.col(name)
+
+    def frame(self, build: Callable, key: Column | None = None) -> Column:
+        """The column that `build(table, by, name)` has for the row's group (and _key)."""
+        name = f"{PREFIX}_f{len(self.frames)}"
+        self.frames.append((key, lambda df, by: build(df, by, name)))
+        return F.col(name)
+
+    def percentile(self, rows: Callable, which: str, p: float) -> Column:
+        """A percentile of rows; those of the same rows are found together."""
+        if which not in self.shares:
+            wanted: dict[str, float] = {}
+            self.shares[which] = wanted
+            self.frames.append((None, lambda df, by: statistics.percentiles(rows(df, by), "_x", by, wanted)))
+        name = f"{PREFIX}_p{len(self.shares)}_{len(self.shares[which])}"
+        self.shares[which][name] = p
+        return F.col(name)
+
+    def framed(self, args: list) -> bool:
+        """Whether these arguments' values can be rows of a frame."""
+        flat = _flat(args)
+        return not self.streaming and any(isinstance(a, Range) for a in flat) and all(isinstance(a, Range) or id(a) in self.literals for a in flat)
 
 
 @dataclass(frozen=True)
@@ -242,6 +280,23 @@ def _sumproduct(args, plan):
     return num(F.coalesce(plan(F.sum(reduce(mul, factors))), F.lit(0.0)), _error(args, plan))
 
 
+def _rows(args: list[Arg], plan: Plan) -> Callable:
+    """The arguments' numbers as rows: the group, _x and its place _o, by argument and then in the rows' order."""
+    flat = list(enumerate(_flat(args)))
+
+    def build(df, by):
+        order = plan.order if plan.order is not None else F.lit(0)
+        parts = [F.struct(_number(a).alias("_x"), F.struct(F.lit(k).alias("k"), order.alias("o")).alias("_o")) for k, a in flat if isinstance(a, Range)]
+        rows = df.select(*by, parts[0].alias("_i")) if len(parts) == 1 else df.select(*by, F.explode(F.array(*parts)).alias("_i"))
+        direct = [F.struct(_number(a).alias("_x"), F.struct(F.lit(k).alias("k"), F.lit(None).cast(rows.schema["_i"].dataType["_o"].dataType["o"].dataType).alias("o")).alias("_o")) for k, a in flat if not isinstance(a, Range)]
+        if direct:
+            groups = df.select(*by).distinct() if by else df.sparkSession.range(1)
+            rows = rows.union(groups.select(*by, F.explode(F.array(*direct)).alias("_i")))
+        return rows.select(*by, "_i.*").where("_x is not null")
+
+    return build
+
+
 def _numbers(args: list[Arg], plan: Plan) -> Column:
     """All numbers of the arguments in one array, in argument order."""
     parts = [plan(F.collect_list(_number(a))) if isinstance(a, Range) else F.array_compact(F.array(_number(a))) for a in _flat(args)]
@@ -265,9 +320,17 @@ def percentile_of(xs: Column, p: Column) -> Column:
     return a + (b - a) * (place - low)
 
 
+def _key(args: list[Arg]) -> str:
+    """The same for arguments of the same numbers."""
+    return "|".join(str(_number(a)) for a in _flat(args))
+
+
 @define("MEDIAN", 1, 255)
 def _median(args, plan):
-    value = plan(F.median(_number(args[0]))) if _single(args) else percentile_of(_numbers(args, plan), F.lit(0.5))
+    if plan.framed(args):
+        value = plan.percentile(_rows(args, plan), _key(args), 0.5)
+    else:
+        value = plan(F.median(_number(args[0]))) if _single(args) else percentile_of(_numbers(args, plan), F.lit(0.5))
     return num(value, _error(args, plan), F.when(_count(args, plan) == 0, NUM))
 
 
@@ -276,6 +339,9 @@ def _spread(names: str, aggregate, of_array, least: int) -> None:
         n = _count(args, plan)
         if _single(args) and aggregate is not None:
             value = plan(aggregate(_number(args[0])))
+        elif plan.framed(args):
+            rows = _rows(args, plan)
+            value = plan.frame(lambda df, by, name: statistics.mean_deviation(rows(df, by), "_x", by, name) if aggregate is None else rows(df, by).groupBy(*by).agg(aggregate("_x").alias(name)))
         else:
             xs = _numbers(args, plan)
             mean = F.try_divide(_add_up(xs), F.size(xs))
@@ -301,6 +367,9 @@ def _devsq(args, plan):
     n = _count(args, plan)
     if _single(args):
         value = plan(F.var_pop(_number(args[0]))) * n
+    elif plan.framed(args):
+        rows = _rows(args, plan)
+        value = plan.frame(lambda df, by, name: rows(df, by).groupBy(*by).agg(F.var_pop("_x").alias(name))) * n
     else:
         xs = _numbers(args, plan)
         value = _square_sum(xs, F.try_divide(_add_up(xs), F.size(xs)))
@@ -352,11 +421,11 @@ _a_kind("MINA", _extreme_a(F.min, F.least))
 
 @define("MODE MODE.SNGL", 1, 255)
 def _mode(args, plan):
-    if plan.order is not None and _single(args):
-        x = _number(args[0])
-        xs = F.transform(F.array_sort(plan(F.collect_list(F.when(x.isNotNull(), F.struct(plan.order.alias("o"), x.alias("x")))))), lambda s: s["x"])
-    else:
-        xs = _numbers(args, plan)
+    if plan.framed(args):
+        rows, order = _rows(args, plan), "_o" if plan.order is not None or not _single(args) else None
+        value = plan.frame(lambda df, by, name: statistics.mode_first(rows(df, by), "_x", order, by, name))
+        return num(value, _error(args, plan), F.when(value.isNull(), NA))
+    xs = _numbers(args, plan)
     times = F.transform(xs, lambda x: F.size(F.filter(xs, lambda y: y == x)))
     most = F.array_max(times)
     return num(F.get(xs, (F.array_position(times, most) - 1).cast("int")), _error(args, plan), F.when(F.coalesce(most, F.lit(0)) < 2, NA))
@@ -365,8 +434,15 @@ def _mode(args, plan):
 def _kth(largest: bool):
     def build(args, plan):
         k, e = to_num(args[1])
-        xs = F.sort_array(_numbers(args[:1], plan), asc=not largest)
         n = F.floor(k).cast("int")
+        constant = plan.literals.get(id(args[1]))
+        if plan.framed(args[:1]) and isinstance(constant, float):
+            rows, place = _rows(args[:1], plan), math.floor(constant)
+            if place < 1:
+                return error(NUM)
+            value = plan.frame(lambda df, by, name: statistics.kth(rows(df, by), "_x", place, by, largest, name))
+            return num(value, _error(args[:1], plan), e, F.when(value.isNull(), NUM))
+        xs = F.sort_array(_numbers(args[:1], plan), asc=not largest)
         bad = (n < 1) | (n > F.size(xs))
         return num(F.when(~bad, F.get(xs, n - 1)), _error(args[:1], plan), e, F.when(bad, NUM))
 
@@ -383,7 +459,9 @@ def _percentile(scale: float, top: float):
         p = F.floor(k) / scale if scale > 1 else k
         bad = (k < 0) | (F.floor(k) > top if scale > 1 else k > top)
         constant = plan.literals.get(id(args[1]))
-        if _single(args[:1]) and isinstance(constant, float) and 0 <= constant <= top:
+        if plan.framed(args[:1]) and isinstance(constant, float) and 0 <= constant <= top:
+            value = plan.percentile(_rows(args[:1], plan), _key(args[:1]), (int(constant) if scale > 1 else constant) / scale)
+        elif _single(args[:1]) and isinstance(constant, float) and 0 <= constant <= top:
             value = plan(F.percentile(_number(args[0]), F.lit((int(constant) if scale > 1 else constant) / scale)))
         else:
             value = percentile_of(_numbers(args[:1], plan), F.when(~bad, p))
@@ -400,15 +478,13 @@ define("QUARTILE QUARTILE.INC", 2)(_percentile(4.0, 4.0))
 def _rank(args, plan):
     x, e = to_num(args[0])
     up = to_num(args[2])[0] != 0 if len(args) > 2 else F.lit(False)
+    if plan.per_row and id(args[0]) not in plan.literals and plan.framed(args[1:2]):
+        ascending = bool(len(args) > 2 and plan.literals.get(id(args[2])))
+        rows = _rows(args[1:2], plan)
+        key = field(args[0], "num") if args[0].kind in ("num", "cell") else x
+        place = plan.frame(lambda df, by, name: statistics.ranks(rows(df, by), "_x", by, ascending, name).withColumnRenamed("_x", "_key"), key)
+        return exact(place.cast("double"), e, F.when(place.isNull(), NA))
     y = _number(args[1])
-    if plan.window is not None and id(args[0]) not in plan.literals:
-        down = not (len(args) > 2 and plan.literals.get(id(args[2])))
-        if str(args[0].col) == str(args[1].val.col):  # this row's own value
-            place = F.rank().over(plan.window.orderBy(y.desc_nulls_last() if down else y.asc_nulls_last()))
-            return exact(place.cast("double"), e, F.when(y.isNull(), NA))
-        ys = plan(F.collect_list(y))
-        place = F.size(F.filter(ys, lambda v: v > x if down else v < x)) + 1
-        return exact(place.cast("double"), e, F.when(~F.array_contains(ys, x), NA))
     beyond = plan(F.count_if(F.coalesce(F.when(up, y < x).otherwise(y > x), F.lit(False))))
     there = plan(F.count_if(F.coalesce(y == x, F.lit(False))))
     return exact((beyond + 1).cast("double"), e, F.when(there == 0, NA))
@@ -446,7 +522,8 @@ def _gcd(a: Column, b: Column) -> Column:
 
 def _divisors(least: bool):
     def build(args, plan):
-        xs = F.transform(_numbers(args, plan), lambda x: F.signum(x) * F.floor(F.abs(x)).cast("double"))
+        parts = [plan(F.collect_set(_number(a))) if isinstance(a, Range) else F.array_compact(F.array(_number(a))) for a in args]  # repeats change nothing
+        xs = F.transform(F.concat(*parts), lambda x: F.signum(x) * F.floor(F.abs(x)).cast("double"))
         bad = F.exists(xs, lambda x: x < 0)
         if least:
             value = F.aggregate(xs, F.lit(1.0), lambda acc, x: F.when((acc == 0) | (x == 0), 0.0).otherwise(F.try_divide(acc, _gcd(acc, x)) * x))
@@ -476,8 +553,34 @@ def _texts(args: list[Arg], plan: Plan) -> tuple[Column, list[Column | None]]:
     return F.concat(*parts), errors
 
 
+def _joined_texts(args: list[Arg], plan: Plan, between: str, skip: bool) -> Val:
+    """The arguments' texts in order; a group whose text would be too long is only measured, never gathered."""
+    skip = skip or not between  # what is empty then leaves no trace
+    flat = list(enumerate(args))
+
+    def build(df, by, name):
+        order = plan.order if plan.order is not None else F.lit(0)
+        parts = [F.struct(F.lit(k).alias("k"), order.alias("o"), a.of(to_text(a.val)[0]).alias("s")) for k, a in flat if isinstance(a, Range)]
+        rows = df.select(*by, F.explode(F.array(*parts)).alias("_i"))
+        direct = [F.struct(F.lit(k).alias("k"), F.lit(None).cast(rows.schema["_i"].dataType["o"].dataType).alias("o"), to_text(a)[0].alias("s")) for k, a in flat if not isinstance(a, Range)]
+        if direct:
+            groups = df.select(*by).distinct() if by else df.sparkSession.range(1)
+            rows = rows.union(groups.select(*by, F.explode(F.array(*direct)).alias("_i")))
+        rows = rows.where("_i.s <> ''" if skip else "_i.s is not null")
+        sizes = rows.groupBy(*by).agg((F.sum(F.length("_i.s")) + (F.count("*") - 1) * len(between)).alias("_n"))
+        short = statistics.joined(rows, sizes.where(F.col("_n") <= MAX_TEXT), by, "inner") if by else rows.join(F.broadcast(sizes.where(F.col("_n") <= MAX_TEXT)), how="cross")
+        text_of = F.array_join(F.transform(F.array_sort(F.collect_list("_i")), lambda i: i["s"]), between)
+        kept = short.groupBy(*by).agg(text_of.alias("_t"))
+        return statistics.joined(sizes, kept, by).select(*by, F.struct(F.col("_t"), (F.col("_n") > MAX_TEXT).alias("_long")).alias(name))
+
+    found = plan.frame(build)
+    return text(F.coalesce(found["_t"], F.lit("")), _error(args, plan), *[to_text(a)[1] for a in args if not isinstance(a, Range)], F.when(found["_long"], VALUE))
+
+
 @define("CONCAT", 1, 255)
 def _concat(args, plan):
+    if plan.framed(args):
+        return _joined_texts(args, plan, "", False)
     items, errors = _texts(args, plan)
     out = F.array_join(items, "")
     return text(out, _error(args, plan), *errors, F.when(F.length(out) > MAX_TEXT, VALUE))
@@ -487,6 +590,9 @@ def _concat(args, plan):
 def _textjoin(args, plan):
     from ..plans.values import to_bool
 
+    between, drop = plan.literals.get(id(args[0])), plan.literals.get(id(args[1]))
+    if plan.framed(args[2:]) and isinstance(between, str) and isinstance(drop, (bool, float)):
+        return _joined_texts(args[2:], plan, between, bool(drop))
     (d, e), (skip, e2) = to_text(args[0]), to_bool(args[1])
     items, errors = _texts(args[2:], plan)
     kept = F.filter(items, lambda x: ~skip | (x != ""))
@@ -500,7 +606,7 @@ def _match(args, plan):
     """Position in the range's order (plan.order counts from 1)."""
     if not isinstance(args[1], Range) or plan.order is None:
         return error(VALUE)
-    if plan.window is not None and id(args[0]) not in plan.literals:
+    if plan.per_row and id(args[0]) not in plan.literals:
         raise NotImplementedError("look up a column's own values with operators.lookup")
     kind = to_num(args[2])[0] if len(args) > 2 else F.lit(1.0)
     v, at = args[1].val, plan.order

@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.compile import truth
+from ..plans.compile import with_truth
+from . import statistics
 from .statistics import group_stats
 
 #: Icon colours by number of icons, and the colour of negative bars.
 ICON_COLOURS = {3: ("FF0000", "FFC000", "00B050"), 4: ("FF0000", "FF8C00", "FFC000", "00B050"), 5: ("FF0000", "FF8C00", "FFC000", "92D050", "00B050")}
 NEGATIVE_BAR = "FF0000"
+#: What helper columns' names start with.
+_STOP = "_folio_t"
 
 
 @dataclass(frozen=True)
@@ -32,7 +35,7 @@ def _number(x) -> float | None:
 
 
 def threshold(stop: Stop, value: str, last: bool = False) -> Column:
-    """A stop as an aggregate over a group."""
+    """A stop that is no percentile as an aggregate over a group."""
     low, high, n = F.min(value), F.max(value), _number(stop.value)
     if stop.kind in ("min", "autoMin"):
         return low
@@ -44,18 +47,23 @@ def threshold(stop: Stop, value: str, last: bool = False) -> Column:
         return F.lit(None).cast("double")
     if stop.kind == "percent":
         return low + (high - low) * (n / 100)
-    if stop.kind == "percentile":
-        return F.percentile(value, F.lit(min(100.0, max(0.0, n)) / 100))
     return F.lit(n)
 
 
 def _with_stops(df: DataFrame, value: str, stops: Sequence[Stop], by: Sequence[str]) -> tuple[DataFrame, list[Column]]:
-    out = group_stats(df, by, **{f"_t{k}": threshold(s, value, k == len(stops) - 1) for k, s in enumerate(stops)})
-    return out, [F.col(f"_t{k}") for k in range(len(stops))]
+    """df with the stops as columns, which _drop takes away again."""
+    shares = {f"{_STOP}{k}": min(100.0, max(0.0, n)) / 100 for k, s in enumerate(stops) if s.kind == "percentile" and (n := _number(s.value)) is not None}
+    plain = {f"{_STOP}{k}": threshold(s, value, k == len(stops) - 1) for k, s in enumerate(stops) if f"{_STOP}{k}" not in shares}
+    out = df
+    if plain:
+        out = group_stats(df, by, **plain)
+    if shares:
+        out = statistics.joined(out, statistics.percentiles(df, value, by, shares), by)
+    return out, [F.col(f"{_STOP}{k}") for k in range(len(stops))]
 
 
 def _drop(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("_t")])
+    return df.drop(*[c for c in df.columns if c.startswith(_STOP)])
 
 
 def cell_is(value: Column, operator: str, first, second=None) -> Column:
@@ -133,19 +141,27 @@ def icon_set(df: DataFrame, value: str, stops: Sequence[Stop], by: Sequence[str]
 
 
 def top_n(df: DataFrame, value: str, n: float, by: Sequence[str], percent: bool = False, bottom: bool = False, name: str = "in_top") -> DataFrame:
-    """df with whether the value is among the top (bottom) n or n percent of its group, ties included."""
-    x = F.col(value)
-    w = Window.partitionBy(*by)
-    count = F.count(x).over(w)
-    wanted = F.greatest(F.lit(1), F.least(count, F.floor(count * n / 100) if percent else F.lit(int(n)).cast("bigint")))
-    rank = F.rank().over(w.orderBy(x.asc_nulls_last() if bottom else x.desc_nulls_last()))
-    return df.withColumn(name, x.isNotNull() & (rank <= wanted))
+    """df with whether the value is among the top (bottom) n or n percent of its group, ties included.
+
+    The value at the edge is found first, without a sort of the table, and each row compared with it.
+    """
+    x, n_rows, edge = F.col(value), f"{_STOP}n", f"{_STOP}edge"
+    if percent:
+        share = n / 100 if bottom else 1 - n / 100
+        wanted = lambda c: F.greatest(F.lit(1), F.least(c, F.floor(c * n / 100)))
+        cut = statistics.at_positions(df, value, by, {edge: (min(1.0, max(0.0, share)), (lambda c: wanted(c) - 1) if bottom else (lambda c: c - wanted(c)))})
+    else:
+        fewer = (F.max if bottom else F.min)(value)
+        known = df.groupBy(*by).agg(F.count(value).alias(n_rows), fewer.alias(f"{_STOP}last"))
+        cut = statistics.joined(known, statistics.kth(df, value, max(1, int(n)), by, not bottom, edge), by).select(*by, F.coalesce(edge, f"{_STOP}last").alias(edge))
+    hit = x <= F.col(edge) if bottom else x >= F.col(edge)
+    return _drop(statistics.joined(df, cut, by).withColumn(name, F.coalesce(hit, F.lit(False))))
 
 
 def above_average(df: DataFrame, value: str, by: Sequence[str] = (), above: bool = True, equal: bool = False, deviations: float = 0.0, name: str = "matches") -> DataFrame:
     """df with whether the value is beyond its group's mean, moved by population deviations if asked."""
-    out = group_stats(df, by, _tm=F.avg(value), _ts=F.stddev_pop(value))
-    x, line = F.col(value), F.col("_tm") + (deviations if above else -deviations) * F.col("_ts")
+    out = group_stats(df, by, **{f"{_STOP}m": F.avg(value), f"{_STOP}s": F.stddev_pop(value)})
+    x, line = F.col(value), F.col(f"{_STOP}m") + (deviations if above else -deviations) * F.col(f"{_STOP}s")
     hit = {(True, False): x > line, (True, True): x >= line, (False, False): x < line, (False, True): x <= line}[above, equal]
     return _drop(out.withColumn(name, F.coalesce(hit, F.lit(False))))
 
@@ -162,10 +178,11 @@ def duplicates(df: DataFrame, key: Column, by: Sequence[str] = (), unique: bool
 
     The counts are combined map-side before they meet, and only then joined back.
     """
-    keyed = df.withColumn("_tk", key)
-    counts = keyed.where("_tk is not null").groupBy(*by, "_tk").agg(F.count("*").alias("_tn"))
-    hit = F.col("_tn") == 1 if unique else F.col("_tn") > 1
-    return _drop(keyed.join(counts, [*by, "_tk"], "left").withColumn(name, F.coalesce(hit, F.lit(False)))).select(*df.columns, name)
+    k, n = f"{_STOP}k", f"{_STOP}n"
+    keyed = df.withColumn(k, key)
+    counts = keyed.where(F.col(k).isNotNull()).groupBy(*by, k).agg(F.count("*").alias(n)).withColumnRenamed(k, "_key")
+    hit = F.col(n) == 1 if unique else F.col(n) > 1
+    return statistics.joined(keyed, counts, by, key=F.col(k)).select(*df.columns, F.coalesce(hit, F.lit(False)).alias(name))
 
 
 def text_rule(value: Column, operator: str, operand: str) -> Column:
@@ -192,7 +209,8 @@ def time_period(serial: Column, period: str, now_serial: float) -> Column:
 
 
 def expression_rule(df: DataFrame, formula: str, by: Sequence[str] = (), now_serial: float | None = None, name: str = "matches") -> DataFrame:
-    return df.withColumn(name, truth(df, formula, now_serial, window=Window.partitionBy(*by)))
+    """df with a formula's truth; range functions see the rows of the same group."""
+    return with_truth(df, formula, name, by, now_serial)
 
 
 def first_rule(rules: Sequence[tuple[int, Column, str]], name: str = "format") -> Column:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.criteria import wildcard_match
+from .statistics import bucket_of, quantile_cuts
+
+TABLE_ROWS = 4096  # of an approximate lookup's table in one bucket
 
 
 def normal_key(df: DataFrame, column: str) -> Column:
@@ -30,31 +33,36 @@ def match_wildcard(table: DataFrame, column: str, pattern: str, order: str) -> D
     return table.agg(F.min(F.when(wildcard_match(F.col(column), pattern), F.col(order))).alias("position"))
 
 
-def vlookup_approximate(left: DataFrame, key: str, table: DataFrame, table_key: str, values: Sequence[str], buckets: int = 200) -> DataFrame:
+def vlookup_approximate(left: DataFrame, key: str, table: DataFrame, table_key: str, values: Sequence[str], buckets: int | None = None) -> DataFrame:
     """left with `values` of the table's row with the greatest key not above its own (the last of equals).
 
-    The keys' quantiles cut both sides into buckets, each bucket's window is sorted apart, and
-    the last row before a bucket is carried into it, so no single task sees the whole table.
+    The table's rows become spans, each from its key to the next, cut at the keys' quantiles into
+    buckets of about TABLE_ROWS rows that carry in the last row before them. A row finds its span
+    by binary search in its bucket's sorted keys: an equi-join on the bucket, whose table side has
+    one row, so equal or crowded keys of `left` may be split among tasks. Null keys find nothing.
     Keys must be numeric and the table's in ascending order, as approximate lookups require.
     """
     keyed = table.select(F.col(table_key).cast("double").alias("_key"), F.struct(*values).alias("_hit")).where("_key is not null")
-    probes = [k / buckets for k in range(1, buckets)]
-    cuts = sorted(set(keyed.approxQuantile("_key", probes, 0.5 / buckets)))
-    bucket = F.lit(0)
-    if cuts:
-        edges = F.array(*[F.lit(c) for c in cuts])
-        bucket = F.aggregate(edges, F.lit(0), lambda n, c: n + (c <= F.col("_key")).cast("int"))
-    right = keyed.withColumn("_b", bucket)
-    lasts = right.groupBy("_b").agg(F.max("_key").alias("_key"), F.max_by("_hit", "_key").alias("_hit"))
-    every = table.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_b")).join(lasts, "_b", "left")
+    lasts = keyed.groupBy("_key").agg(F.max(F.struct("_hit"))["_hit"].alias("_hit")) if all(isinstance(f.dataType, T.AtomicType) for f in table.select(*values).schema) else keyed.groupBy("_key").agg(F.last("_hit").alias("_hit"))
+    if buckets is None:
+        buckets = max(1, -(-lasts.count() // TABLE_ROWS))
+    cuts = quantile_cuts(lasts, "_key", buckets) if buckets > 1 else []
+    sorted_keys = lasts.groupBy(bucket_of(F.col("_key"), cuts).alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_key", "_hit"))).alias("_rows"))
+    every = table.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_b")).join(sorted_keys, "_b", "left")
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
-    carried = every.select("_b", F.last("_hit", ignorenulls=True).over(before).alias("_hit")).where("_hit is not null").select("_b", F.lit(float("-inf")).alias("_key"), "_hit")
-    probe = left.select(F.struct(*left.columns).alias("_row"), F.col(key).cast("double").alias("_key")).withColumn("_b", bucket)
-    none_row, none_hit = F.lit(None).cast(probe.schema["_row"].dataType), F.lit(None).cast(right.schema["_hit"].dataType)
-    both = right.unionByName(carried).select("_b", "_key", F.lit(0).alias("_side"), "_hit", none_row.alias("_row")).union(probe.select("_b", "_key", F.lit(1).alias("_side"), none_hit.alias("_hit"), "_row"))
-    upto = Window.partitionBy("_b").orderBy("_key", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_found", F.last("_hit", ignorenulls=True).over(upto)).where("_side = 1")
-    return found.select("_row.*", *[F.when(F.col("_key").isNotNull(), F.col(f"_found.{v}")).alias(v) for v in values])
+    carried = every.select("_b", F.last(F.element_at("_rows", -1), ignorenulls=True).over(before).alias("_in"), "_rows")
+    one = carried.select("_b", F.col("_in._hit").alias("_in"), F.transform("_rows", lambda r: r["_key"]).alias("_keys"), F.transform("_rows", lambda r: r["_hit"]).alias("_hits"))
+    x = F.col(key).cast("double")
+    probe = left.withColumn("_b", F.when(x.isNotNull(), bucket_of(x, cuts)))
+    n = F.coalesce(F.size("_keys"), F.lit(0))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+    none = F.struct(F.lit(0).alias("low"), n.alias("high"))
+    middle = lambda s: F.floor((s["low"] + s["high"]) / 2).cast("int")
+    halved = lambda s: F.when(s["low"] >= s["high"], s).when(F.get("_keys", middle(s)) <= x, F.struct((middle(s) + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), middle(s).alias("high")))
+    place = F.aggregate(steps, none, lambda s, _: halved(s))["low"]
+    found = probe.join(one, "_b", "left").withColumn("_at", place)
+    hit = F.when(F.col("_at") > 0, F.get("_hits", F.col("_at") - 1)).otherwise(F.col("_in"))
+    return found.withColumn("_found", F.when(x.isNotNull(), hit)).select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
 def index_at(table: DataFrame, order: str, position: int, columns: Sequence[str]) -> DataFrame:

@@ -3,20 +3,22 @@
 In a formula a bare name is a column of the table: one value a row in scalar functions and
 operators, the whole column in range functions; [@name] is this row's value everywhere. On a
 table of sparse cells (row, col, kind, num, str, bool, err) references such as A1 and B2:C9
-are predicates over rows. All formulas of one call share a scan and, grouped, one aggregate.
+are predicates over rows. All formulas of one call share one aggregate; for a column per row it
+is joined back to the rows, so no group, and no table without groups, is gathered in a window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import aggregate, scalar
-from ..functions.aggregate import Plan, Range
-from .syntax import FormulaError, parse
+from ..functions.aggregate import PREFIX, Plan, Range
+from ..operators import statistics
+from .syntax import FormulaError, parse, parse_cell
 from .values import NA, NAME, REF, VALUE, Val, choose, column_value, compare, error, exact, first_error, literal, num, text, to_bool, to_num, to_text
 
 _CELL_FIELDS = {"row", "col", "kind", "num", "str", "bool", "err"}
@@ -130,7 +132,7 @@ class Compiler:
             return self.lookup(name, args)
         if name in ("MATCH", "INDEX") and args and args[name == "MATCH"][0] == "array":
             return self.array_call(name, args)
-        if name in aggregate.RANGE and (name not in _EITHER or any(a[0] in ("range", "ref") for a in args) or (self.plan.window is None and any(map(self.by_row, args)))):
+        if name in aggregate.RANGE and (name not in _EITHER or any(a[0] in ("range", "ref") for a in args) or (not self.plan.per_row and any(map(self.by_row, args)))):
             values = []
             for k, a in enumerate(args):
                 direct = (name in ("RANK", "RANK.EQ") and k != 1) or (name == "MATCH" and k != 1) or (name == "INDEX" and k) or (name in _ONE_RANGE and k) or (name == "TEXTJOIN" and k < 2)
@@ -213,27 +215,112 @@ def result_columns(v: Val, name: str, errors: bool) -> list[Column]:
     return [out.alias(name)] + ([(F.lit(None).cast("string") if v.err is None else v.err).alias(f"{name}_error")] if errors else [])
 
 
+def attached(df: DataFrame, plan: Plan, source: DataFrame, by: Sequence[str]) -> DataFrame:
+    """df with the columns of the plan's frames over the source's rows."""
+    for key, build in plan.frames:
+        df = statistics.joined(df, build(source, list(by)), by, key=key)
+    return df
+
+
+def aggregated(df: DataFrame, plan: Plan, groups: Sequence[str | Column]) -> DataFrame:
+    """One row a group with the plan's aggregates."""
+    return df.groupBy(*groups).agg(*(plan.aggregates or [F.count(F.lit(1)).alias(f"{PREFIX}_n")]))
+
+
+def _per_row(df: DataFrame, plan: Plan, by: Sequence[str]) -> DataFrame:
+    if plan.aggregates:
+        df, source = statistics.joined(df, aggregated(df, plan, by), by), df
+    else:
+        source = df
+    return attached(df, plan, source, by)
+
+
 def with_formulas(df: DataFrame, formulas: Mapping[str, str], by: Sequence[str] = (), order: str | Column | None = None, now_serial: float | None = None, date1904: bool = False, names: Mapping[str, str] | None = None, errors: bool = False) -> DataFrame:
     """The table with a column per formula; range functions see the rows of the same `by` group."""
-    plan = Plan(Window.partitionBy(*by), F.col(order) if isinstance(order, str) else order)
+    plan = Plan(True, F.col(order) if isinstance(order, str) else order, streaming=df.isStreaming)
     c = _compiler(df, plan, now_serial, date1904, names)
-    return df.select("*", *[x for name, f in formulas.items() for x in result_columns(c.scalar(parse(f)), name, errors)])
+    columns = [x for name, f in formulas.items() for x in result_columns(c.scalar(parse(f)), name, errors)]
+    return _per_row(df, plan, by).select(*[F.col(f"`{x}`") for x in df.columns], *columns)
 
 
 def aggregate_formulas(df: DataFrame, formulas: Mapping[str, str], by: Sequence[str] = (), order: str | Column | None = None, now_serial: float | None = None, date1904: bool = False, names: Mapping[str, str] | None = None, errors: bool = False) -> DataFrame:
-    """One row per `by` group (one in all without it) with a column per formula, in a single aggregate."""
-    plan = Plan(None, F.col(order) if isinstance(order, str) else order)
+    """One row per `by` group (one in all without it) with a column per formula."""
+    plan = Plan(False, F.col(order) if isinstance(order, str) else order, streaming=df.isStreaming)
     c = _compiler(df, plan, now_serial, date1904, names)
     columns = [x for name, f in formulas.items() for x in result_columns(c.scalar(parse(f)), name, errors)]
-    return df.groupBy(*by).agg(*columns)
+    return attached(aggregated(df, plan, by), plan, df, by).select(*by, *columns)
 
 
-def truth(df: DataFrame, formula: str, now_serial: float | None = None, date1904: bool = False, window=None) -> Column:
-    """A rule's truth per row: true only where the value is true without an error; a formula that does not parse is never true."""
+def _truth_value(v: Val) -> Column:
+    b, e = to_bool(v)
+    return F.coalesce(b if e is None else F.when(e.isNull(), b), F.lit(False))
+
+
+def truth(df: DataFrame, formula: str, now_serial: float | None = None, date1904: bool = False) -> Column:
+    """A rule's truth per row: true only where the value is true without an error; a formula that does not parse is never true.
+
+    The formula must not use ranges; see with_truth.
+    """
+    plan = Plan(True)
     try:
-        v = _compiler(df, Plan(window if window is not None else Window.partitionBy()), now_serial, date1904, None).scalar(parse(formula))
+        v = _compiler(df, plan, now_serial, date1904, None).scalar(parse(formula))
     except FormulaError:
         return F.lit(False)
-    b, e = to_bool(v)
-    return F.coalesce(b if e is None else F.when(e.isNull(), b), F.lit(False))
+    if plan.aggregates or plan.frames:
+        raise ValueError("a formula over ranges needs with_truth")
+    return _truth_value(v)
+
 
+def with_truth(df: DataFrame, formula: str, name: str, by: Sequence[str] = (), now_serial: float | None = None, date1904: bool = False) -> DataFrame:
+    """df with a rule's truth per row; range functions see the rows of the same `by` group."""
+    plan = Plan(True)
+    try:
+        v = _compiler(df, plan, now_serial, date1904, None).scalar(parse(formula))
+    except FormulaError:
+        return df.withColumn(name, F.lit(False))
+    return _per_row(df, plan, by).select(*[F.col(f"`{x}`") for x in df.columns if x != name], _truth_value(v).alias(name))
+
+
+_BLANK = "struct<kind:string,num:double,str:string,bool:boolean,err:string>"
+
+
+def _moved(node: tuple, places: dict[tuple, str]) -> tuple:
+    """The tree with each cell reference as the name of a column."""
+    if node[0] == "ref":
+        return ("name", places.setdefault(node, f"{PREFIX}_r{len(places)}"))
+    if node[0] == "range" and not all(flag for cell in node[2:] for flag in cell[2:]):
+        raise NotImplementedError("a range that moves with the cell; anchor it with $ or name its cells")
+    return tuple(tuple(_moved(x, places) if isinstance(x, tuple) and x and isinstance(x[0], str) else x for x in part) if isinstance(part, tuple) and part and isinstance(part[0], tuple) else _moved(part, places) if isinstance(part, tuple) and part and isinstance(part[0], str) else part for part in node)
+
+
+def with_references(targets: DataFrame, cells: DataFrame, formulas: Mapping[str, str], origin: str = "A1", sheets: Mapping[str, int] | None = None, now_serial: float | None = None, date1904: bool = False, names: Mapping[str, str] | None = None, errors: bool = False) -> DataFrame:
+    """targets(sheet, row, col, ...) with a column per formula as written for `origin`.
+
+    A reference without $ moves with the target's distance from the origin; one with a sheet's
+    name reads that sheet, an unknown name or a place off the grid is #REF!. Every reference is an
+    equi-join with cells(sheet, row, col, kind, num, str, bool, err). A range must be anchored; its
+    functions see the target's own sheet.
+    """
+    r0, c0, *_ = parse_cell(origin)
+    places: dict[tuple, str] = {}
+    trees = {name: _moved(parse(f), places) for name, f in formulas.items()}
+    value = cells.select("sheet", "row", "col", F.struct("kind", "num", "str", "bool", "err").alias("_v"))
+    known = {k.lower(): v for k, v in (sheets or {}).items()}
+    out = targets
+    for (_, sheet, (r, c, fixed_row, fixed_col)), name in places.items():
+        row = F.lit(r) if fixed_row else F.col("row") + (r - r0)
+        col = F.lit(c) if fixed_col else F.col("col") + (c - c0)
+        at = F.col("sheet") if sheet is None else F.lit(known.get(sheet.lower(), -1))
+        held = value.select(F.col("sheet").alias("_s"), F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("_v").alias(name))
+        out = out.join(held, (at == F.col("_s")) & (row == F.col("_r")) & (col == F.col("_c")), "left").drop("_s", "_r", "_c")
+        empty = F.named_struct(F.lit("kind"), F.lit("blank"), F.lit("num"), F.lit(None).cast("double"), F.lit("str"), F.lit(None).cast("string"), F.lit("bool"), F.lit(None).cast("boolean"), F.lit("err"), F.lit(None).cast("string")).cast(_BLANK)
+        lost = F.named_struct(F.lit("kind"), F.lit("err"), F.lit("num"), F.lit(None).cast("double"), F.lit("str"), F.lit(None).cast("string"), F.lit("bool"), F.lit(None).cast("boolean"), F.lit("err"), F.lit("#REF!")).cast(_BLANK)
+        off = (row < 0) | (col < 0) | (F.lit(sheet is not None) & (at < 0))
+        out = out.withColumn(name, F.when(off, lost).otherwise(F.coalesce(F.col(name).cast(_BLANK), empty)))
+    plan = Plan(True)
+    kinds = T.StructType([*out.schema.fields, *[f for f in cells.schema.fields if f.name not in out.columns]])
+    c = Compiler(kinds, plan, scalar.Context(now_serial, date1904), names)
+    columns = [x for name, tree in trees.items() for x in result_columns(c.scalar(tree), name, errors)]
+    if plan.aggregates:
+        out = statistics.joined(out, aggregated(cells, plan, ["sheet"]), ["sheet"])
+    return attached(out, plan, cells, ["sheet"]).select(*[F.col(f"`{x}`") for x in targets.columns], *columns)

@@ -5,43 +5,23 @@ Formula queries compile formula text; each whole table is read once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import conditional as cf
 from .operators import document, grid, layout, lookup, statistics
 from .plans.compile import aggregate_formulas, with_formulas
+from .registry import QUERIES, SQL, register, rounded, table
+
+__all__ = ["QUERIES", "SQL"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 #: The injected clock of the period rules: 1995-06-15.
 NOW = 34865.0
 STOPS3 = (cf.Stop("min"), cf.Stop("percentile", 50), cf.Stop("max"))
 COLOURS3 = ("F8696B", "FFEB84", "63BE7B")
 
 
-def register(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rounded(df: DataFrame, digits: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Doubles rounded, as sums depend on the order of the rows."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
-
-
 # --- conditional aggregates -----------------------------------------------------------------
 
 
@@ -152,12 +132,6 @@ def f_dates(spark, sf_dir):
     return with_formulas(table(spark, sf_dir, "orders"), formulas).select("o_orderkey", *formulas)
 
 
-@register("""SELECT event_id, CAST(hour(ts) AS DOUBLE) AS h, CAST(minute(ts) AS DOUBLE) AS m FROM events WHERE second(ts) < 59""")
-def f_clock(spark, sf_dir):
-    events = table(spark, sf_dir, "events").where(F.second("ts") < 59)
-    return with_formulas(events, {"h": "HOUR(ts)", "m": "MINUTE(ts)"}).select("event_id", "h", "m")
-
-
 @register("""SELECT event_id, CASE WHEN value > 100 THEN 'high' WHEN value > 10 THEN 'mid' ELSE 'low' END AS band, CASE lower(event_type) WHEN 'click' THEN 1.0 WHEN 'view' THEN 2.0 ELSE 0.0 END AS code, CASE WHEN value = 0 THEN -1.0 ELSE round(1 / value, 6) END AS inv,
   value IS NOT NULL AS isnum, TRUE AS istext FROM events""")
 def f_logic(spark, sf_dir):
@@ -343,17 +317,36 @@ def d_headings(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", tx.heading_level(outline, style).alias("level"))
 
 
-@register("""SELECT conv_id, string_agg(CASE WHEN turn = 0 THEN '# ' ELSE '' END || regexp_replace(text, '([\\\\`*_\\[\\]<>|])', '\\\\\\1', 'g'), chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations WHERE text <> '' AND NOT regexp_matches(text, '^\\s*([#>+\\-=]|\\d)') GROUP BY conv_id""")
+#: Special characters are escaped everywhere, and a mark or number that would start a block at the front.
+_ESCAPED = r"regexp_replace(text, '([\\`*_\[\]<>|])', '\\\1', 'g')"
+_GUARDED = rf"regexp_replace(regexp_replace({_ESCAPED}, '^(\s*)([#>+-]|={{3,}})', '\1\\\2'), '^(\s*\d{{1,9}})([.)])(\s|$)', '\1\\\2\3')"
+
+
+@register(rf"""SELECT conv_id, coalesce(string_agg(CASE WHEN turn = 0 THEN '# ' || {_ESCAPED} ELSE {_GUARDED} END, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE text <> ''), '') AS markdown FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE text <> '') > 0""")
 def d_markdown(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"^\s*([#>+\-=]|\d)"))
-    blocks = turns.withColumns({"kind": F.when(F.col("turn") == 0, "heading").otherwise("paragraph"), "level": F.lit(1)})
+    blocks = table(spark, sf_dir, "conversations").withColumns({"kind": F.when(F.col("turn") == 0, "heading").otherwise("paragraph"), "level": F.lit(1)})
     return document.markdown(blocks, ["conv_id"], "turn")
 
 
-@register("""SELECT conv_id, turn, CASE WHEN turn < 10 THEN '0' || turn ELSE CAST(turn AS VARCHAR) END AS zero, CASE turn WHEN 0 THEN '' ELSE chr(CAST(64 + turn AS INTEGER)) END AS letter, CASE turn WHEN 0 THEN '' WHEN 1 THEN 'I' WHEN 2 THEN 'II' WHEN 3 THEN 'III' WHEN 4 THEN 'IV' WHEN 5 THEN 'V' WHEN 6 THEN 'VI' WHEN 7 THEN 'VII' WHEN 8 THEN 'VIII' WHEN 9 THEN 'IX' ELSE 'X' || repeat('I', CAST(turn - 10 AS INTEGER)) END AS roman FROM conversations WHERE turn < 13""")
+def _roman_sql(n: str) -> str:
+    def digit(place: int, one: str, five: str, ten: str) -> str:
+        d = f"({n} // {place} % 10)"
+        return f"CASE WHEN {d} = 9 THEN '{one}{ten}' WHEN {d} >= 5 THEN '{five}' || repeat('{one}', CAST({d} - 5 AS INTEGER)) WHEN {d} = 4 THEN '{one}{five}' ELSE repeat('{one}', CAST({d} AS INTEGER)) END"
+
+    return f"repeat('M', CAST({n} // 1000 AS INTEGER)) || {digit(100, 'C', 'D', 'M')} || {digit(10, 'X', 'L', 'C')} || {digit(1, 'I', 'V', 'X')}"
+
+
+def _letters_sql(n: str) -> str:
+    """One to three letters: up to 18 278."""
+    return f"CASE WHEN {n} = 0 THEN '' WHEN {n} <= 26 THEN chr(CAST(64 + {n} AS INTEGER)) WHEN {n} <= 702 THEN chr(CAST(64 + ({n} - 1) // 26 AS INTEGER)) || chr(CAST(65 + ({n} - 1) % 26 AS INTEGER)) ELSE chr(CAST(65 + ({n} - 703) // 676 AS INTEGER)) || chr(CAST(65 + ({n} - 703) // 26 % 26 AS INTEGER)) || chr(CAST(65 + ({n} - 703) % 26 AS INTEGER)) END"
+
+
+@register(f"""SELECT p_partkey, n, CASE WHEN n < 10 THEN '0' || n ELSE CAST(n AS VARCHAR) END AS zero, {_letters_sql("n")} AS letter, lower({_letters_sql("n")}) AS small_letter, {_roman_sql("n")} AS roman, lower({_roman_sql("n")}) AS small_roman,
+  n || CASE WHEN n % 100 IN (11, 12, 13) THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n % 10 = 2 THEN 'nd' WHEN n % 10 = 3 THEN 'rd' ELSE 'th' END AS ordinal FROM (SELECT p_partkey, p_partkey % 3000 AS n FROM part)""")
 def d_counters(spark, sf_dir):
-    n = F.col("turn")
-    return table(spark, sf_dir, "conversations").where("turn < 13").select("conv_id", "turn", document.counter("decimalZero", n).alias("zero"), document.counter("upperLetter", n).alias("letter"), document.counter("upperRoman", n).alias("roman"))
+    n = F.col("n")
+    forms = {"zero": "decimalZero", "letter": "upperLetter", "small_letter": "lowerLetter", "roman": "upperRoman", "small_roman": "lowerRoman", "ordinal": "ordinal"}
+    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 3000).alias("n")).select("p_partkey", "n", *[document.counter(style, n).alias(name) for name, style in forms.items()])
 
 
 @register("""SELECT user_id AS doc_id, 'dropped' AS severity, event_type AS feature, props AS detail, count(*) AS times FROM events GROUP BY ALL""")
@@ -362,10 +355,11 @@ def d_losses(spark, sf_dir):
     return document.distinct_losses(losses)
 
 
-@register("""SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS top FROM conversations WHERE role = 'user'""")
+@register("""SELECT conv_id, turn, CAST(greatest(users, 1) AS INTEGER) AS top, CASE WHEN role <> 'user' THEN CAST(row_number() OVER (PARTITION BY conv_id, users, role <> 'user' ORDER BY turn) AS INTEGER) END AS below FROM (SELECT *, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS users FROM conversations)""")
 def d_numbering(spark, sf_dir):
-    items = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.lit("1").alias("num_id"), F.lit(0).alias("ilvl"))
-    return document.number_lists(items).select(F.col("doc_id").alias("conv_id"), F.col("seq").alias("turn"), F.get("counters", F.lit(0)).cast("int").alias("top"))
+    """Users' turns number the first level of a list, all others the second."""
+    items = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.lit("1").alias("num_id"), F.when(F.col("role") == "user", 0).otherwise(1).alias("ilvl"))
+    return document.number_lists(items).select(F.col("doc_id").alias("conv_id"), F.col("seq").alias("turn"), F.get("counters", F.lit(0)).cast("int").alias("top"), F.get("counters", F.lit(1)).cast("int").alias("below"))
 
 
 @register("""SELECT doc_id, md5(coalesce(text, '')) AS md5, sha256(coalesce(text, '')) AS sha256 FROM documents""")
@@ -382,7 +376,7 @@ def _runs(spark, sf_dir) -> DataFrame:
     words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line_text"))
     words = words.select("doc_id", "n", F.posexplode(F.split("line_text", " ")).alias("k", "text"))
     page, row = F.floor(F.col("n") / 40).cast("int"), F.col("n") % 40
-    return words.select("doc_id", page.alias("page"), (F.col("n") * 10000 + F.col("k")).alias("run_idx"), (F.col("k") * 40.0).alias("x"), (row * 14.0).alias("y"), (F.col("k") * 40.0 + 30.0).alias("end_x"), F.lit(10.0).alias("font_size"), "text")
+    return words.select("doc_id", page.alias("page"), (F.col("n") * 10000 + F.col("k")).alias("run_idx"), (F.col("k") * 40.0).alias("x"), (row * 14.0).alias("y"), (F.col("k") * 40.0 + 30.0).alias("end_x"), (F.length("text") % 7 + 6.0).alias("font_size"), "text")
 
 
 @register("""SELECT doc_id, CAST(n // 40 AS INTEGER) AS page, count(DISTINCT n) AS lines, count(*) AS runs FROM (SELECT doc_id, CAST(n AS BIGINT) - 1 AS n, unnest(string_split(l, ' ')) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)) GROUP BY ALL""")
@@ -390,6 +384,13 @@ def l_lines(spark, sf_dir):
     return layout.lines_by_gap(_runs(spark, sf_dir)).groupBy("doc_id", "page").agg(F.countDistinct("line").alias("lines"), F.count("*").alias("runs"))
 
 
-@register("""SELECT doc_id, CAST(10.0 AS DOUBLE) AS median_font FROM documents WHERE text IS NOT NULL GROUP BY doc_id""")
+_WORDS_SQL = "SELECT doc_id, n, w FROM (SELECT doc_id, n, unnest(string_split(l, ' ')) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents))"
+
+
+@register(f"""SELECT doc_id, CAST(6.0 + f AS DOUBLE) AS median_font FROM (SELECT doc_id, f, row_number() OVER (PARTITION BY doc_id ORDER BY f) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS c FROM (SELECT doc_id, length(w) % 7 AS f FROM ({_WORDS_SQL}) WHERE trim(w) <> '')) WHERE k = c // 2""")
 def l_median_font(spark, sf_dir):
+    """The upper median of font sizes that follow the words' lengths."""
     return layout.median_font(_runs(spark, sf_dir))
+
+
+from . import queries_formulas, queries_sheets  # noqa: E402, F401  add their queries

@@ -7,6 +7,7 @@ parsed one file a row in mapInPandas. Every lossy or refused step is a row of `l
 from __future__ import annotations
 
 import io
+import json
 import posixpath
 import re
 import zipfile
@@ -48,6 +49,12 @@ def _child(node: ET.Element | None, *path: str) -> ET.Element | None:
     return node
 
 
+def _parts(node: ET.Element | None, name: str) -> list[ET.Element]:
+    """The children of a child, none if it is missing."""
+    found = _child(node, name)
+    return [] if found is None else list(found)
+
+
 class Package:
     """A zip package within its limits."""
 
@@ -176,23 +183,22 @@ def _rich(node: ET.Element) -> str:
     return "".join(unescape(t.text or "") for c in node if _local(c.tag) in ("t", "r") for t in ([c] if _local(c.tag) == "t" else [x for x in c if _local(x.tag) == "t"]))
 
 
-def xlsx_cells(data: bytes) -> tuple[list[dict], list[dict]]:
+def xlsx_cells(data: bytes, package: Package | None = None) -> tuple[list[dict], list[dict]]:
     """Decoded cells of all sheets (sheet, row, col, kind, num, str, bool, err, formula, style) and losses."""
-    package, cells, losses = Package(data), [], []
+    package, cells, losses = package or Package(data), [], []
     book = package.xml("xl/workbook.xml")
     if book is None:
         raise Refused("no xl/workbook.xml")
     links = package.relations("xl/workbook.xml")
     shared_root = package.xml(next((p for p in links.values() if p.endswith("sharedStrings.xml")), "xl/sharedStrings.xml"))
     shared = [_rich(si) for si in shared_root if _local(si.tag) == "si"] if shared_root is not None else []
-    sheets = [s for s in _child(book, "sheets") or ()]
-    for k, sheet in enumerate(sheets):
+    for k, sheet in enumerate(_parts(book, "sheets")):
         root = package.xml(links.get(_attr(sheet, "id") or "", ""))
         if root is None:
             losses.append({"severity": "dropped", "feature": "sheet", "detail": sheet.attrib.get("name", "")})
             continue
         row = -1
-        for r in _child(root, "sheetData") or ():
+        for r in _parts(root, "sheetData"):
             row, col = int(r.attrib["r"]) - 1 if r.attrib.get("r", "").isdigit() else row + 1, -1
             for c in r:
                 try:
@@ -229,9 +235,9 @@ def xlsx_merges(data: bytes) -> list[dict]:
     package = Package(data)
     book, links = package.xml("xl/workbook.xml"), package.relations("xl/workbook.xml")
     out = []
-    for k, sheet in enumerate(_child(book, "sheets") or ()):
+    for k, sheet in enumerate(_parts(book, "sheets")):
         root = package.xml(links.get(_attr(sheet, "id") or "", ""))
-        for m in _child(root, "mergeCells") or ():
+        for m in _parts(root, "mergeCells"):
             a, _, b = m.attrib.get("ref", "").partition(":")
             (r0, c0, *_), (r1, c1, *_) = parse_cell(a), parse_cell(b or a)
             out.append({"sheet": k, "r0": r0, "c0": c0, "r1": r1, "c1": c1})
@@ -245,7 +251,7 @@ def pptx_paragraphs(data: bytes) -> tuple[list[dict], list[dict]]:
     if deck is None:
         raise Refused("no ppt/presentation.xml")
     links = package.relations("ppt/presentation.xml")
-    for n, slide in enumerate(_child(deck, "sldIdLst") or ()):
+    for n, slide in enumerate(_parts(deck, "sldIdLst")):
         part = links.get(next((v for k, v in slide.attrib.items() if k.endswith("}id")), ""), "")
         root = package.xml(part)
         if root is None:
@@ -263,39 +269,71 @@ def pptx_paragraphs(data: bytes) -> tuple[list[dict], list[dict]]:
 
 
 _SCHEMAS = {
-    "docx": "path string, seq int, kind string, style string, outline_level int, num_id string, ilvl int, cell string, text string, bold boolean, italic boolean",
-    "xlsx": "path string, sheet int, sheet_name string, hidden boolean, row int, col int, kind string, num double, str string, bool boolean, err string, formula string, style int",
-    "pptx": "path string, seq int, slide int, placeholder string, level int, text string",
+    "docx": {"rows": "seq int, kind string, style string, outline_level int, num_id string, ilvl int, cell string, text string, bold boolean, italic boolean"},
+    "pptx": {"rows": "seq int, slide int, placeholder string, level int, text string"},
 }
-_READERS = {"docx": docx_blocks, "xlsx": xlsx_cells, "pptx": pptx_paragraphs}
-_LOSSES = "path string, severity string, feature string, detail string"
-
+_READERS = {"docx": docx_blocks, "pptx": pptx_paragraphs}
+_LOSSES = "severity string, feature string, detail string"
 
-def read(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, losses) of the documents of one kind under a path or glob; others are losses."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    names = [c.split()[0] for c in _SCHEMAS[kind].split(", ")]
 
-    def parse(content: bytes) -> tuple[list[dict], list[dict]]:
-        found = sniff(content)
+def _facets(kind: str, content: bytes) -> Iterator[tuple[str, dict]]:
+    """(facet, row) of a document; what cannot be read is a loss."""
+    found = sniff(content)
+    try:
         if found != kind:
-            return [], [{"severity": "dropped", "feature": "document", "detail": f"{found or 'unknown'} is no {kind}"}]
-        try:
-            return _READERS[kind](content)
-        except (Refused, ET.ParseError, KeyError, ValueError) as error:
-            return [], [{"severity": "dropped", "feature": "document", "detail": str(error)[:200]}]
+            raise Refused(f"{found or 'unknown'} is no {kind}")
+        if kind == "xlsx":
+            from .workbook import facets
+
+            yield from list(facets(content))
+        else:
+            rows, losses = _READERS[kind](content)
+            yield from (("rows", r) for r in rows)
+            yield from (("losses", x) for x in losses)
+    except (Refused, ET.ParseError, KeyError, ValueError, zipfile.BadZipFile) as error:
+        yield "losses", {"severity": "dropped", "feature": "document", "detail": str(error)[:200]}
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([{"path": name} | r for r in parse(content)[0]], columns=names)
 
-    def losses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def parse(files: DataFrame, kind: str) -> DataFrame:
+    """(path, facet, row): everything in files(path, content) of one kind, each opened once; row is JSON."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([{"path": name} | r for r in parse(content)[1]], columns=["path", "severity", "feature", "detail"])
+                found = [(name, facet, json.dumps(row, ensure_ascii=False)) for facet, row in _facets(kind, bytes(content))]
+                for start in range(0, len(found), 65536):
+                    yield pd.DataFrame(found[start : start + 65536], columns=["path", "facet", "row"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, facet string, row string")
 
-    return files.mapInPandas(rows, _SCHEMAS[kind]), files.mapInPandas(losses, _LOSSES)
+
+def facet(parsed: DataFrame, kind: str, name: str) -> DataFrame:
+    """One facet's rows with their path, from parse()."""
+    schemas = {"losses": _LOSSES} | _SCHEMAS.get(kind, {})
+    if kind == "xlsx":
+        from .workbook import FACETS
+
+        schemas = FACETS
+    found = parsed.where(F.col("facet") == name).select("path", F.from_json("row", schemas[name]).alias("r"))
+    return found.select("path", "r.*")
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the files under a path or glob, from any store that Spark reads."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
+def read(spark: SparkSession, path: str, kind: str, store: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, losses) of the documents of one kind under a path or glob; others are losses.
+
+    With `store`, a path for a Parquet table, the files are parsed once into it; without, both
+    frames are lazy over the files, and each parses what it is asked for.
+    """
+    parsed = parse(files(spark, path), kind)
+    if store is not None:
+        parsed.write.parquet(store)
+        parsed = spark.read.parquet(store)
+    return facet(parsed, kind, "cells" if kind == "xlsx" else "rows"), facet(parsed, kind, "losses")
 
 
 def outline(blocks: DataFrame) -> DataFrame:
@@ -335,12 +373,24 @@ def _frame(main: str, kind: str, extra: str = "") -> dict[str, str]:
     }
 
 
+def _styles_xml(formats: list[str]) -> str:
+    """A style table with one cell format a number format code, after the default one."""
+    codes = "".join(f'<numFmt numFmtId="{164 + k}" formatCode="{_escape(c)}"/>' for k, c in enumerate(formats))
+    xfs = "".join(f'<xf numFmtId="{n}" fontId="0" fillId="0" borderId="0" applyNumberFormat="1"/>' for n in (0, *range(164, 164 + len(formats))))
+    return f'<styleSheet xmlns="{_SHEET}"><numFmts count="{len(formats)}">{codes}</numFmts><fonts><font><sz val="11"/><name val="Calibri"/></font></fonts><fills><fill><patternFill patternType="none"/></fill></fills><borders><border/></borders><cellXfs>{xfs}</cellXfs></styleSheet>'
+
+
 def write_xlsx(cells: list[dict]) -> bytes:
-    """A workbook from cells with sheet, sheet_name, row, col, kind and the kind's value."""
+    """A workbook from cells with sheet, sheet_name, row, col, kind, the kind's value and, if given, num_fmt, a format code."""
     sheets: dict[int, list[dict]] = {}
     for c in cells:
         sheets.setdefault(c["sheet"], []).append(c)
-    parts = _frame("xl/workbook.xml", "spreadsheetml.sheet", "".join(f'<Override PartName="/xl/worksheets/sheet{k + 1}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in range(len(sheets))))
+    formats = sorted({c["num_fmt"] for c in cells if c.get("num_fmt")})
+    style_of = {code: f' s="{k + 1}"' for k, code in enumerate(formats)}
+    extra = "".join(f'<Override PartName="/xl/worksheets/sheet{k + 1}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in range(len(sheets)))
+    if formats:
+        extra += '<Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>'
+    parts = _frame("xl/workbook.xml", "spreadsheetml.sheet", extra)
     names = []
     for k, (_, own) in enumerate(sorted(sheets.items())):
         names.append(own[0].get("sheet_name") or f"Sheet{k + 1}")
@@ -351,19 +401,23 @@ def write_xlsx(cells: list[dict]) -> bytes:
         for r, row in rows.items():
             body += f'<row r="{r + 1}">'
             for c in row:
-                at, kind = format_cell(r, c["col"]), c["kind"]
+                at, kind = format_cell(r, c["col"]) + '"' + style_of.get(c.get("num_fmt"), ""), c["kind"]
                 if kind == "num":
-                    body += f'<c r="{at}"><v>{c["num"]!r}</v></c>'
+                    body += f'<c r="{at}><v>{c["num"]!r}</v></c>'
                 elif kind == "bool":
-                    body += f'<c r="{at}" t="b"><v>{int(c["bool"])}</v></c>'
+                    body += f'<c r="{at} t="b"><v>{int(c["bool"])}</v></c>'
                 elif kind == "err":
-                    body += f'<c r="{at}" t="e"><v>{_escape(c["err"])}</v></c>'
+                    body += f'<c r="{at} t="e"><v>{_escape(c["err"])}</v></c>'
                 else:
-                    body += f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{_escape(c["str"] or "")}</t></is></c>'
+                    body += f'<c r="{at} t="inlineStr"><is><t xml:space="preserve">{_escape(c["str"] or "")}</t></is></c>'
             body += "</row>"
         parts[f"xl/worksheets/sheet{k + 1}.xml"] = f'<worksheet xmlns="{_SHEET}"><sheetData>{body}</sheetData></worksheet>'
     parts["xl/workbook.xml"] = f'<workbook xmlns="{_SHEET}" xmlns:r="{_DOC}"><sheets>' + "".join(f'<sheet name="{_escape(n)}" sheetId="{k + 1}" r:id="r{k + 1}"/>' for k, n in enumerate(names)) + "</sheets></workbook>"
-    parts["xl/_rels/workbook.xml.rels"] = f'<Relationships xmlns="{_RELS}">' + "".join(f'<Relationship Id="r{k + 1}" Type="{_DOC}/worksheet" Target="worksheets/sheet{k + 1}.xml"/>' for k in range(len(names))) + "</Relationships>"
+    links = [("worksheet", f"worksheets/sheet{k + 1}.xml") for k in range(len(names))]
+    if formats:
+        links.append(("styles", "styles.xml"))
+        parts["xl/styles.xml"] = _styles_xml(formats)
+    parts["xl/_rels/workbook.xml.rels"] = f'<Relationships xmlns="{_RELS}">' + "".join(f'<Relationship Id="r{k + 1}" Type="{_DOC}/{kind}" Target="{target}"/>' for k, (kind, target) in enumerate(links)) + "</Relationships>"
     return _zip(parts)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import Context
-from ..plans.compile import Compiler, Plan, result_columns
+from ..plans.compile import Compiler, Plan, aggregated, result_columns
 from ..plans.syntax import parse
 
 
@@ -17,11 +17,12 @@ def windowed_formulas(events: DataFrame, time: str, width: str, formulas: Mappin
 
     Only decomposable formulas suit an unbounded stream: the state holds partial aggregates.
     """
-    compiler = Compiler(events.schema, Plan(), Context())
+    plan = Plan(streaming=True)
+    compiler = Compiler(events.schema, plan, Context())
     columns = [c for name, f in formulas.items() for c in result_columns(compiler.scalar(parse(f)), name, False)]
     span = F.window(time, width, slide) if slide else F.window(time, width)
-    grouped = events.withWatermark(time, late).groupBy(span.alias("window"), *by).agg(*columns)
-    return grouped.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *by, *formulas)
+    grouped = aggregated(events.withWatermark(time, late), plan, [span.alias("window"), *by])
+    return grouped.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *by, *columns)
 
 
 def sessions(events: DataFrame, time: str, gap: str, by: str, late: str = "10 minutes") -> DataFrame:

@@ -3,7 +3,7 @@ import math
 import pytest
 
 from foliospark.functions import aggregate, scalar
-from foliospark.plans.compile import aggregate_formulas, truth, with_formulas
+from foliospark.plans.compile import aggregate_formulas, truth, with_formulas, with_references, with_truth
 from foliospark.plans.syntax import FormulaError, format_cell, parse, parse_cell
 
 CASES = [
@@ -92,6 +92,10 @@ def test_windows_and_rules(table):
     assert rows[0].share == pytest.approx(10 / 6.5) and rows[3]["rank"] == 2
     hit = [r.i for r in table.where("true").select("i", truth(table, '=AND(x>5,t="AB")').alias("m")).where("m").orderBy("i").collect()]
     assert hit == [1, 5]
+    above = with_truth(table, "=x>AVERAGE(x)", "m").where("m").orderBy("i").collect()
+    assert [r.i for r in above] == [1, 4, 5]
+    with pytest.raises(ValueError):
+        truth(table, "=x>AVERAGE(x)")
     assert table.select(truth(table, "=1+(").alias("m")).where("m").count() == 0
     assert table.select(truth(table, "=1/0").alias("m")).where("m").count() == 0
 
@@ -101,3 +105,70 @@ def test_cells(spark):
     f = {"s": "SUM(A1:B5)", "one": "A1+1", "gone": "Z9&\"\"", "cb": "COUNTBLANK(A1:B2)", "e": "SUM(A1:C3)", "ci": 'COUNTIF(A1:B9,"k")', "tr": "COUNTIF(A1:A9,TRUE)", "nm": "rate*2"}
     row = aggregate_formulas(cells, f, names={"rate": "A2"}, errors=True).first()
     assert (row.s, row.one, row.gone, row.cb, row.e_error, row.ci, row.tr, row.nm) == (3, 2, "", 1, "#N/A", 1, 2, 4)
+
+
+def test_frames_agree_with_small_groups(spark):
+    """Percentiles, k-th values, modes and ranks of groups with ties, nulls and a null key."""
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *map(float, range(12))]), k) for k in range(300)]
+    df = spark.createDataFrame(rows, "k string, x double, o int").repartition(3)
+    f = {"m": "MEDIAN(x)", "p": "PERCENTILE(x,0.3)", "q": "QUARTILE(x,3)", "l": "LARGE(x,5)", "s": "SMALL(x,7)", "mo": "MODE(x)", "ad": "AVEDEV(x)", "two": "MEDIAN(x,o)", "far": "LARGE(x,999)"}
+    got = {r.k: r for r in aggregate_formulas(df, f, ["k"], order="o", errors=True).collect()}
+    for key in ("a", "b", None):
+        own = [(x, o) for k, x, o in rows if k == key]
+        xs = sorted(x for x, _ in own if x is not None)
+        place = 0.3 * (len(xs) - 1)
+        low = int(place)
+        r = got[key]
+        assert r.m == statistics.median(xs) and r.p == pytest.approx(xs[low] + (xs[min(low + 1, len(xs) - 1)] - xs[low]) * (place - low))
+        assert r.q == pytest.approx(statistics.quantiles(xs, n=4, method="inclusive")[2]) and (r.l, r.s) == (xs[-5], xs[6])
+        most = max(xs.count(x) for x in xs)
+        assert r.mo == next(x for x, _ in sorted(own, key=lambda r: r[1]) if x is not None and xs.count(x) == most)
+        assert r.ad == pytest.approx(sum(abs(x - statistics.mean(xs)) for x in xs) / len(xs)) and r.far_error == "#NUM!"
+        assert r.two == statistics.median([*xs, *(float(o) for _, o in own)])
+    ranked = with_formulas(df, {"r": "RANK([@x],x)", "all": "SUM(x)"}, ["k"]).collect()
+    assert len(ranked) == 300
+    for r in ranked:
+        xs = [x for k, x, _ in rows if k == r.k and x is not None]
+        assert r.r == (None if r.x is None else 1 + sum(x > r.x for x in xs)) and r["all"] == sum(xs)
+    whole = {r.o: r.r for r in with_formulas(df, {"r": "RANK([@x],x,1)"}).collect()}
+    assert all(whole[o] == (None if x is None else 1 + sum(y < x for _, y, _ in rows if y is not None)) for _, x, o in rows)
+
+
+def test_percentiles_of_large_groups_use_brackets(spark, monkeypatch):
+    """Groups over the limit are cut down first; the result stays exact."""
+    import numpy as np
+
+    from foliospark.operators import statistics as st
+
+    monkeypatch.setattr(st, "SMALL_GROUP", 1000)
+    rng = np.random.default_rng(4)
+    xs = np.concatenate([rng.normal(size=60_000), np.full(30_000, 0.25)])
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double").repartition(4)
+    shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.9999, "e": 1.0}
+    row = st.percentiles(df, "x", [], shares).first()
+    assert [row[k] for k in shares] == pytest.approx([float(np.quantile(xs, p)) for p in shares.values()], rel=1e-12)
+
+
+def test_texts_too_long_are_not_gathered(spark):
+    df = spark.createDataFrame([("a", "x" * 20000, 1), ("a", "y" * 20000, 2), ("b", "q", 2), ("b", "p", 1), ("c", None, 1)], "k string, t string, o int")
+    got = {r.k: (r.c, r.c_error, r.j) for r in aggregate_formulas(df, {"c": "CONCAT(t)", "j": 'TEXTJOIN("-",FALSE,"<",t)'}, ["k"], order="o", errors=True).collect()}
+    assert got == {"a": (None, "#VALUE!", None), "b": ("pq", None, "<-p-q"), "c": ("", None, "<-")}
+
+
+def test_moved_and_cross_sheet_references(spark):
+    kinds = "sheet int, row int, col int, kind string, num double, str string, bool boolean, err string"
+    cells = spark.createDataFrame([(0, 0, 0, "num", 3.0, None, None, None), (0, 1, 0, "num", 10.0, None, None, None), (0, 0, 1, "str", None, "hi", None, None), (1, 0, 0, "num", 7.0, None, None, None), (1, 1, 0, "err", None, None, None, "#N/A")], kinds)
+    targets = spark.createDataFrame([(0, 0, 3), (0, 1, 3), (0, 5, 3)], "sheet int, row int, col int")
+    f = {"a": "A1>5", "b": "$A$1=3", "c": "A1+other!A1", "d": "nowhere!A1", "e": "A1/SUM($A$1:$A$9)", "f": "ISBLANK(A1)", "g": "$B1"}
+    out = {r.row: r for r in with_references(targets, cells, f, "D1", {"Other": 1}, errors=True).collect()}
+    assert [out[k].a for k in (0, 1, 5)] == [False, True, False] and all(out[k].b for k in (0, 1, 5))
+    assert out[0].c == 10 and out[1].c_error == "#N/A" and out[5].c == 0 and out[0].d_error == "#REF!"
+    assert out[1].e == pytest.approx(10 / 13) and out[5].f and out[0].g.str == "hi"
+    above = with_references(targets, cells, {"x": "A1"}, "D2", errors=True).where("row = 0").first()
+    assert above.x_error == "#REF!"
+    with pytest.raises(NotImplementedError):
+        with_references(targets, cells, {"x": "SUM(A1:A2)"}, "D1")

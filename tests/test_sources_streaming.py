@@ -3,7 +3,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import document
+from foliospark.operators import document, sheets
 from foliospark.sources import office
 from foliospark.streaming import windows
 
@@ -46,6 +46,61 @@ def test_xlsx_dialects():
     assert office.xlsx_merges(data) == [{"sheet": 0, "r0": 1, "c0": 1, "r1": 2, "c1": 2}]
 
 
+STYLED = {
+    "xl/workbook.xml": '<workbook xmlns:r="u"><workbookPr date1904="1"/><sheets><sheet name="one" r:id="r1"/><sheet name="two" state="hidden" r:id="r4"/></sheets><definedNames><definedName name="_xlnm.Print_Area" localSheetId="0">one!$A$1:$B$9</definedName><definedName name="rate">one!$C$1</definedName></definedNames></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/a.xml"/><Relationship Id="r2" Target="styles.xml"/><Relationship Id="r3" Target="theme/theme1.xml"/><Relationship Id="r4" Target="worksheets/b.xml"/></Relationships>',
+    "xl/theme/theme1.xml": '<t><e><clrScheme><dk1><sysClr val="x" lastClr="000000"/></dk1><lt1><sysClr lastClr="FFFFFF"/></lt1><accent1><srgbClr val="4472c4"/></accent1></clrScheme></e></t>',
+    "xl/styles.xml": '<styleSheet><numFmts><numFmt numFmtId="164" formatCode="0.0&quot; kg&quot;"/></numFmts><fonts><font><sz val="11"/><name val="Arial"/></font><font><b/><i val="0"/><u/><color theme="4"/></font></fonts><fills><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FFFFEE00"/></patternFill></fill></fills><borders><border/><border><top style="thin"/><left style="none"/></border></borders><cellXfs><xf/><xf numFmtId="164" fontId="1" fillId="1" borderId="1"><alignment horizontal="right" wrapText="1"/></xf><xf numFmtId="14"/></cellXfs></styleSheet>',
+    "xl/worksheets/a.xml": '<worksheet xmlns:r="u"><sheetViews><sheetView><pane state="frozen" topLeftCell="B2"/></sheetView></sheetViews><cols><col min="2" max="3" width="9.5" hidden="1" style="2"/></cols><sheetData><row r="1" ht="20" customHeight="1"><c r="A1" s="1"><v>2.25</v></c><c r="B1" s="2"><v>1</v></c></row><row r="3" hidden="1" s="1" customFormat="1"><c r="A3" t="b"><v>1</v></c></row></sheetData><autoFilter ref="A1:B9"><filterColumn colId="1"><filters blank="1"><filter val="x"/></filters></filterColumn></autoFilter><dataValidations><dataValidation type="list" allowBlank="1" sqref="A1:A2 D4"><formula1>"p,q"</formula1></dataValidation></dataValidations><conditionalFormatting sqref="A1:B2"><cfRule type="cellIs" operator="greaterThan" priority="2" dxfId="0"><formula>5</formula></cfRule></conditionalFormatting><hyperlinks><hyperlink ref="A1" r:id="r1" tooltip="tip"/></hyperlinks></worksheet>',
+    "xl/worksheets/_rels/a.xml.rels": '<Relationships><Relationship Id="r1" Target="http://x/" TargetMode="External"/><Relationship Id="r2" Target="../tables/table1.xml"/><Relationship Id="r3" Target="../comments1.xml"/><Relationship Id="r4" Target="../threadedComments/threadedComment1.xml"/></Relationships>',
+    "xl/worksheets/b.xml": "<worksheet/>",
+    "xl/tables/table1.xml": '<table id="7" name="T" displayName="T" ref="A1:B3" totalsRowCount="1"><autoFilter ref="A1:B2"><filterColumn colId="0"><filters><filter val="2.25"/></filters></filterColumn></autoFilter><tableColumns><tableColumn name="a_x000A_b"/><tableColumn name="c"/></tableColumns><tableStyleInfo name="TableStyleMedium2" showRowStripes="1"/></table>',
+    "xl/comments1.xml": '<comments><authors><author>Ann</author></authors><commentList><comment ref="A1" authorId="0"><text><t>old</t></text></comment><comment ref="B2" authorId="0"><text><r><t>no</t></r><r><t>te</t></r></text></comment></commentList></comments>',
+    "xl/threadedComments/threadedComment1.xml": '<ThreadedComments><threadedComment ref="A1" personId="p" id="1"><text>first</text></threadedComment><threadedComment ref="A1" personId="p" id="2" parentId="1" done="1"><text>reply</text></threadedComment></ThreadedComments>',
+    "xl/persons/person.xml": '<personList><person displayName="Bob" id="p"/></personList>',
+    "docProps/core.xml": "<cp><title> T </title><creator>me</creator><subject/></cp>",
+}
+
+
+def test_workbook_facets(spark):
+    files = spark.createDataFrame([("a", office._zip(STYLED)), ("bad", b"nothing")], "path string, content binary")
+    parsed = office.parse(files, "xlsx").cache()
+    get = {name: office.facet(parsed, "xlsx", name).where("path = 'a'") for name in ("cells", "styles", "sheets", "names", "rows", "columns", "validations", "rules", "links", "tables", "filters", "comments", "properties")}
+    style = get["styles"].where("idx = 1").first()
+    assert (style.num_fmt, style.bold, style.italic, style.underline, style.color, style.fill, style.border_top, style.border_left, style.horizontal, style.wrap) == ('0.0" kg"', True, False, True, "4472C4", "FFEE00", "thin", None, "right", True)
+    assert [(r.sheet, r.state, r.freeze, r.auto_filter, r.date1904) for r in get["sheets"].orderBy("sheet").collect()] == [(0, "visible", "B2", "A1:B9", True), (1, "hidden", None, None, True)]
+    texts = {(r.row, r.col): r.text for r in sheets.cell_text(get["cells"], get["styles"], get["sheets"]).collect()}
+    assert texts == {(0, 0): "2.3 kg", (0, 1): "1/2/1904", (2, 0): "TRUE"}
+    assert [r.sheet for r in sheets.shown_sheets(get["sheets"], get["cells"]).collect()] == [0]
+    shown = sheets.visible(sheets.clipped(get["cells"], sheets.print_areas(get["names"])), get["rows"], get["columns"]).collect()
+    assert [(r.row, r.col) for r in shown] == [(0, 0)]
+    assert [(r.seq, r.kind, r.formula1, r.r0, r.c0, r.r1) for r in get["validations"].orderBy("r0").collect()] == [(0, "list", '"p,q"', 0, 0, 1), (0, "list", '"p,q"', 3, 3, 3)]
+    assert get["rules"].first().formulas == ["5"] and get["links"].first().target == "http://x/"
+    t = get["tables"].first()
+    assert (t.id, t.name, t.r1, t.c1, t.totals_rows, t.row_stripes, t.columns) == (7, "T", 2, 1, 1, True, ["a\nb", "c"])
+    assert sorted((r.table_id or 0, r.column, r.vals, r.blank) for r in get["filters"].collect()) == [(0, 1, ["x"], True), (7, 0, ["2.25"], False)]
+    threads = sheets.thread_of(get["comments"]).orderBy("seq").collect()
+    assert [(r.author, r.text, r.thread, r.place, r.done) for r in threads] == [("Bob", "first", "1", 1, False), ("Bob", "reply", "1", 2, True), ("Ann", "note", "#2", 1, False)]
+    assert {r.name: r.value for r in get["properties"].collect()} == {"title": "T", "creator": "me"}
+    blank = get["cells"].limit(0).union(spark.createDataFrame([("a", 0, "one", False, 2, 1, "str", None, "x", None, None, None, None), ("a", 0, "one", False, 8, 2, "str", None, "x", None, None, None, None), ("a", 0, "one", False, 8, 5, "str", None, "x", None, None, None, None)], get["cells"].schema))
+    assert [r.style for r in sheets.with_default_style(blank, get["rows"], get["columns"]).orderBy("row", "col").collect()] == [1, 2, 0]
+    assert office.facet(parsed, "xlsx", "losses").where("path = 'bad'").count() == 1
+
+
+def test_sheet_operators(spark):
+    cells = spark.createDataFrame([(0, r, c, "str", None, t, t) for r, c, t in [(0, 0, "name"), (0, 1, "v"), (1, 0, "a"), (1, 1, "x"), (2, 0, "b"), (4, 0, "C"), (4, 1, "Y"), (9, 0, "out")]], "sheet int, row int, col int, kind string, num double, str string, text string")
+    areas = spark.createDataFrame([(0, 0, 0, 4, 1)], "sheet int, r0 int, c0 int, r1 int, c1 int")
+    filters = spark.createDataFrame([(0, 1, ["X"], True)], "sheet int, column int, vals array<string>, blank boolean")
+    passes = {(r.row): r.passes for r in sheets.filtered(cells, filters, areas, by=["sheet"]).where("col = 0").collect()}
+    assert passes == {0: True, 1: True, 2: True, 4: False, 9: True}
+    window = {r.row: r["values"] for r in sheets.dense(cells, "text", ["sheet"], max_rows=5).collect()}
+    assert window == {0: ["name", "v"], 1: ["a", "x"], 2: ["b", None], 3: [None, None], 4: ["C", "Y"]}
+    rules = spark.createDataFrame([("list", "between", '"a, b"', None, True, 0, 0, 9, 0, 0)], "kind string, operator string, formula1 string, formula2 string, allow_blank boolean, r0 int, c0 int, r1 int, c1 int, seq int").withColumn("sheet", F.lit(0))
+    valid = {(r.row, r.col): r.valid for r in sheets.validated(cells, rules, by=[]).collect()}
+    assert valid[1, 0] is True and valid[4, 0] is False and valid[0, 1] is None
+    assert [(r.row, r.texts) for r in sheets.projected(cells, ["sheet"]).orderBy("row").collect()][:2] == [(0, ["name", "v"]), (1, ["a", "x"])]
+
+
 def test_docx():
     body = (
         '<w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>Head</w:t></w:r></w:p>'
