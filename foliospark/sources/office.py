@@ -10,8 +10,9 @@ import io
 import json
 import posixpath
 import re
+import struct
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -271,36 +272,74 @@ def pptx_paragraphs(data: bytes) -> tuple[list[dict], list[dict]]:
 _SCHEMAS = {
     "docx": {"rows": "seq int, kind string, style string, outline_level int, num_id string, ilvl int, cell string, text string, bold boolean, italic boolean"},
     "pptx": {"rows": "seq int, slide int, placeholder string, level int, text string"},
+    "pdf": {"rows": "page int, run_idx int, x double, y double, end_x double, font_size double, text string"},
 }
-_READERS = {"docx": docx_blocks, "pptx": pptx_paragraphs}
+_SCHEMAS |= {"doc": _SCHEMAS["docx"], "ppt": _SCHEMAS["pptx"]}
+#: Kind to what reads it, (rows, losses) from bytes; register_reader adds others.
+_READERS: dict[str, Callable[[bytes], tuple[list[dict], list[dict]]]] = {"docx": docx_blocks, "pptx": pptx_paragraphs}
+_SNIFFERS: list[Callable[[bytes], str | None]] = []
+
+
+def register_reader(kind: str, schema: str, sniffs: Callable[[bytes], bool], reads: Callable[[bytes], tuple[list[dict], list[dict]]]) -> None:
+    """Adds a document kind: how its bytes are known, the schema of its rows, and what reads (rows, losses).
+
+    The functions travel to the executors with the plan, so they may be local ones.
+    """
+    _SCHEMAS[kind] = {"rows": schema}
+    _READERS[kind] = reads
+    _SNIFFERS.append(lambda data: kind if sniffs(data) else None)
+
+
+def _reader(kind: str) -> Callable[[bytes], tuple[list[dict], list[dict]]]:
+    if kind in ("doc", "ppt"):
+        from . import legacy
+
+        return {"doc": legacy.doc_blocks, "ppt": legacy.ppt_paragraphs}[kind]
+    if kind == "pdf":
+        from .pdf import pdf_runs
+
+        return pdf_runs
+    return _READERS[kind]
 _LOSSES = "severity string, feature string, detail string"
 
 
-def _facets(kind: str, content: bytes) -> Iterator[tuple[str, dict]]:
+def _facets(kind: str, content: bytes, reads: Callable | None, sniffers: list) -> Iterator[tuple[str, dict]]:
     """(facet, row) of a document; what cannot be read is a loss."""
-    found = sniff(content)
+    found = next((k for s in sniffers if (k := s(content))), None) or sniff(content)
     try:
+        if found == "cfb":
+            from .legacy import kind_of
+
+            found = kind_of(content) or found
         if found != kind:
             raise Refused(f"{found or 'unknown'} is no {kind}")
         if kind == "xlsx":
             from .workbook import facets
 
             yield from list(facets(content))
+        elif kind == "xls":
+            from .legacy import xls_facets
+
+            yield from list(xls_facets(content))
         else:
-            rows, losses = _READERS[kind](content)
+            rows, losses = reads(content)
             yield from (("rows", r) for r in rows)
             yield from (("losses", x) for x in losses)
-    except (Refused, ET.ParseError, KeyError, ValueError, zipfile.BadZipFile) as error:
+    except (Refused, ET.ParseError, KeyError, ValueError, IndexError, struct.error, zipfile.BadZipFile) as error:
         yield "losses", {"severity": "dropped", "feature": "document", "detail": str(error)[:200]}
 
 
 def parse(files: DataFrame, kind: str) -> DataFrame:
-    """(path, facet, row): everything in files(path, content) of one kind, each opened once; row is JSON."""
+    """(path, facet, row): everything in files(path, content) of one kind, each opened once; row is JSON.
+
+    kind: docx, xlsx, pptx, doc, xls, ppt, pdf, or one that register_reader added.
+    """
+    reads, sniffers = None if kind in ("xlsx", "xls") else _reader(kind), list(_SNIFFERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                found = [(name, facet, json.dumps(row, ensure_ascii=False)) for facet, row in _facets(kind, bytes(content))]
+                found = [(name, facet, json.dumps(row, ensure_ascii=False)) for facet, row in _facets(kind, bytes(content), reads, sniffers)]
                 for start in range(0, len(found), 65536):
                     yield pd.DataFrame(found[start : start + 65536], columns=["path", "facet", "row"])
 
@@ -310,7 +349,7 @@ def parse(files: DataFrame, kind: str) -> DataFrame:
 def facet(parsed: DataFrame, kind: str, name: str) -> DataFrame:
     """One facet's rows with their path, from parse()."""
     schemas = {"losses": _LOSSES} | _SCHEMAS.get(kind, {})
-    if kind == "xlsx":
+    if kind in ("xlsx", "xls"):
         from .workbook import FACETS
 
         schemas = FACETS
@@ -333,7 +372,7 @@ def read(spark: SparkSession, path: str, kind: str, store: str | None = None) ->
     if store is not None:
         parsed.write.parquet(store)
         parsed = spark.read.parquet(store)
-    return facet(parsed, kind, "cells" if kind == "xlsx" else "rows"), facet(parsed, kind, "losses")
+    return facet(parsed, kind, "cells" if kind in ("xlsx", "xls") else "rows"), facet(parsed, kind, "losses")
 
 
 def outline(blocks: DataFrame) -> DataFrame:
