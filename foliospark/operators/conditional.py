@@ -219,3 +219,19 @@ def first_rule(rules: Sequence[tuple[int, Column, str]], name: str = "format") -
     for _, hit, style in sorted(rules, key=lambda r: -r[0]):
         chosen = F.when(hit, style).otherwise(chosen)
     return chosen.alias(name)
+
+
+def merged_format(rules: Sequence[tuple[int, Column, dict, bool]], properties: Sequence[str], name: str = "format") -> Column:
+    """A struct with each property from the matching rule of least priority number that sets it.
+
+    rules: priority, hit, the properties set, and whether a match stops all later rules.
+    """
+    found = {p: F.lit(None).cast("string") for p in properties}
+    open_ = F.lit(True)
+    for _, hit, style, stops in sorted(rules, key=lambda r: r[0]):
+        counts = open_ & hit
+        for p, value in style.items():
+            found[p] = F.coalesce(found[p], F.when(counts, F.lit(str(value))))
+        if stops:
+            open_ = open_ & ~hit
+    return F.struct(*[found[p].alias(p) for p in properties]).alias(name)

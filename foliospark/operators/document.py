@@ -157,3 +157,118 @@ def header_footer(text: str, page: Column, pages: Column, sheet: Column, file: C
     fields = {"&P": page.cast("string"), "&N": pages.cast("string"), "&A": sheet, "&F": file, "&&": F.lit("&")}
     return {{"L": "left", "C": "center", "R": "right"}[k]: F.concat(F.lit(""), *[fields[t] if t in fields else F.lit("" if t.startswith("&") else t) for t in re.findall(r"&[A-Za-z&]|[^&]+", v)]) for k, v in parts.items()}
 
+
+
+# --- tables, nested lists, anchors ----------------------------------------------------------
+
+
+def grid_columns(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by and columns: the widest row of each table, by the sum of its cells' spans."""
+    rows = cells.groupBy(*by, "row").agg(F.sum(F.coalesce("span", F.lit(1))).alias("_n"))
+    return rows.groupBy(*by).agg(F.max("_n").alias("columns"))
+
+
+def row_spans(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """cells with row_span: 1 and the unbroken run of cells below that continue a vertical merge.
+
+    cells: by, row, col (where the cell starts) and vmerge: restart, continue or null.
+    """
+    column = Window.partitionBy(*by, "col").orderBy("row")
+    starts = F.coalesce(F.col("vmerge") != "continue", F.lit(True)) | (F.col("row") != F.lag("row").over(column) + 1)
+    marked = cells.withColumn("_g", F.sum(F.coalesce(starts, F.lit(True)).cast("int")).over(column))
+    group = Window.partitionBy(*by, "col", "_g")
+    first = Window.partitionBy(*by, "col", "_g").orderBy("row")
+    held = F.first(F.coalesce(F.col("vmerge") == "restart", F.lit(False))).over(first)
+    span = F.when((F.row_number().over(first) == 1) & held, F.count("*").over(group)).otherwise(1)
+    return marked.withColumn("row_span", span.cast("int")).drop("_g")
+
+
+def markdown_tables(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One GFM table per group: its first row as head, cells escaped, short rows filled, trailing empty rows and columns left out.
+
+    cells: by, row, col, text and, if there, span; a cell that spans columns leaves the ones it covers empty.
+    """
+    full = cells.where(F.coalesce(F.trim("text"), F.lit("")) != "")
+    size = full.groupBy(*by).agg(F.max("row").alias("_rows"), F.max("col").alias("_cols"))
+    body = F.regexp_replace(escape_markdown(F.trim("text")), r"\s*\n\s*", "<br>")
+    held = full.groupBy(*by, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", body.alias("t")))).alias("_m"))
+    rows = size.select(*by, "_cols", F.explode(F.sequence(F.lit(0), F.col("_rows"))).alias("row")).join(held, [*by, "row"], "left")
+    line = lambda items: F.concat(F.lit("| "), F.array_join(items, " | "), F.lit(" |"))
+    places = F.sequence(F.lit(0), F.col("_cols"))
+    texts = F.transform(places, lambda c: F.coalesce(F.try_element_at(F.coalesce("_m", F.expr("cast(map() as map<int,string>)")), c), F.lit("")))
+    rule = line(F.transform(places, lambda c: F.lit("---")))
+    lines = rows.select(*by, F.struct("row", F.when(F.col("row") == 0, F.concat(line(texts), F.lit("\n"), rule)).otherwise(line(texts)).alias("l")).alias("b"))
+    return lines.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["l"]), "\n").alias("markdown"))
+
+
+def html_tables(cells: DataFrame, by: Sequence[str], header_rows: int = 1) -> DataFrame:
+    """One HTML table per group; spans become colspan and rowspan, continued cells go.
+
+    cells: by, row, col, text, span, vmerge (the last two may be missing).
+    """
+    missing = {c: F.lit(None).cast(t) for c, t in (("span", "int"), ("vmerge", "string")) if c not in cells.columns}
+    spanned = row_spans(cells.withColumns(missing) if missing else cells, by).where(F.coalesce(F.col("vmerge") != "continue", F.lit(True)))
+    tag = F.when(F.col("row") < header_rows, "th").otherwise("td")
+    extra = lambda name, n: F.when(n > 1, F.concat(F.lit(f' {name}="'), n.cast("string"), F.lit('"'))).otherwise("")
+    cell = F.concat(F.lit("<"), tag, extra("colspan", F.coalesce("span", F.lit(1))), extra("rowspan", F.col("row_span")), F.lit(">"), F.replace(escape_html(F.coalesce("text", F.lit(""))), F.lit("\n"), F.lit("<br/>")), F.lit("</"), tag, F.lit(">"))
+    rows = spanned.groupBy(*by, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", cell.alias("c")))), lambda x: x["c"]), "").alias("_c"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", F.concat(F.lit("<tr>"), F.col("_c"), F.lit("</tr>")).alias("l")))), lambda x: x["l"]), "\n")
+    return rows.groupBy(*by).agg(F.concat(F.lit("<table>\n"), lines, F.lit("\n</table>")).alias("html"))
+
+
+def list_items(blocks: DataFrame, by: Sequence[str], order: str, level: str = "level", marker: str = "marker") -> DataFrame:
+    """Items with nesting and number: markdown's indent by how many shallower items enclose one, and its ordinal.
+
+    A run of items is broken by any other block (null level). An item's number is its marker's
+    digits, else its count among the siblings since the last shallower item; bullets have none.
+    """
+    along = Window.partitionBy(*by).orderBy(order)
+    listed = blocks.withColumn("_run", F.sum(F.col(level).isNull().cast("int")).over(along)).where(F.col(level).isNotNull())
+    run = Window.partitionBy(*by, "_run").orderBy(order)
+    upto = run.rowsBetween(Window.unboundedPreceding, 0)
+    out = listed
+    for k in range(9):  # an item of level k starts a new part for all deeper ones
+        out = out.withColumn(f"_s{k}", F.sum((F.col(level) < k).cast("int")).over(upto))
+    part = F.element_at(F.array(*[F.col(f"_s{k}") for k in range(9)]), F.least(F.col(level), F.lit(8)) + 1)
+    out = out.withColumn("_part", part)
+    sibling = Window.partitionBy(*by, "_run", level, "_part").orderBy(order)
+    enclosing = [F.when(F.col(level) > k, (F.max(F.when(F.col(level) == k, F.col(order))).over(upto) > F.coalesce(F.max(F.when(F.col(level) < k, F.col(order))).over(upto), F.lit(-1))).cast("int")).otherwise(0) for k in range(9)]
+    nesting = sum((F.coalesce(e, F.lit(0)) for e in enclosing), F.lit(0))
+    digits = F.regexp_extract(marker, r"(\d+)", 1)
+    ordered = F.col(marker).rlike(r"[0-9A-Za-z]")
+    number = F.when(ordered, F.when(digits != "", digits.cast("int")).otherwise(F.row_number().over(sibling)))
+    return out.withColumns({"nesting": nesting, "number": number}).select(*blocks.columns, "nesting", "number")
+
+
+def markdown_items(items: DataFrame, by: Sequence[str], order: str, text: str = "text") -> DataFrame:
+    """One markdown list per group from list_items()."""
+    bullet = F.when(F.col("number").isNotNull(), F.concat(F.col("number").cast("string"), F.lit(". "))).otherwise("- ")
+    line = F.concat(F.repeat(F.lit("  "), F.col("nesting")), bullet, escape_markdown(F.col(text)))
+    return items.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("l")))), lambda b: b["l"]), "\n").alias("markdown"))
+
+
+def note_definitions(notes: DataFrame, numbers: DataFrame, prefix: str = "fn") -> DataFrame:
+    """doc_id, number, line: the definitions of the notes that are referred to, in order of their numbers."""
+    both = numbers.join(notes.select("doc_id", "note_ref", "text"), ["doc_id", "note_ref"])
+    return both.select("doc_id", "number", F.concat(F.lit(f"[^{prefix}"), F.col("number").cast("string"), F.lit("]: "), escape_markdown(F.regexp_replace(F.trim("text"), r"\s*\n\s*", " "))).alias("line"))
+
+
+def slug(name: Column) -> Column:
+    """A bookmark's name as an anchor: lower-case letters and digits with hyphens between."""
+    made = F.regexp_replace(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
+    return F.when(made == "", "bookmark").otherwise(made)
+
+
+def used_bookmarks(bookmarks: DataFrame, links: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The bookmarks (by, name) that some link's anchor names, with their slug."""
+    wanted = links.where("anchor is not null").select(*by, F.col("anchor").alias("name")).distinct()
+    return bookmarks.join(wanted, [*by, "name"], "left_semi").withColumn("slug", slug(F.col("name")))
+
+
+def resolved_names(names: DataFrame, sheets: DataFrame, by: Sequence[str] = ("path",)) -> DataFrame:
+    """by, sheet, name, value: what each name means on each sheet; a sheet's own beats the workbook's."""
+    own = names.where("sheet is not null").select(*by, "sheet", F.lower("name").alias("name"), "value")
+    common = names.where("sheet is null").select(*by, F.lower("name").alias("name"), "value")
+    everywhere = sheets.select(*by, "sheet").join(common, list(by)) if by else sheets.select("sheet").join(F.broadcast(common), how="cross")
+    rest = everywhere.join(own.select(*by, "sheet", "name"), [*by, "sheet", "name"], "left_anti")
+    return own.unionByName(rest)

@@ -165,3 +165,67 @@ def nice_scale(low: Column, high: Column, ticks: int = 6) -> Column:
     step = F.when(f < 1.5, 1.0).when(f < 3, 2.0).when(f < 7, 5.0).otherwise(10.0) * unit
     room = F.when(hi > 0, hi * 1.05).otherwise(hi)
     return F.struct((F.floor(lo / step) * step).alias("min"), (F.ceil(room / step) * step).alias("max"), step.alias("step"))
+
+
+#: The parts of a table style, weakest first.
+STYLE_PARTS = ("wholeTable", "band1Vert", "band2Vert", "band1Horz", "band2Horz", "lastCol", "firstCol", "lastRow", "firstRow", "nwCell", "neCell", "swCell", "seCell")
+
+
+def table_parts(row: Column, col: Column, rows: Column, cols: Column, header: bool = True, totals: bool = False, first: bool = False, last: bool = False, row_bands: bool = True, column_bands_: bool = False, size: int = 1) -> Column:
+    """The style parts that apply to a cell of a table (0-based place), weakest first."""
+    top, end = (1 if header else 0), rows - (1 if totals else 0)
+    body = (row >= top) & (row < end)
+    side = (1 if first else 0)
+    on = {
+        "wholeTable": F.lit(True), "band1Vert": body & (F.floor((col - side) / size) % 2 == 0) & F.lit(column_bands_) & (col >= side), "band2Vert": body & (F.floor((col - side) / size) % 2 == 1) & F.lit(column_bands_) & (col >= side),
+        "band1Horz": body & (F.floor((row - top) / size) % 2 == 0) & F.lit(row_bands), "band2Horz": body & (F.floor((row - top) / size) % 2 == 1) & F.lit(row_bands), "lastCol": (col == cols - 1) & F.lit(last), "firstCol": (col == 0) & F.lit(first),
+        "lastRow": (row == rows - 1) & F.lit(totals), "firstRow": (row == 0) & F.lit(header), "nwCell": (row == 0) & (col == 0) & F.lit(header and first), "neCell": (row == 0) & (col == cols - 1) & F.lit(header and last), "swCell": (row == rows - 1) & (col == 0) & F.lit(totals and first), "seCell": (row == rows - 1) & (col == cols - 1) & F.lit(totals and last),
+    }
+    return F.array_compact(F.array(*[F.when(on[p], p) for p in STYLE_PARTS]))
+
+
+def styled(parts: Column, style: dict[str, dict[str, str]], prop: str) -> Column:
+    """One property of a table style for a cell: that of its strongest part that sets it."""
+    out = F.lit(None).cast("string")
+    for part in STYLE_PARTS:
+        if prop in style.get(part, {}):
+            out = F.when(F.array_contains(parts, part), style[part][prop]).otherwise(out)
+    return out
+
+
+SPARK_POINTS = 1000
+
+
+def spark_series(cells: DataFrame, hosts: DataFrame) -> DataFrame:
+    """hosts with points: the numbers of each host's area row by row, null for a gap, at most 1000.
+
+    hosts: sheet, host, r0, c0, r1, c1. Places are expanded and meet the cells in an equi-join.
+    """
+    area = hosts.withColumn("_w", F.col("c1") - F.col("c0") + 1).withColumn("_n", F.least((F.col("r1") - F.col("r0") + 1) * F.col("_w"), F.lit(SPARK_POINTS)))
+    places = area.select("sheet", "host", "r0", "c0", "_w", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"))
+    at = places.select("sheet", "host", "_k", (F.col("r0") + F.floor(F.col("_k") / F.col("_w"))).cast("int").alias("row"), (F.col("c0") + F.col("_k") % F.col("_w")).cast("int").alias("col"))
+    met = at.join(cells.where("kind = 'num'").select("sheet", "row", "col", "num"), ["sheet", "row", "col"], "left")
+    points = met.groupBy("sheet", "host").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "num"))), lambda p: p["num"]).alias("points"))
+    return hosts.join(points, ["sheet", "host"])
+
+
+def spark_extent(points: Column) -> Column:
+    """low and span of a series; a flat one has span 1, one without a number none."""
+    low, high = F.array_min(F.array_compact(points)), F.array_max(F.array_compact(points))
+    return F.struct(low.alias("low"), F.when(high > low, high - low).when(low.isNotNull(), 1.0).alias("span"))
+
+
+def table_slicer_items(slicers: DataFrame, tables: DataFrame, filters: DataFrame, cells: DataFrame, limit: int = 256) -> DataFrame:
+    """sheet, slicer, item, label, selected: the distinct values of each slicer's table column, first seen first.
+
+    slicers: slicer, table_id, column (0-based in the table). tables, filters: as the workbook
+    facets have them. A column without a filter has every item selected.
+    """
+    held = slicers.join(tables.select("sheet", F.col("id").alias("table_id"), "r0", "c0", "r1", "header_rows", "totals_rows"), "table_id")
+    held = held.join(filters.select("sheet", "table_id", "column", F.transform("vals", F.lower).alias("_vals")), ["sheet", "table_id", "column"], "left")
+    held = held.withColumn("col", F.col("c0") + F.col("column"))
+    body = cells.join(held, ["sheet", "col"]).where((F.col("row") >= F.col("r0") + F.col("header_rows")) & (F.col("row") <= F.col("r1") - F.col("totals_rows")) & (F.col("text") != ""))
+    firsts = body.groupBy("sheet", "slicer", F.col("text").alias("label")).agg(F.min("row").alias("_first"), F.first("_vals").alias("_vals"))
+    w = Window.partitionBy("sheet", "slicer").orderBy("_first", "label")
+    out = firsts.withColumn("item", F.row_number().over(w)).where(F.col("item") <= limit)
+    return out.select("sheet", "slicer", "item", "label", (F.col("_vals").isNull() | F.array_contains("_vals", F.lower("label"))).alias("selected"))

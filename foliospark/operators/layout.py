@@ -147,3 +147,128 @@ def best_breaks(widths: list[float], measure: float, space: float) -> list[int]:
         k = back[k]
         out.append(k)
     return out[::-1]
+
+
+# --- columns, tables and reading order ------------------------------------------------------
+
+ROW_DRIFT, VOTES, VOTE_STEP, MERGE_STEP, STOP_DRIFT = 0.6, 12, 4.0, 1.5, 10.0
+
+
+def rows_at(runs: DataFrame, ems: float = ROW_DRIFT) -> DataFrame:
+    """runs with row: a gap of over `ems` font sizes between neighbouring baselines starts a new one."""
+    w = Window.partitionBy(*_PAGE).orderBy("y", "x", "run_idx")
+    new = (F.col("y") - F.lag("y").over(w)) > ems * F.col("font_size")
+    return runs.withColumn("row", F.sum(F.coalesce(new, F.lit(False)).cast("int")).over(w))
+
+
+def voted_gutters(lines_of_runs: DataFrame, step: float = VOTE_STEP, votes: int = VOTES) -> DataFrame:
+    """(doc_id, page, left, right): places where lines part, by votes.
+
+    runs with line. A sampled x splits a line if it has runs on both sides and none across, and a
+    gutter is x that splits `votes` lines or more and is crossed by fewer than it splits; samples
+    within 1.5 steps of one another are one gutter. Each run votes only where it can matter: the
+    gaps between neighbours and the run itself are expanded to samples, no line meets another.
+    """
+    w = Window.partitionBy(*_PAGE, "line").orderBy("x", "run_idx")
+    reach = F.max("end_x").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = lines_of_runs.withColumn("_reach", reach)
+    samples = lambda a, b: F.when(F.floor(b / step) > F.ceil(a / step), F.sequence(F.ceil(a / step), F.floor(b / step) - 1)).otherwise(F.array().cast("array<bigint>"))
+    split = marked.where(F.col("_reach") < F.col("x")).select(*_PAGE, "line", F.explode(samples(F.col("_reach"), F.col("x"))).alias("k"), F.lit(1).alias("s"), F.lit(0).alias("c"))
+    cross = marked.select(*_PAGE, "line", F.explode(samples(F.col("x"), F.col("end_x"))).alias("k"), F.lit(0).alias("s"), F.lit(1).alias("c"))
+    each = split.union(cross).groupBy(*_PAGE, "line", "k").agg(F.max("s").alias("s"), F.max("c").alias("c"))
+    sums = each.groupBy(*_PAGE, "k").agg(F.sum(F.when(F.col("c") == 0, F.col("s")).otherwise(0)).alias("s"), F.sum("c").alias("c"))
+    good = sums.where((F.col("s") >= votes) & (F.col("c") < F.col("s")))
+    page = Window.partitionBy(*_PAGE).orderBy("k")
+    new = F.coalesce(F.col("k") - F.lag("k").over(page) > MERGE_STEP, F.lit(True))
+    islands = good.withColumn("_g", F.sum(new.cast("int")).over(page))
+    return islands.groupBy(*_PAGE, "_g").agg((F.min("k") * step).alias("left"), (F.max("k") * step).alias("right")).drop("_g")
+
+
+def tabbed_rows(lines: DataFrame) -> DataFrame:
+    """lines with table: the number of a run of two or more lines with the same number (two or more) of tab stops, each near the first line's.
+
+    lines: doc_id, page, line, font_size, stops (the x of each stop). Nearness is to the run's
+    first line, which no fixed window frame can express, so each page is read once in order.
+    """
+    schema = T.StructType([*lines.drop("table").schema.fields, T.StructField("table", T.IntegerType())])
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line", kind="stable")
+        found: list[int | None] = [None] * len(pdf)
+        stops, sizes = [list(s) if s is not None else [] for s in pdf["stops"]], pdf["font_size"].tolist()
+        k = n = 0
+        while k < len(found):
+            end = k + 1
+            near = max(sizes[k], STOP_DRIFT)
+            while end < len(found) and len(stops[k]) >= 2 and len(stops[end]) == len(stops[k]) and all(abs(a - b) <= near for a, b in zip(stops[k], stops[end], strict=True)):
+                end += 1
+            if end - k >= 2:
+                found[k:end] = [n] * (end - k)
+                n += 1
+            k = end
+        return pdf.assign(table=pd.array(found, dtype="Int32"))
+
+    return lines.groupBy(*_PAGE).applyInPandas(mark, schema)
+
+
+def reading_kind(pages: DataFrame) -> DataFrame:
+    """(doc_id, reading): positional where the upper median page has over a mark a line, else flow.
+
+    pages: doc_id, page, marks (drawn rules, pictures, boxes), lines.
+    """
+    ratio = F.col("marks") / F.greatest(F.col("lines"), F.lit(1))
+    counts = pages.withColumn("_r", ratio.cast("double")).groupBy("doc_id", "_r").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("doc_id").orderBy("_r")
+    placed = counts.withColumns({"_upto": F.sum("_n").over(w), "_half": F.floor(F.sum("_n").over(Window.partitionBy("doc_id")) / 2)})
+    return placed.where("_upto > _half").groupBy("doc_id").agg(F.when(F.min("_r") > 1, "positional").otherwise("flow").alias("reading"))
+
+
+def in_reading_order(blocks: DataFrame, gutters_: DataFrame) -> DataFrame:
+    """blocks with place: columns from left to right, each from top to bottom. blocks: doc_id, page, x, y."""
+    cuts = gutters_.groupBy(*_PAGE).agg(F.array_sort(F.collect_list((F.col("left") + F.col("right")) / 2)).alias("_cuts"))
+    column = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c <= F.col("x")))
+    w = Window.partitionBy("doc_id").orderBy("page", "_column", "y", "x")
+    return blocks.join(cuts, list(_PAGE), "left").withColumn("_column", column).withColumn("place", F.row_number().over(w)).drop("_cuts", "_column")
+
+
+def page_numbers(rows: DataFrame, limit: float, by: tuple[str, ...] = ("sheet",), repeat: float = 0.0, scale: float = 1.0) -> DataFrame:
+    """by, row, page: rows filled greedily into pages of `limit`, titles of height `repeat` first on each after the first.
+
+    rows: by, row, height, break_before. A row taller than a page has one to itself. The fill
+    depends on all rows before, so each sheet is read once in order.
+    """
+    schema = T.StructType([*[rows.schema[b] for b in by], rows.schema["row"], T.StructField("page", T.IntegerType())])
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row", kind="stable")
+        page, used, out = 0, 0.0, []
+        for height, cut in zip(pdf["height"].tolist(), pdf["break_before"].tolist(), strict=True):
+            h = height * scale
+            if out and (cut or used + h > limit + 1e-9):
+                page, used = page + 1, repeat * scale
+            used += h
+            out.append(page)
+        return pdf[[*by, "row"]].assign(page=pd.array(out, dtype="int32"))
+
+    return rows.groupBy(*by).applyInPandas(fill, schema)
+
+
+def drawn_rules(runs: DataFrame, rules: DataFrame) -> DataFrame:
+    """runs with underlined and struck: whether a thin drawn rule runs under, or through, most of a run.
+
+    rules: doc_id, page, x0, x1, y. Under is up to a fifth of the size below the baseline,
+    through a fifth to a half above it. An equi-join by page, then a range test.
+    """
+    near = runs.join(rules.select(*_PAGE, F.col("x0").alias("_a"), F.col("x1").alias("_b"), F.col("y").alias("_y")), list(_PAGE))
+    cover = F.least("end_x", "_b") - F.greatest("x", "_a")
+    off = (F.col("_y") - F.col("y")) / F.col("font_size")
+    hits = near.where(cover >= 0.5 * (F.col("end_x") - F.col("x"))).groupBy(*_PAGE, "run_idx").agg(F.bool_or(off.between(0, 0.2)).alias("underlined"), F.bool_or(off.between(-0.5, -0.2)).alias("struck"))
+    return runs.join(hits, [*_PAGE, "run_idx"], "left").select(*runs.columns, F.coalesce("underlined", F.lit(False)).alias("underlined"), F.coalesce("struck", F.lit(False)).alias("struck"))
+
+
+def aligned(lines: DataFrame, least: int = 2, drift: float = 2.0) -> DataFrame:
+    """(doc_id, page, paragraph, alignment): by which edges or middles of a paragraph's lines agree; left where nothing else holds."""
+    spread = lambda c: F.max(c) - F.min(c)
+    stats = lines.groupBy(*_PAGE, "paragraph").agg(F.count("*").alias("_n"), spread(F.col("x")).alias("_l"), spread(F.col("end_x")).alias("_r"), spread((F.col("x") + F.col("end_x")) / 2).alias("_m"))
+    kind = F.when(F.col("_n") < least, "left").when((F.col("_l") <= drift) & (F.col("_r") <= drift), "justify").when(F.col("_l") <= drift, "left").when(F.col("_m") <= drift, "center").when(F.col("_r") <= drift, "right").otherwise("left")
+    return stats.select(*_PAGE, "paragraph", kind.alias("alignment"))

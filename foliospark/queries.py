@@ -393,4 +393,4 @@ def l_median_font(spark, sf_dir):
     return layout.median_font(_runs(spark, sf_dir))
 
 
-from . import queries_formulas, queries_sheets  # noqa: E402, F401  add their queries
+from . import queries_documents, queries_formulas, queries_sheets  # noqa: E402, F401  add their queries
