@@ -1,7 +1,7 @@
 """Exact-substring deduplication by blockwise suffix sorting over a difference cover.
 
 A byte is removed if a string of `length` bytes that covers it also starts anywhere else.
-Suffixes matter only to that depth, so their order is taken over 64-bit fingerprints of
+Suffixes matter only to that depth, so their order is taken over 96-bit fingerprints of
 their first `length` bytes (equal strings, equal places), and work is done in two sorts:
 
 1. Cover sample. D is a difference cover modulo v: for any two positions i and j there is a
@@ -18,8 +18,11 @@ fingerprints, sorted, with a mark for those it holds twice; the bucket answers w
 for each. So a string that fills a third of the corpus costs one entry a block, and no group
 is ever gathered. Nothing but counts reaches the driver.
 
-The result is exact but for 64-bit fingerprint collisions between suffixes that pass step 1.
-Null texts are empty. Repeated rows remove each other. A null doc_id is kept as it is.
+The result is exact but for collisions of a 64-bit and a 32-bit fingerprint, of different bases,
+between suffixes that pass step 1: among 10**12 of them some 10**-5 false ties are to be
+expected, among 10**14 some 0.06.
+Null texts are empty, a text of any length is one entry of its block. Repeated rows remove each
+other. A null doc_id is kept as it is. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +43,8 @@ from .common import documents, slices, stage, unstage, utf8
 
 LENGTH, BLOCK_BYTES, BUCKET = 400, 2 << 20, 1 << 20
 _SEGMENT = 1 << 18
-_BASE = 0x9E3779B97F4A7C15 | 5
+#: Odd bases of the fingerprints, by their bits.
+_BASES = {64: 0x9E3779B97F4A7C15 | 5, 32: 0xD192ED05}
 #: Primitive polynomials over GF(2) by degree.
 _PRIMITIVE = {3: 0b1011, 6: 0b1000011, 9: 0b1000010001, 12: 0b1000001010011}
 
@@ -82,33 +86,46 @@ def difference_cover(length: int) -> tuple[int, tuple[int, ...]]:
     return v, tuple(chosen)
 
 
-@lru_cache(maxsize=1)
-def _powers(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    table = np.random.default_rng(_BASE % 2**32).integers(0, 2**64, 256, np.uint64)
-    up, down = np.ones(_SEGMENT + width, np.uint64), np.ones(_SEGMENT, np.uint64)
-    up[1:], down[1:] = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 2**64))
-    return table, np.cumprod(up), np.cumprod(down)
+@lru_cache(maxsize=4)
+def _powers(width: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    bits = np.dtype(kind).itemsize * 8
+    base = _BASES[bits]
+    table = np.random.default_rng(base % 2**32).integers(0, 2**bits, 256, kind)
+    up, down = np.ones(_SEGMENT + width, kind), np.ones(_SEGMENT, kind)
+    up[1:], down[1:] = kind(base), kind(pow(base, -1, 2**bits))
+    return table, np.cumprod(up, dtype=kind), np.cumprod(down, dtype=kind)
 
 
-def window_keys(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Fingerprints of data[p:p+width] for the ascending positions `at`."""
-    table, up, down = _powers(width)
-    out = np.empty(len(at), np.uint64)
+def _window_sums(data: np.ndarray, at: np.ndarray, width: int, kind: type) -> np.ndarray:
+    """A polynomial of data[p:p+width], modulo 2**32 or 2**64, for the ascending positions `at`."""
+    table, up, down = _powers(width, kind)
+    out = np.empty(len(at), kind)
     for s in range(0, len(data), _SEGMENT):
         a, b = np.searchsorted(at, (s, s + _SEGMENT))
         if a == b:
             continue
         part = data[s : s + _SEGMENT + width]
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(table[part] * up[: len(part)], out=total[1:])
+        total = np.zeros(len(part) + 1, kind)
+        np.cumsum(table[part] * up[: len(part)], out=total[1:], dtype=kind)
         p = at[a:b] - s
         out[a:b] = (total[p + width] - total[p]) * down[p]
+    return out
+
+
+def window_keys(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """64-bit fingerprints of data[p:p+width], spread over their whole range."""
+    out = _window_sums(data, at, width, np.uint64)
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
     return out
 
 
+def window_checks(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Further 32 bits, of another base and other letters' values."""
+    return _window_sums(data, at, width, np.uint32)
+
+
 def starts_of(sizes: np.ndarray, width: int) -> np.ndarray:
     """Mask of the positions from which `width` bytes stay within their text."""
     step = np.zeros(int(sizes.sum()) + 1, np.int32)
@@ -141,7 +158,7 @@ class Block:
         return np.flatnonzero((np.cumsum(step[:-1]) > 0) & starts_of(self.sizes, self.length)) if len(at) else np.zeros(0, np.int64)
 
 
-def _bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
+def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
@@ -153,30 +170,48 @@ def _flags(bits: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
 
 
-def send(keys: np.ndarray, n: int, low: int, high: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(bucket, distinct keys, held-twice bits) for buckets low <= b < high of n."""
+Keys = tuple[np.ndarray, np.ndarray | None]  # fingerprints, and second ones where ties must be certain
+
+
+def _ordered(keys: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the pairs, and which of them, so ordered, differ from the one before."""
+    order = np.argsort(keys)
+    if not len(keys):
+        return order, np.zeros(0, bool)
+    sorted_ = keys[order]
+    first = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
+    if checks is not None:
+        second = checks[order]
+        if (~first[1:] & (second[1:] != second[:-1])).any():  # equal fingerprints of unequal strings
+            order = np.lexsort((checks, keys))
+            sorted_, second = keys[order], checks[order]
+            first[1:] = (sorted_[1:] != sorted_[:-1]) | (second[1:] != second[:-1])
+    return order, first
+
+
+def send(found: Keys, n: int, low: int, high: int) -> Iterator[tuple[int, bytes, bytes | None, bytes]]:
+    """(bucket, distinct keys, their checks, held-twice bits) for buckets low <= b < high of n."""
+    keys, checks = found
     if (low, high) != (0, n):
-        bucket = _bucket_of(keys, n)
-        keys = keys[(bucket >= low) & (bucket < high)]
-    keys = np.sort(keys)
-    first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+        bucket = bucket_of(keys, n)
+        some = (bucket >= low) & (bucket < high)
+        keys, checks = keys[some], None if checks is None else checks[some]
+    order, first = _ordered(keys, checks)
     at = np.flatnonzero(first)
     twice = np.diff(np.append(at, len(keys))) > 1
-    keys = keys[at]
-    bucket = _bucket_of(keys, n)
+    keys, checks = keys[order[at]], None if checks is None else checks[order[at]]
+    bucket = bucket_of(keys, n)
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield int(bucket[a]), keys[a:b].tobytes(), _bits(twice[a:b])
+        yield int(bucket[a]), keys[a:b].tobytes(), None if checks is None else checks[a:b].tobytes(), _bits(twice[a:b])
 
 
-def receive(keys: np.ndarray, n: int, answers: list[dict]) -> np.ndarray:
+def receive(found: Keys, n: int, answers: list[dict]) -> np.ndarray:
     """For each key, in the order given, whether its bucket found it twice; keys of other passes: False."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    first = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, bool)
-    distinct = ordered[first]
-    bucket = _bucket_of(distinct, n)
-    flags = np.zeros(len(distinct), bool)
+    keys, checks = found
+    order, first = _ordered(keys, checks)
+    bucket = bucket_of(keys[order[first]], n)
+    flags = np.zeros(len(bucket), bool)
     for answer in answers:
         a, b = np.searchsorted(bucket, (answer["bucket"], answer["bucket"] + 1))
         flags[a:b] = _flags(answer["bits"], b - a)
@@ -185,17 +220,18 @@ def receive(keys: np.ndarray, n: int, answers: list[dict]) -> np.ndarray:
     return out
 
 
-def _tie(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, bytes]]:
+def _tie(rows: list[tuple[int, np.ndarray, np.ndarray | None, np.ndarray]]) -> Iterator[tuple[int, bytes]]:
     """One bucket's sort: which of each block's keys are held twice in all."""
-    every = np.sort(np.concatenate([k for _, k, _ in rows]))
-    twice = np.concatenate([every[1:][every[1:] == every[:-1]], *(k[t] for _, k, t in rows)])
-    twice = np.unique(twice)
-    for block, keys, _ in rows:
-        if len(twice):
-            place = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
-            yield block, _bits(twice[place] == keys)
-        else:
-            yield block, bytes(-(-len(keys) // 8))
+    blocks, keys, checks, twice = zip(*rows, strict=True)
+    order, first = _ordered(np.concatenate(keys), None if checks[0] is None else np.concatenate(checks))
+    group = np.cumsum(first) - 1
+    tied = np.bincount(group) > 1
+    tied |= np.bincount(group, np.concatenate(twice)[order]) > 0
+    flags = np.zeros(len(order), bool)
+    flags[order] = tied[group]
+    ends = np.cumsum([len(k) for k in keys])
+    for block, end, k in zip(blocks, ends.tolist(), keys, strict=True):
+        yield block, _bits(flags[end - len(k) : end])
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,25 +243,26 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in got]), pa.array([now] * len(got)), pa.array([x for _, x in got], pa.binary())], names=["block", "bucket", "bits"])
 
     for batch in batches:
-        for bucket, block, keys, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for bucket, block, keys, checks, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if bucket != now:
                 yield from flush()
                 now, rows = bucket, []
             k = np.frombuffer(keys, np.uint64)
-            rows.append((block, k, _flags(twice, len(k))))
+            rows.append((block, k, None if checks is None else np.frombuffer(checks, np.uint32), _flags(twice, len(k))))
     yield from flush()
 
 
-def _sort_buckets(blocks: DataFrame, keys_of: Callable[[dict], np.ndarray], columns: list[str], n: int, low: int, high: int) -> DataFrame:
+def _sort_buckets(blocks: DataFrame, keys_of: Callable[[dict], Keys], columns: list[str], n: int, low: int, high: int) -> DataFrame:
     """(block, bucket, bits), staged, from one sort of the buckets low <= b < high of n."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 sent = list(send(keys_of(row), n, low, high))
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in sent], pa.int64()), pa.array([row["block"]] * len(sent), pa.int64()), pa.array([k for _, k, _ in sent], pa.binary()), pa.array([t for _, _, t in sent], pa.binary())], names=["bucket", "block", "keys", "twice"])
+                bucket, keys, checks, twice = zip(*sent, strict=True) if sent else ((),) * 4
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array([row["block"]] * len(sent), pa.int64()), pa.array(keys, pa.binary()), pa.array(checks, pa.binary()), pa.array(twice, pa.binary())], names=["bucket", "block", "keys", "checks", "twice"])
 
-    dealt = blocks.select(*columns).mapInArrow(deal, "bucket bigint, block bigint, keys binary, twice binary")
+    dealt = blocks.select(*columns).mapInArrow(deal, "bucket bigint, block bigint, keys binary, checks binary, twice binary")
     ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "block")
     return stage(ordered.mapInArrow(_answer, "block bigint, bucket bigint, bits binary"), "suffix-ties")
 
@@ -234,45 +271,63 @@ def _gathered(ties: DataFrame) -> DataFrame:
     return ties.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
 
 
-def make_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Rows (block, doc_ids, sizes, blob, n_bytes): texts in blocks, compressed."""
+def scaled(docs: DataFrame) -> tuple[int, int]:
+    """(block bytes, bucket entries) by the size of the input as the plan knows it.
+
+    A block sends each bucket one row, so both grow with the square root of the input beyond
+    about 100 GB, up to what a Python worker sorts in some hundred MB.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    times = min(16.0, max(1.0, (size / 1e11) ** 0.5))
+    return int(BLOCK_BYTES * times) if times < 8 else 8 * BLOCK_BYTES, int(BUCKET * times)
+
+
+def make_blocks(docs: DataFrame, block_bytes: int, order: Column | None = None) -> DataFrame:
+    """Rows (block, doc_ids, sizes, blob, n_bytes, orders): texts in blocks, compressed; orders: each document's `order`."""
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([*T.StructType.fromDDL("block bigint").fields, T.StructField("doc_ids", T.ArrayType(kind)), *T.StructType.fromDDL("sizes array<bigint>, blob binary, n_bytes bigint").fields])
+    schema = T.StructType([*T.StructType.fromDDL("block bigint").fields, T.StructField("doc_ids", T.ArrayType(kind)), *T.StructType.fromDDL("sizes array<bigint>, blob binary, n_bytes bigint, orders array<bigint>").fields])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        block, ids, texts = TaskContext.get().partitionId() << 16, [], []
+        block, ids, texts, orders = TaskContext.get().partitionId() << 16, [], [], []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(texts))], pa.binary()), pa.array([size], pa.int64())], names=["block", "doc_ids", "sizes", "blob", "n_bytes"])
+            out = pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(texts))], pa.binary()), pa.array([size], pa.int64()), pa.array([orders], pa.list_(pa.int64()))], names=["block", "doc_ids", "sizes", "blob", "n_bytes", "orders"])
             return out
 
         for batch in slices(batches, limit=block_bytes):
             id_type = batch.column(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+            for doc_id, text, place in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 ids.append(doc_id)
+                orders.append(place)
                 texts.append(text)
                 size += len(text)
                 if size >= block_bytes or len(ids) >= 1 << 16:
                     yield flush()
-                    block, ids, texts, size = block + 1, [], [], 0
+                    block, ids, texts, orders, size = block + 1, [], [], [], 0
         if ids:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(build, schema)
+    place = F.lit(0) if order is None else order
+    return docs.select("doc_id", "text", place.cast("bigint").alias("order")).mapInArrow(build, schema)
+
 
+def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int | None = None, bucket: int | None = None) -> DataFrame:
+    """One row per document: doc_id, n_bytes, kept (the remaining bytes), spans (removed [start, end)).
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, bucket: int = BUCKET) -> DataFrame:
-    """One row per document: doc_id, n_bytes, kept (the remaining bytes), spans (removed [start, end))."""
+    block_bytes and bucket, by default from scaled(), change cost alone.
+    """
+    plan_bytes, plan_bucket = scaled(docs.select("doc_id", "text"))
+    block_bytes, bucket = block_bytes or plan_bytes, bucket or plan_bucket
     kind = docs.schema["doc_id"].dataType.simpleString()
     v, cover = difference_cover(length)
-    blocks = stage(make_blocks(docs, block_bytes), "suffix-blocks")
+    blocks = stage(make_blocks(docs, block_bytes).drop("orders"), "suffix-blocks")
     n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
 
-    def sample_keys(row: dict) -> np.ndarray:
+    def sample_keys(row: dict) -> Keys:
         b = Block(row["blob"], row["sizes"], length)
-        return window_keys(b.data, b.sample(), length - v + 1)
+        return window_keys(b.data, b.sample(), length - v + 1), None  # a false tie only leaves more to sort
 
     n1 = max(1, ceil(n_bytes * len(cover) / v / bucket))
     ranks = _sort_buckets(blocks, sample_keys, ["block", "sizes", "blob"], n1, 0, n1)
@@ -282,7 +337,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
             tied, count = [], []
             for row in batch.select(["sizes", "blob", "answers"]).to_pylist():
                 b = Block(row["blob"], row["sizes"], length)
-                flags = receive(window_keys(b.data, b.sample(), length - v + 1), n1, row["answers"] or [])
+                flags = receive(sample_keys(row), n1, row["answers"] or [])
                 tied.append(_bits(flags))
                 count.append(len(b.candidates(flags)))
             kept = batch.select(["block", "doc_ids", "sizes", "blob"])
@@ -290,20 +345,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
 
     joined = blocks.drop("n_bytes").join(_gathered(ranks).hint("shuffle_hash"), "block", "left")
     ranked = stage(joined.mapInArrow(keep_tied, f"block bigint, doc_ids array<{kind}>, sizes array<bigint>, blob binary, tied binary, n_candidates bigint"), "suffix-ranked")
-    for done in (blocks, ranks):
-        unstage(done)
+    unstage(blocks, ranks)
 
     def candidates_of(row: dict) -> tuple[Block, np.ndarray]:
         b = Block(row["blob"], row["sizes"], length)
         return b, b.candidates(_flags(row["tied"], len(b.sample())))
 
-    def suffix_keys(row: dict) -> np.ndarray:
-        b, at = candidates_of(row)
-        return window_keys(b.data, at, length)
+    def keys_at(b: Block, at: np.ndarray) -> Keys:
+        return window_keys(b.data, at, length), window_checks(b.data, at, length)
+
+    def suffix_keys(row: dict) -> Keys:
+        return keys_at(*candidates_of(row))
 
     total = ranked.agg(F.sum("n_candidates")).first()[0] or 0
     n2 = max(1, ceil(total / bucket))
-    passes = min(n2, max(1, ceil(8 * total / max(1, n_bytes))))
+    passes = min(n2, max(1, ceil(12 * total / max(1, n_bytes))))
     cuts = [n2 * k // passes for k in range(passes + 1)]
     ties = None
     for low, high in zip(cuts[:-1], cuts[1:], strict=True):
@@ -315,7 +371,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
             id_type = batch.column(batch.schema.get_field_index("doc_ids")).type.value_type
             for row in batch.to_pylist():
                 b, at = candidates_of(row)
-                again = at[receive(window_keys(b.data, at, length), n2, row["answers"] or [])]
+                again = at[receive(keys_at(b, at), n2, row["answers"] or [])]
                 step = np.zeros(len(b.data) + 1, np.int32)
                 np.add.at(step, again, 1)
                 np.add.at(step, again + length, -1)
