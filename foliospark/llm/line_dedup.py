@@ -1,10 +1,11 @@
 """Fuzzy line deduplication over the whole corpus: MinHash bands, exact Jaccard, union-find.
 
 A line is a stretch between newlines with a character other than ASCII white space, compared
-with A-Z lower-cased and that white space collapsed. Equal lines are one node: the first occurrence in block order.
-Nodes are similar at Jaccard >= `threshold` over character shingles (a line shorter than one
-shingle is its own only shingle). Signatures of bands * rows minima are banded; with the
-defaults a pair at 0.8 meets in some band with probability 0.997, at 0.85 with 0.9999.
+with A-Z lower-cased and that white space collapsed. Equal lines are one node: the first in
+the documents' order, whatever files and partitions they are read from. Nodes are similar at
+Jaccard >= `threshold` over character shingles (a line shorter than one shingle is its own only
+shingle). Signatures of bands * rows minima are banded; with the defaults a pair at 0.8 meets
+in some band with probability 0.997, at 0.85 with 0.9999.
 
 Every pair that meets in a band is compared, by the band's size. One of up to SMALL nodes
 yields its pairs. A larger band is one group of nodes with their texts: each node not yet
@@ -13,32 +14,40 @@ one must, so a crowd of near copies costs one comparison each and a crowd that o
 passage few. Bands over LARGE nodes or CHARS characters are cut into blocks, each compared
 within and with one node of the first; where that leaves a band in several components, every
 two of its blocks are compared. So no band is gathered whole and no candidate is left out.
-One line of each component stays: the least. Everything else of the text stays as it is,
+One line of each component stays: the first. Everything else of the text stays as it is,
 blank lines included.
 
+Texts travel in blocks. Digests and band keys are dealt as packed arrays to buckets of their
+range, which numpy sorts; a bucket holds a bounded number of entries, as a digest's later
+copies are dropped and a crowded key's members passed on while it is filled.
+
 Null and empty texts have no lines. A text whose lines are all removed keeps its blank lines.
+Repeated rows lose their lines to the first of them. A text of over 2**26 lines is refused.
+Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, documents, stage, unstage
-from .repeats import make_blocks
+from .common import connected_components, documents, slices, stage, unstage
+from .repeats import bucket_of, make_blocks
 
 SHINGLE, BANDS, ROWS, THRESHOLD, SMALL, LARGE = 5, 20, 6, 0.8, 16, 4096
 CHARS = 2 << 20  # of a block; a longer line is one by itself
+CACHED = 1 << 15  # characters whose shingles are numbered at a time
 BLOCK_BYTES = 2 << 20
+PACK, HELD = 1 << 21, 1 << 22  # entries that a task sends on, and holds of one bucket, at a time
+BUCKET_BYTES, BUCKET_KEYS = 16 << 20, 1 << 18  # of text and of band keys that a bucket is for
 _INDEX_BITS = 26  # of a line id; the block is above
 _MIX = np.random.default_rng(11).integers(0, 2**31, 64, np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -66,9 +75,10 @@ def block_texts(blob: bytes, sizes: list[int], lower: bool = False) -> Iterator[
         at += n
 
 
-def block_lines(blob: bytes, sizes: list[int]) -> list[str]:
-    """The normalised lines of a block in order; a line's index here is its place in its id."""
-    return [x for t in block_texts(blob, sizes, True) for line in t.split("\n") if (x := _collapsed(line))]
+def block_lines(blob: bytes, sizes: list[int]) -> tuple[list[str], list[int]]:
+    """The normalised lines of a block in order, a line's index being its place in its id, and each text's number of them."""
+    of_texts = [[x for line in t.split("\n") if (x := _collapsed(line))] for t in block_texts(blob, sizes, True)]
+    return [x for own in of_texts for x in own], list(map(len, of_texts))
 
 
 def shingle_codes(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -126,86 +136,224 @@ def jaccard(a: str, b: str, size: int = SHINGLE) -> float:
     return similarity(shingle_set(a, size), shingle_set(b, size))
 
 
-def _with_lines(blocks: DataFrame, ids: DataFrame) -> DataFrame:
-    """blocks left-joined with chosen: the sorted indexes of the line ids (column id) that fall in each."""
-    chosen = ids.groupBy(F.shiftright("id", _INDEX_BITS).alias("block")).agg(F.sort_array(F.collect_list(F.col("id").bitwiseAND(F.lit((1 << _INDEX_BITS) - 1)))).alias("chosen"))
-    return blocks.join(chosen.hint("shuffle_hash"), "block", "left")
+def _with_lines(blocks: DataFrame, **sets: DataFrame) -> DataFrame:
+    """blocks left-joined with the lists of packed line numbers (block, part) that each set has in them."""
+    for name, packed in sets.items():
+        blocks = blocks.join(packed.groupBy("block").agg(F.collect_list("part").alias(name)).hint("shuffle_hash"), "block", "left")
+    return blocks
 
 
-def _band_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id) sorted by key: all pairs (a, b, null) of small bands, members (null, id, key) of large ones."""
+def _numbers(parts: list[bytes] | None) -> np.ndarray:
+    """Sorted line numbers of a block from their packed lists."""
+    return np.sort(np.concatenate([np.frombuffer(p, np.int32) for p in parts])).astype(np.int64) if parts else np.zeros(0, np.int64)
 
-    def rows(a, b, key) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (a, b, key)], names=["a", "b", "key"])
 
-    def none(n: int) -> pa.Array:
-        return pa.nulls(n, pa.int64())
+def _by_block(ids: np.ndarray) -> pa.RecordBatch:
+    """Line ids as rows (block, part)."""
+    ids = np.sort(ids)
+    block = ids >> _INDEX_BITS
+    cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(ids) else np.zeros(1, np.int64)
+    at = (ids & ((1 << _INDEX_BITS) - 1)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array([at[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["block", "part"])
 
-    key, node, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-    ended = False
-    source = iter(batches)
-    while not ended:
-        batch = next(source, None)
-        if batch is None:
-            ended = True
-        else:
-            key, node = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([node, batch.column(1).to_numpy()])
-        if large is not None:
-            same = key == large
-            if same.any():
-                yield rows(none(int(same.sum())), node[same], key[same])
-            key, node = key[~same], node[~same]
-        if not len(key):
-            continue
-        edge = np.concatenate([[True], key[1:] != key[:-1]])
-        group = np.cumsum(edge) - 1
-        big = (np.bincount(group) > SMALL)[group]
-        if big.any():
-            yield rows(none(int(big.sum())), node[big], key[big])
-        last = (group == group[-1]) & (not ended)
-        large = key[-1] if big[-1] and not ended else None
-        whole = ~big & ~last
-        g, n = group[whole], node[whole]
-        for s in range(1, SMALL):
-            pair = g[s:] == g[:-s] if len(g) > s else np.zeros(0, bool)
-            if pair.any():
-                x, y = n[:-s][pair], n[s:][pair]
-                yield rows(np.minimum(x, y), np.maximum(x, y), none(len(x)))
-        key, node = key[~big & last], node[~big & last]
+
+def packed_ids(ids: DataFrame) -> DataFrame:
+    """ids(id) as rows (block, part), the ids of a batch and block together."""
+    return ids.mapInArrow(lambda batches: (_by_block(b.column(0).to_numpy()) for b in batches), "block bigint, part binary")
+
+
+def deal(parts: Iterator[tuple[np.ndarray, ...]], n: int) -> Iterator[pa.RecordBatch]:
+    """Arrays of equal length as rows (bucket, each array's bytes), PACK entries at a time; the first's upper bits choose one of n buckets."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        bucket = bucket_of(columns[0], n)
+        order = np.argsort(bucket, kind="stable")
+        bucket, columns = bucket[order], [c[order] for c in columns]
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), *(pa.array([c[x:y].tobytes() for x, y in spans], pa.binary()) for c in columns)], names=["bucket", *(f"c{k}" for k in range(len(columns)))])
+
+    for part in parts:
+        if len(part[0]):
+            held.append(part)
+            size += len(part[0])
+            if size >= PACK:
+                yield flush()
+                held, size = [], 0
+    if held:
+        yield flush()
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], kinds: tuple) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(bucket, arrays) of every row of deal()."""
+    for batch in batches:
+        for bucket, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield bucket, [np.frombuffer(c, k) for c, k in zip(columns, kinds, strict=True)]
+
+
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of deal((high, low, order, id)) sorted by bucket to the packed ids of each digest's least (order, id)."""
+
+    def least(rows: list[list[np.ndarray]]) -> list[np.ndarray]:
+        high, low, order, ids = (np.concatenate(c) for c in zip(*rows, strict=True))
+        at = np.lexsort((ids, order, low, high))
+        high, low = high[at], low[at]
+        first = at[np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])]
+        return [np.concatenate(c)[first] for c in zip(*rows, strict=True)]
+
+    now, rows, size = None, [], 0
+    for bucket, row in _dealt(batches, (np.uint64, np.uint64, np.int64, np.int64)):
+        if bucket != now:
+            if rows:
+                yield _by_block(least(rows)[3])
+            now, rows, size = bucket, [], 0
+        rows.append(row)
+        size += len(row[0])
+        if size > HELD:  # a bucket is no larger than its distinct lines
+            rows = [least(rows)]
+            size = 0
+    if rows:
+        yield _by_block(least(rows)[3])
+
+
+def _pairs_of(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """All pairs (a, b, null) of keys of up to SMALL nodes, members (null, id, key) of larger ones; entries in any order."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    edge = np.concatenate([[True], key[1:] != key[:-1]])
+    group = np.cumsum(edge) - 1
+    sizes = np.bincount(group)
+    big = (sizes > SMALL)[group]
+    if big.any():
+        yield _met(pa.nulls(int(big.sum()), pa.int64()), node[big], key[big].view(np.int64))
+    some = ~big & (sizes > 1)[group]
+    group, node = group[some], node[some]
+    for s in range(1, SMALL):
+        pair = group[s:] == group[:-s] if len(group) > s else np.zeros(0, bool)
+        if not pair.any():
+            return
+        yield _met(node[:-s][pair], node[s:][pair], pa.nulls(int(pair.sum()), pa.int64()))
+
+
+def _met(a, b, key) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (a, b, key)], names=["a", "b", "key"])
+
+
+def _band_pairs(batches: Iterator[pa.RecordBatch], held: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of deal((key, id)) sorted by bucket to _pairs_of; a key over SMALL that fills memory passes on at once."""
+    held = held or HELD
+    now, keys, nodes, large, size = None, [], [], np.zeros(0, np.uint64), 0
+    for bucket, (key, node) in _dealt(batches, (np.uint64, np.int64)):
+        if bucket != now:
+            if keys:
+                yield from _pairs_of(np.concatenate(keys), np.concatenate(nodes))
+            now, keys, nodes, large, size = bucket, [], [], np.zeros(0, np.uint64), 0
+        if len(large):
+            known = np.isin(key, large)
+            if known.any():
+                yield _met(pa.nulls(int(known.sum()), pa.int64()), node[known], key[known].view(np.int64))
+                key, node = key[~known], node[~known]
+        keys.append(key)
+        nodes.append(node)
+        size += len(key)
+        if size > held:
+            key, node = np.concatenate(keys), np.concatenate(nodes)
+            values, group, count = np.unique(key, return_inverse=True, return_counts=True)
+            crowd = (count > SMALL)[group]
+            if crowd.any():
+                yield _met(pa.nulls(int(crowd.sum()), pa.int64()), node[crowd], key[crowd].view(np.int64))
+                large = np.concatenate([large, values[count > SMALL]])
+            keys, nodes, size = [key[~crowd]], [node[~crowd]], 0
+    if keys:
+        yield from _pairs_of(np.concatenate(keys), np.concatenate(nodes))
+
+
+def shingle_arrays(lines: list[str], size: int = SHINGLE, alphabet: np.ndarray | None = None) -> list[np.ndarray]:
+    """Each line's distinct shingles as sorted numbers; equal ones alone share a number. Some lines at a time, to stay in cache."""
+    alphabet = _alphabet("".join(lines)) if alphabet is None else alphabet
+    out: list[np.ndarray] = []
+    part: list[str] = []
+    held = 0
+    if size * int(len(alphabet) + 1).bit_length() > 62:  # numbers do not fit: by rank among all lines
+        numbers, starts = shingle_numbers(lines, size, dense=False)
+        return [numbers[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+    for k, line in enumerate(lines):
+        part.append(line)
+        held += len(line)
+        if held >= CACHED or k + 1 == len(lines):
+            numbers, starts = shingle_numbers(part, size, dense=False, alphabet=alphabet)
+            out += [numbers[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            part, held = [], 0
+    return out
+
+
+def _alphabet(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    seen = np.zeros(int(codes.max()) + 1 if len(codes) else 1, bool)
+    seen[codes] = True
+    return np.flatnonzero(seen)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
     """pairs(a, b) with their exact Jaccard similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = lru_cache(maxsize=4096)(lambda line: shingle_set(line, shingle))
-        for batch in batches:
-            s = [similarity(sets(x), sets(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+        for batch in slices(slices(batches, "line_a", CHARS), "line_b", CHARS):
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            place = {line: k for k, line in enumerate(dict.fromkeys([*left, *right]))}
+            sets = shingle_arrays(list(place), shingle)
+            found = []
+            for x, y in zip(left, right, strict=True):
+                a, b = sets[place[x]], sets[place[y]]
+                if len(a) > len(b):
+                    a, b = b, a
+                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                both = int(np.count_nonzero(b[at] == a))
+                found.append(both / (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
     left, right = lines.select(F.col("id").alias("a"), F.col("line").alias("line_a")), lines.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b")
     return stage(both.mapInArrow(compare, "a bigint, b bigint, similarity double"), "line-verified")
 
 
-def shingle_numbers(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Each line's distinct shingles, numbered so that equal ones alone share a number, and where the lines' start and end."""
-    alphabet, chars = np.unique(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+def shingle_numbers(lines: list[str], size: int = SHINGLE, dense: bool = True, alphabet: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's distinct shingles, sorted and numbered so that equal ones alone share a number, and where the lines' start and end.
+
+    dense: the numbers run from 0 without a gap. alphabet: all code points, where numbers of several calls meet.
+    """
+    text = "".join(lines)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    alphabet = _alphabet(text) if alphabet is None else alphabet
+    rank = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 1, np.int64)
+    rank[alphabet] = np.arange(len(alphabet))
+    chars = rank[codes]
     base, lengths = len(alphabet) + 1, np.fromiter(map(len, lines), np.int64, len(lines))
     ends = np.cumsum(lengths)
     count = np.maximum(lengths - size + 1, 1)
     line = np.repeat(np.arange(len(lines)), count)
     at = (ends - lengths - np.cumsum(count) + count)[line] + np.arange(len(line))
-    full = np.concatenate([chars.astype(np.int64) + 1, np.zeros(size, np.int64)])
+    full = np.concatenate([chars + 1, np.zeros(size, np.int64)])
     numbers, top = np.zeros(len(line), np.int64), 1
     for k in range(size):  # characters past the line's end count as none
         if top > 2**62 // base:
             kinds, numbers = np.unique(numbers, return_inverse=True)
             top = len(kinds)
         numbers, top = numbers * base + np.where(at + k < ends[line], full[at + k], 0), top * base
-    kinds, numbers = np.unique(numbers, return_inverse=True)
-    line, numbers = np.divmod(np.unique(line * len(kinds) + numbers), max(len(kinds), 1))
-    return numbers, np.searchsorted(line, np.arange(len(lines) + 1))
+    if dense:
+        kinds, numbers = np.unique(numbers, return_inverse=True)
+        top = max(len(kinds), 1)
+    if top > 2**62 // max(len(lines), 1):  # lines by themselves
+        first = np.cumsum(count) - count
+        parts = [np.unique(numbers[x : x + n]) for x, n in zip(first.tolist(), count.tolist(), strict=True)]
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+    both = np.sort(line * top + numbers)
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    starts = np.searchsorted(both, np.arange(len(lines) + 1) * top)
+    return both - np.repeat(np.arange(len(lines)) * top, np.diff(starts)), starts
 
 
 def _crowd(ids: list[int], lines: list[str], threshold: float, shingle: int) -> Iterator[tuple[int, int]]:
@@ -217,27 +365,46 @@ def _crowd(ids: list[int], lines: list[str], threshold: float, shingle: int) ->
     sizes, count = np.diff(starts), np.bincount(numbers)
     owners, first = np.repeat(np.arange(len(lines)), sizes)[np.argsort(numbers, kind="stable")], np.cumsum(count) - count
     left, mine = np.ones(len(lines), bool), np.zeros(len(count), np.int64)
-    n_left, seed, queue = len(lines), 0, []
-    while n_left:
-        if not queue:
-            seed += int(np.argmax(left[seed:]))
-            queue, left[seed], n_left = [seed], False, n_left - 1
-        k = queue.pop()
+
+    def similar(k: int, among: np.ndarray) -> np.ndarray:
+        """The nodes of the mask that are similar to node k."""
         own = numbers[starts[k] : starts[k + 1]]
         rare = own[np.argsort(count[own])[: int((1 - threshold) * len(own) + 1e-9) + 1]]
-        near = np.zeros(len(lines), bool)
-        for s in rare.tolist():
-            near[owners[first[s] : first[s] + count[s]]] = True
-        near = np.flatnonzero(near & left)
+        n = count[rare]
+        if int(n.sum()) < len(lines):
+            near = np.unique(owners[np.repeat(first[rare] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
+        else:
+            mask = np.zeros(len(lines), bool)
+            for s in rare.tolist():
+                mask[owners[first[s] : first[s] + count[s]]] = True
+            near = np.flatnonzero(mask)
+        near = near[among[near]]
         if not len(near):
-            continue
+            return near
         n = sizes[near]
         begin = np.cumsum(n) - n
         mine[own] = 1
         both = np.add.reduceat(mine[numbers[np.repeat(starts[near] - begin, n) + np.arange(int(n.sum()))]], begin)
         mine[own] = 0
-        hit = near[both / (len(own) + n - both) >= threshold]
-        left[hit], n_left = False, n_left - len(hit)
+        return near[both / (len(own) + n - both) >= threshold]
+
+    n_left, seed, queue, tree = len(lines), 0, [], np.arange(len(lines))
+    while n_left:
+        if n_left < len(queue):  # asking the nodes not yet reached costs less than asking those to ask
+            every = np.ones(len(lines), bool)
+            for k in np.flatnonzero(left).tolist():
+                hit = similar(k, every)
+                others, which = np.unique(tree[hit], return_index=True)
+                for i in hit[which[others != tree[k]]].tolist():  # one link to each other tree
+                    yield ids[k], ids[i]
+                tree[np.isin(tree, others)] = tree[k]
+            return
+        if not queue:
+            seed += int(np.argmax(left[seed:]))
+            queue, left[seed], n_left = [seed], False, n_left - 1
+        k = queue.pop()
+        hit = similar(k, left)
+        left[hit], n_left, tree[hit] = False, n_left - len(hit), tree[k]
         for i in hit.tolist():
             yield ids[k], ids[i]
             queue.append(i)
@@ -319,42 +486,58 @@ def _large_band_links(members: DataFrame, lines: DataFrame, bands: int, threshol
     return links.union(across.select("a", "b"))
 
 
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, order: Column | None = None) -> DataFrame:
     """One row per document: doc_id, text (the lines that stay), n_lines, n_removed.
 
-    doc_id may be of any type, such as a struct of all other columns.
+    doc_id may be of any type, such as a struct of all other columns. Of a component the line
+    stays that comes first by `order`, a number (an integral doc_id itself by default, null
+    last), then in its text; only lines of equal order are taken as they are read.
     """
+    key_type = docs.schema["doc_id"].dataType
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("text string, n_lines bigint, n_removed bigint").fields])
-    blocks = stage(make_blocks(docs, BLOCK_BYTES).drop("n_bytes"), "line-blocks")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if order is None:
+        order = F.col("doc_id") if isinstance(key_type, T.IntegralType) else F.lit(0)
+    blocks = stage(make_blocks(docs, BLOCK_BYTES, F.coalesce(order.cast("bigint"), F.lit(2**63 - 1))), "line-blocks")
+    light = blocks.select("block", "sizes", "blob", "orders")
+    n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    n = max(1, n_bytes // BUCKET_BYTES)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             for row in batch.to_pylist():
-                first: dict[str, int] = {}
-                for k, line in enumerate(block_lines(row["blob"], row["sizes"])):
-                    first.setdefault(line, k)
-                ids = np.fromiter(first.values(), np.int64, len(first)) + (row["block"] << _INDEX_BITS)
-                digests = [xxhash.xxh3_128_digest(x.encode("utf-8", "replace")) for x in first]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids)], names=["digest", "id"])
-
-    seen = blocks.select("block", "sizes", "blob").mapInArrow(exact, "digest binary, id bigint")
-    owners = stage(seen.groupBy("digest").agg(F.min("id").alias("id")).select("id"), "line-owners")
-
-    def chosen_lines(row: dict) -> tuple[np.ndarray, list[str]]:
-        lines = block_lines(row["blob"], row["sizes"])
-        return np.array(row["chosen"], np.int64) + (row["block"] << _INDEX_BITS), [lines[k] for k in row["chosen"]]
-
-    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                first: dict[str, tuple[int, int]] = {}
+                k = 0
+                for place, text in zip(row["orders"], block_texts(row["blob"], row["sizes"], True), strict=True):
+                    for line in text.split("\n"):
+                        if x := _collapsed(line):
+                            if x not in first or place < first[x][0]:
+                                first[x] = place, k
+                            k += 1
+                if k >= 1 << _INDEX_BITS:
+                    raise ValueError(f"a text has over {1 << _INDEX_BITS} lines")
+                both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "replace")) for x in first), np.uint64).reshape(-1, 2)
+                where = np.array(list(first.values()), np.int64).reshape(-1, 2)
+                yield both[:, 0], both[:, 1], where[:, 0], where[:, 1] + (row["block"] << _INDEX_BITS)
+
+    seen = light.mapInArrow(lambda batches: deal(digests(batches), n), "bucket bigint, c0 binary, c1 binary, c2 binary, c3 binary")
+    owned = stage(seen.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_first_of_each, "block bigint, part binary"), "line-owners")
+
+    def chosen_lines(row: dict, name: str) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """The chosen lines' ids, themselves and their documents' order."""
+        (lines, counts), at = block_lines(row["blob"], row["sizes"]), _numbers(row[name])
+        return at + (row["block"] << _INDEX_BITS), [lines[k] for k in at.tolist()], np.repeat(np.array(row["orders"], np.int64), counts)[at]
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             for row in batch.to_pylist():
-                if row["chosen"]:
-                    ids, lines = chosen_lines(row)
-                    keys = signatures(lines, bands, rows, shingle)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, bands))], names=["key", "id"])
-
-    light = blocks.select("block", "sizes", "blob")
-    banded = _with_lines(light, owners).mapInArrow(band, "key bigint, id bigint")
-    met = stage(banded.repartition("key").sortWithinPartitions("key").mapInArrow(_band_pairs, "a bigint, b bigint, key bigint"), "line-bands")
+                if row["owned"]:
+                    ids, lines, _ = chosen_lines(row, "owned")
+                    yield signatures(lines, bands, rows, shingle).reshape(-1), np.repeat(ids, bands)
+
+    n_owned = owned.agg(F.sum(F.octet_length("part"))).first()[0] or 0
+    n_keys = max(1, n_owned // 4 * bands // BUCKET_KEYS)
+    banded = _with_lines(light, owned=owned).mapInArrow(lambda batches: deal(keys(batches), n_keys), "bucket bigint, c0 binary, c1 binary")
+    met = stage(banded.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _band_pairs(batches), "a bigint, b bigint, key bigint"), "line-bands")
     pairs = stage(met.where("key is null").select("a", "b").distinct(), "line-pairs")
     large = met.where("key is not null").select("key", F.col("b").alias("id"))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct()
@@ -362,22 +545,24 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                if row["chosen"]:
-                    ids, lines = chosen_lines(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lines, pa.string())], names=["id", "line"])
+                if row["wanted"]:
+                    ids, lines, place = chosen_lines(row, "wanted")
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(place), pa.array(lines, pa.string())], names=["id", "place", "line"])
 
-    lines = stage(_with_lines(light, wanted).mapInArrow(fetch, "id bigint, line string"), "line-texts")
-    links = _verified(pairs, lines, shingle).where(F.col("similarity") >= threshold).select("a", "b")
+    lines = stage(_with_lines(light, wanted=packed_ids(wanted)).mapInArrow(fetch, "id bigint, place bigint, line string"), "line-texts")
+    verified = _verified(pairs, lines, shingle)
+    links = verified.where(F.col("similarity") >= threshold).select("a", "b")
     components = connected_components(links.union(_large_band_links(large, lines, bands, threshold, shingle)))
-    stays = owners.join(components.where("node <> root").select(F.col("node").alias("id")), "id", "left_anti")
-    for done in (met, pairs, lines):
-        unstage(done)
+    placed = components.join(lines.select(F.col("id").alias("node"), "place"), "node")
+    first = placed.groupBy("root").agg(F.min(F.struct("place", "node"))["node"].alias("first"))
+    gone = stage(packed_ids(components.join(first, "root").where("node <> first").select(F.col("node").alias("id"))), "line-gone")
+    unstage(met, pairs, lines, verified)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             id_type = batch.column(batch.schema.get_field_index("doc_ids")).type.value_type
             for row in batch.to_pylist():
-                keep, k = set(row["chosen"] or ()), 0
+                keep, k = set(np.setdiff1d(_numbers(row["owned"]), _numbers(row["gone"])).tolist()), 0
                 texts, counts, removed = [], [], []
                 for text in block_texts(row["blob"], row["sizes"]):
                     out, n, gone = [], 0, 0
@@ -396,7 +581,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
                     removed.append(gone)
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], id_type), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=["doc_id", "text", "n_lines", "n_removed"])
 
-    return _with_lines(blocks, stays).mapInArrow(finish, schema)
+    return _with_lines(blocks.drop("n_bytes", "orders"), owned=owned, gone=gone).mapInArrow(finish, schema)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

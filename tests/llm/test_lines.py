@@ -1,13 +1,16 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.llm import line_dedup
 from foliospark.llm.line_dedup import dedup_lines, jaccard, normal, shingle_codes
 
 
 def brute(rows, threshold):
-    """Kept texts when blocks hold the rows in this order."""
+    """Kept texts when the first of equal or similar lines stays, by doc_id, then as the rows stand."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0]) if r[0] is not None else (True, 0))
     nodes = {}
     for _, t in rows:
         for line in (t or "").split("\n"):
@@ -49,6 +52,72 @@ def test_matches_brute_force(spark, rows):
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got), key=repr) == brute(rows, 0.8)
 
 
+def test_order_does_not_depend_on_the_partitions(spark, rows):
+    """The first by doc_id stays, however the rows are dealt (repeated rows aside, which are alike)."""
+    unlike = [r for k, r in enumerate(rows) if r[0] is not None and r not in rows[:k]]
+    docs = spark.createDataFrame(unlike[::-1], "doc_id long, text string").repartition(5)
+    got = dedup_lines(docs).collect()
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got), key=repr) == brute(unlike, 0.8)
+    keyed = docs.select(F.struct(F.lit("x").alias("c"), "doc_id").alias("doc_id"), "text")
+    again = dedup_lines(keyed, order=F.col("doc_id.doc_id")).collect()
+    assert sorted(((r.doc_id.doc_id, r.text, r.n_lines, r.n_removed) for r in again), key=repr) == brute(unlike, 0.8)
+
+
+def band_rows(key, node, pieces, n=1):
+    parts = zip(np.array_split(np.array(key, np.uint64), pieces), np.array_split(np.array(node, np.int64), pieces), strict=True)
+    return (batch for p in parts for batch in line_dedup.deal(iter([p]), n))
+
+
+@pytest.mark.parametrize("held", [None, 1, 50])
+def test_bands_pass_crowds_on_and_pair_the_rest(held):
+    """A band of 200 nodes over twenty rows passes on whole, also where a bucket holds few entries."""
+    rng = random.Random(3)
+    entries = [(7, i) for i in range(200)] + [(100 + k, 1000 + 10 * k + j) for k in range(60) for j in range(k % 5)]
+    rng.shuffle(entries)
+    out = [r for b in line_dedup._band_pairs(band_rows(*zip(*entries, strict=True), 20), held) for r in b.to_pylist()]
+    members = [(r["key"], r["b"]) for r in out if r["key"] is not None]
+    assert sorted(members) == [(7, i) for i in range(200)]
+    want = {(1000 + 10 * k + i, 1000 + 10 * k + j) for k in range(60) for j in range(k % 5) for i in range(j)}
+    assert sorted((r["a"], r["b"]) for r in out if r["key"] is None) == sorted(want)
+
+
+def test_crowds_give_a_forest():
+    """A crowd of near copies beside unlike lines: as few links as connect them, whoever asks."""
+    rng = random.Random(14)
+    base = "".join(rng.choice("abcdefghij klmnop") for _ in range(300))
+    lines = [base[:k] + "#" + base[k + 1 :] for k in range(0, 200, 4)] + ["".join(rng.choice("qrstuvw") for _ in range(90)) for _ in range(20)]
+    lines += [x + "!" for x in lines[-3:]]
+    rng.shuffle(lines)
+    links = list(line_dedup._crowd(list(range(len(lines))), lines, 0.8, 5))
+    assert len(links) == 49 + 3 and all(jaccard(lines[a], lines[b]) >= 0.8 for a, b in links)
+
+
+def test_first_of_each_digest_holds_little(monkeypatch):
+    monkeypatch.setattr(line_dedup, "HELD", 3)
+    rng = random.Random(4)
+    rows = [(rng.randrange(40), 0, rng.randrange(5), k) for k in range(300)]
+    parts = (tuple(np.array(c, t) for c, t in zip(zip(*rows[k : k + 30], strict=True), (np.uint64, np.uint64, np.int64, np.int64), strict=True)) for k in range(0, 300, 30))
+    dealt = (batch for p in parts for batch in line_dedup.deal(iter([p]), 1))
+    found = [r for b in line_dedup._first_of_each(dealt) for r in b.to_pylist()]
+    got = sorted(k for r in found for k in np.frombuffer(r["part"], np.int32).tolist())
+    assert got == sorted(min((o, i) for h, _, o, i in rows if h == d)[1] for d in {r[0] for r in rows})
+
+
+def test_recall_at_the_threshold(spark):
+    """Isolated pairs at 0.80 to 0.82, where bands find 0.997 of them."""
+    rng = random.Random(21)
+    rows = []
+    while len(rows) < 600:
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(140)]
+        other = base.copy()
+        for at in rng.sample(range(4, 136), 3):
+            other[at] = "#"
+        if 0.8 <= jaccard("".join(base), "".join(other)) <= 0.82:
+            rows += [(len(rows), "".join(base)), (len(rows) + 1, "".join(other))]
+    removed = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed = 1").count()
+    assert removed >= 0.98 * 300
+
+
 def test_large_bands_lose_no_link(spark):
     """A crowd of near copies, more than a band compares in pairs."""
     rng = random.Random(6)
@@ -172,8 +241,6 @@ def test_shingles_stay_within_their_line():
 
 
 def test_key_of_any_type_and_empty_tables(spark, docs, no_docs):
-    from pyspark.sql import functions as F
-
     keyed = docs.select(F.struct("doc_id", "lang").alias("doc_id"), "text")
     assert dedup_lines(keyed).select("doc_id.lang").count() == docs.count()
     assert dedup_lines(no_docs).collect() == []
