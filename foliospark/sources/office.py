@@ -316,6 +316,10 @@ def _facets(kind: str, content: bytes, reads: Callable | None, sniffers: list) -
         if kind == "xlsx":
             from .workbook import facets
 
+            yield from list(facets(content))
+        elif kind == "docx":
+            from .worddoc import facets
+
             yield from list(facets(content))
         elif kind == "xls":
             from .legacy import xls_facets
@@ -334,7 +338,7 @@ def parse(files: DataFrame, kind: str) -> DataFrame:
 
     kind: docx, xlsx, pptx, doc, xls, ppt, pdf, or one that register_reader added.
     """
-    reads, sniffers = None if kind in ("xlsx", "xls") else _reader(kind), list(_SNIFFERS)
+    reads, sniffers = None if kind in ("xlsx", "xls", "docx") else _reader(kind), list(_SNIFFERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -352,6 +356,10 @@ def facet(parsed: DataFrame, kind: str, name: str) -> DataFrame:
     if kind in ("xlsx", "xls"):
         from .workbook import FACETS
 
+        schemas = FACETS
+    elif kind == "docx":
+        from .worddoc import FACETS
+
         schemas = FACETS
     found = parsed.where(F.col("facet") == name).select("path", F.from_json("row", schemas[name]).alias("r"))
     return found.select("path", "r.*")

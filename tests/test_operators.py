@@ -166,3 +166,32 @@ def test_layout(spark):
     links = spark.createDataFrame([(1, 0, 0.0, -1.0, 30.0, 5.0, "http://x")], "doc_id long, page int, x0 double, y0 double, x1 double, y1 double, href string")
     assert {r.run_idx: r.href for r in layout.links_over_runs(runs, links).collect()}[0] == "http://x"
     assert layout.greedy_breaks([3, 3, 3], 7, 1) == [0, 2] and layout.best_breaks([3, 2, 2, 5], 6, 1) == [0, 1, 3]
+
+
+def test_tables_of_tab_stops(spark):
+    rows = [(1, 0, 0, 10.0, [50.0, 100.0]), (1, 0, 1, 10.0, [55.0, 95.0]), (1, 0, 2, 10.0, [59.0, 109.0]), (1, 0, 3, 10.0, [62.0, 100.0]), (1, 0, 4, 10.0, []), (1, 0, 5, 10.0, [40.0]), (1, 0, 6, 10.0, [40.0])]
+    lines = spark.createDataFrame(rows, "doc_id long, page int, line int, font_size double, stops array<double>")
+    assert [r.table for r in layout.tabbed_rows(lines).orderBy("line").collect()] == [0, 0, 0, None, None, None, None]
+
+
+def test_pages_are_filled_greedily(spark):
+    rows = [(0, k, h, cut) for k, (h, cut) in enumerate([(40.0, False), (40.0, False), (30.0, False), (10.0, True), (500.0, False), (5.0, False)])]
+    sheet = spark.createDataFrame(rows, "sheet int, row int, height double, break_before boolean")
+    pages = lambda **k: [r.page for r in layout.page_numbers(sheet, 100.0, **k).orderBy("row").collect()]
+    assert pages() == [0, 0, 1, 2, 3, 4] and pages(scale=0.5) == [0, 0, 0, 1, 2, 3] and pages(repeat=70.0) == [0, 0, 1, 2, 3, 4]
+    assert layout.page_numbers(sheet.limit(0), 100.0).collect() == []
+
+
+def test_notes_lists_and_spans(spark):
+    notes = spark.createDataFrame([(1, "a", " x\n y* "), (1, "b", "z")], "doc_id long, note_ref string, text string")
+    numbers = spark.createDataFrame([(1, "a", 2)], "doc_id long, note_ref string, number int")
+    assert [r.line for r in document.note_definitions(notes, numbers).collect()] == ["[^fn2]: x y\\*"]
+    blocks = spark.createDataFrame([(1, 1, 0, "1.", "one"), (1, 2, 2, "-", "deep"), (1, 3, 1, "a)", "mid"), (1, 4, 2, "-", "under mid"), (1, 5, None, None, "break"), (1, 6, 0, "7.", "seven")], "d int, seq int, level int, marker string, text string")
+    items = document.list_items(blocks, ["d"], "seq")
+    assert [(r.nesting, r.number) for r in items.orderBy("seq").collect()] == [(0, 1), (1, None), (1, 1), (2, None), (0, 7)]
+    assert document.markdown_items(items, ["d"], "seq").first().markdown == "1. one\n  - deep\n  1. mid\n    - under mid\n7. seven"
+    cells = spark.createDataFrame([(0, 0, "restart"), (1, 0, "continue"), (2, 0, "continue"), (3, 0, None), (4, 0, "restart"), (6, 0, "continue"), (0, 1, None)], "row int, col int, vmerge string").withColumn("t", F.lit(1))
+    assert {(r.row, r.col): r.row_span for r in document.row_spans(cells, ["t"]).collect()} == {(0, 0): 3, (1, 0): 1, (2, 0): 1, (3, 0): 1, (4, 0): 1, (6, 0): 1, (0, 1): 1}
+    assert one(spark, document.slug(F.lit("  Ünï & Co. 2! "))) == "ünï-co-2" and one(spark, document.slug(F.lit("!!"))) == "bookmark"
+    spark_row = spark.range(1).select(grid.spark_extent(F.array(F.lit(2.0), F.lit(None), F.lit(2.0))).alias("a"), grid.spark_extent(F.array(F.lit(None).cast("double"))).alias("b")).first()
+    assert (spark_row.a.low, spark_row.a.span, spark_row.b.span) == (2.0, 1.0, None)

@@ -116,6 +116,41 @@ def test_docx():
     assert [b["text"].replace("\t", "") for b in again] == ["Head", "anewlink", "cell"]
 
 
+WORD = {
+    "word/document.xml": '<w:document xmlns:w="u" xmlns:r="v"><w:body><w:p><w:bookmarkStart w:name="here"/><w:r><w:rPr><w:b/><w:sz w:val="28"/><w:color w:val="ff0000"/><w:rStyle w:val="Strong"/></w:rPr><w:t>bold</w:t></w:r><w:commentRangeStart w:id="4"/><w:hyperlink r:id="r1"><w:r><w:t>out</w:t></w:r></w:hyperlink><w:commentRangeEnd w:id="4"/><w:hyperlink w:anchor="here"><w:r><w:t>in</w:t></w:r></w:hyperlink><w:ins><w:r><w:t>new</w:t></w:r></w:ins><w:r><w:footnoteReference w:id="2"/></w:r></w:p><w:tbl><w:tr><w:trPr><w:tblHeader/></w:trPr><w:tc><w:tcPr><w:gridSpan w:val="2"/><w:vMerge w:val="restart"/></w:tcPr><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr><w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/><w:vMerge/></w:tcPr><w:p/></w:tc><w:tc><w:p><w:r><w:t>c</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p><w:r><w:fldChar w:fldCharType="begin"><w:ffData><w:checkBox><w:checked/></w:checkBox></w:ffData></w:fldChar></w:r><w:r><w:instrText> PAGE </w:instrText></w:r><w:r><w:fldChar w:fldCharType="separate"/></w:r><w:r><w:t>7</w:t></w:r><w:r><w:fldChar w:fldCharType="end"/></w:r></w:p><w:sectPr><w:headerReference w:type="first" r:id="r2"/><w:pgSz w:w="12240" w:h="15840" w:orient="landscape"/><w:pgMar w:top="1440" w:left="720"/><w:cols w:num="2"/></w:sectPr></w:body></w:document>',
+    "word/_rels/document.xml.rels": '<Relationships><Relationship Id="r1" Target="http://x/" TargetMode="External"/><Relationship Id="r2" Target="header1.xml"/></Relationships>',
+    "word/header1.xml": '<w:hdr xmlns:w="u"><w:p><w:r><w:t>top</w:t></w:r></w:p></w:hdr>',
+    "word/styles.xml": '<w:styles xmlns:w="u"><w:style w:type="paragraph" w:styleId="H1" w:default="1"><w:name w:val="heading 1"/><w:basedOn w:val="Base"/><w:pPr><w:outlineLvl w:val="0"/><w:jc w:val="center"/><w:spacing w:before="240"/></w:pPr><w:rPr><w:i/><w:b w:val="0"/><w:rFonts w:ascii="Arial"/></w:rPr></w:style></w:styles>',
+    "word/numbering.xml": '<w:numbering xmlns:w="u"><w:abstractNum w:abstractNumId="9"><w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="upperRoman"/><w:lvlText w:val="%1."/></w:lvl></w:abstractNum><w:num w:numId="5"><w:abstractNumId w:val="9"/><w:lvlOverride w:ilvl="0"><w:startOverride w:val="3"/></w:lvlOverride></w:num></w:numbering>',
+    "word/footnotes.xml": '<w:footnotes xmlns:w="u"><w:footnote w:type="separator" w:id="0"><w:p/></w:footnote><w:footnote w:id="2"><w:p><w:r><w:t>note</w:t></w:r></w:p></w:footnote></w:footnotes>',
+    "word/comments.xml": '<w:comments xmlns:w="u"><w:comment w:id="4" w:author="Ann"><w:p w:paraId="A1"><w:r><w:t>why</w:t></w:r></w:p></w:comment><w:comment w:id="5" w:author="Bob"><w:p w:paraId="A2"><w:r><w:t>so</w:t></w:r></w:p></w:comment></w:comments>',
+    "word/commentsExtended.xml": '<x:ex xmlns:x="u"><x:c x:paraId="A2" x:paraIdParent="A1" x:done="1"/></x:ex>',
+    "word/charts/chart1.xml": '<c:chartSpace xmlns:c="u"><c:chart><c:plotArea><c:barChart><c:ser><c:tx><c:strRef><c:strCache><c:pt><c:v>S</c:v></c:pt></c:strCache></c:strRef></c:tx><c:cat><c:strRef><c:strCache><c:pt><c:v>p</c:v></c:pt></c:strCache></c:strRef></c:cat><c:val><c:numRef><c:numCache><c:pt><c:v>2.5</c:v></c:pt></c:numCache></c:numRef></c:val></c:ser></c:barChart></c:plotArea></c:chart></c:chartSpace>',
+}
+
+
+def test_document_facets(spark):
+    parsed = office.parse(spark.createDataFrame([("a", office._zip(WORD))], "path string, content binary"), "docx").cache()
+    get = {name: office.facet(parsed, "docx", name).collect() for name in ("rows", "runs", "styles", "levels", "notes", "comments", "cells", "bookmarks", "sections", "bands", "fields", "checks", "charts", "losses")}
+    assert [r.text for r in get["rows"]] == ["boldoutinnew", "a", "b", "", "c", "7"]
+    runs = get["runs"]
+    assert (runs[0].text, runs[0].bold, runs[0].size, runs[0].color, runs[0].style) == ("bold", True, 14.0, "FF0000", "Strong")
+    assert [(r.text, r.href, r.anchor, r.comment, r.inserted, r.note_ref) for r in runs[1:5]] == [("out", "http://x/", None, "4", False, None), ("in", None, "here", None, False, None), ("new", None, None, None, True, None), ("", None, None, None, False, "2")]
+    s = get["styles"][0]
+    assert (s.style_id, s.based_on, s.is_default, s.outline_level, s.alignment, s.space_before, s.bold, s.italic, s.font) == ("H1", "Base", True, 0, "center", 12.0, False, True, "Arial")
+    assert [tuple(r)[1:] for r in get["levels"]] == [("5", 0, "upperRoman", "%1.", 3)] and [tuple(r)[1:] for r in get["notes"]] == [("footnote", "2", "note")]
+    assert [(r.id, r.author, r.text, r.parent, r.done) for r in get["comments"]] == [("4", "Ann", "why", None, False), ("5", "Bob", "so", "4", True)]
+    assert [(r.row, r.col, r.span, r.vmerge, r.text, r.header) for r in get["cells"]] == [(0, 0, 2, "restart", "a", True), (0, 2, 1, None, "b", True), (1, 0, 2, "continue", "", False), (1, 2, 1, None, "c", False)]
+    assert get["bookmarks"][0].name == "here" and [tuple(r)[1:] for r in get["bands"]] == [("header", "first", "top")]
+    sec = get["sections"][0]
+    assert (sec.width, sec.landscape, sec.top, sec.left, sec.columns) == (612.0, True, 72.0, 36.0, 2)
+    assert [(r.block, r.code, r.result) for r in get["fields"]] == [(5, "PAGE", "7")] and get["checks"][0].checked
+    assert [(r.kind, r.name, r.categories, r.vals) for r in get["charts"]] == [("bar", "S", ["p"], [2.5])]
+    tables = office.facet(parsed, "docx", "cells")
+    assert document.html_tables(tables, ["table"]).first().html == '<table>\n<tr><th colspan="2" rowspan="2">a</th><th>b</th></tr>\n<tr><td>c</td></tr>\n</table>'
+    assert document.markdown_tables(tables, ["table"]).first().markdown == "| a |  | b |\n| --- | --- | --- |\n|  |  | c |"
+
+
 def test_read_folder(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(office.write_xlsx(CELLS))
     (tmp_path / "b.docx").write_bytes(office.write_docx([{"seq": 0, "style": "Title", "text": "T"}, {"seq": 1, "text": "body"}]))
