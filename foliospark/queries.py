@@ -83,8 +83,12 @@ def f_large_small(spark, sf_dir):
 
 @register("""SELECT s_suppkey, s_nationkey, CAST(rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS INTEGER) AS rank_down, CAST(rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal) AS INTEGER) AS rank_up FROM supplier""")
 def f_rank(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    return s.select("s_suppkey", "s_nationkey", statistics.rank_of(F.col("s_acctbal"), ["s_nationkey"]).alias("rank_down"), statistics.rank_of(F.col("s_acctbal"), ["s_nationkey"], True).alias("rank_up"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    out = s
+    for name, ascending in (("rank_down", False), ("rank_up", True)):
+        places = statistics.ranks(s, "s_acctbal", ["s_nationkey"], ascending, name).withColumnRenamed("s_acctbal", "_key")
+        out = statistics.joined(out, places, ["s_nationkey"], key=F.col("s_acctbal"))
+    return out.select("s_suppkey", "s_nationkey", F.col("rank_down").cast("int").alias("rank_down"), F.col("rank_up").cast("int").alias("rank_up"))
 
 
 @register("""SELECT l_returnflag, CASE WHEN n > 1 THEN l_quantity END AS mode FROM (SELECT l_returnflag, l_quantity, n, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, f) AS k FROM

@@ -41,6 +41,28 @@ def x_styles(spark, sf_dir):
     return cells.join(styles.withColumnRenamed("idx", "style"), ["path", "style"]).select("path", "row", "col", "num", "num_fmt", "bold", "font", "size")
 
 
+@register("""SELECT CAST(conv_id AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq, CASE WHEN role = 'user' THEN 'Heading1' END AS style, regexp_replace(text, '[\x00-\x08]', '', 'g') AS text FROM conversations""")
+def x_paragraphs(spark, sf_dir):
+    """A document a conversation is written and read back."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("seq"), F.when(F.col("role") == "user", "Heading1").alias("style"), "text")
+    parsed = office.parse(office.to_files(turns, "path", "docx"), "docx")
+    return office.facet(parsed, "docx", "rows").select("path", "seq", "style", "text")
+
+
+_PLAIN = "regexp_replace(text, '[^ -~]', '?', 'g')"
+
+
+@register(f"""SELECT conv_id AS doc_id, CAST(k // 52 AS INTEGER) AS page, string_agg(line, chr(10) ORDER BY turn) AS text FROM (SELECT conv_id, turn, left({_PLAIN}, 40) AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations) WHERE trim(line) <> '' GROUP BY ALL""")
+def x_pdf_lines(spark, sf_dir):
+    """A PDF a conversation is written, 52 lines a page, and its lines are made out again from the runs."""
+    shown = F.substring(F.regexp_replace("text", "[^ -~]", "?"), 1, 40)  # the width of a line, so that none is wrapped
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("seq"), shown.alias("text"))
+    runs = office.facet(office.parse(office.to_files(turns, "path", "pdf"), "pdf"), "pdf", "rows")
+    lines = layout.line_texts(layout.cluster_lines(runs.withColumn("doc_id", F.col("path").cast("bigint")).drop("path").where("trim(text) <> ''")))
+    whole = lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return whole.select("doc_id", "page", "text")
+
+
 # --- sheet operators ------------------------------------------------------------------------
 
 

@@ -479,8 +479,14 @@ def write_docx(blocks: list[dict]) -> bytes:
 
 
 def to_files(rows: DataFrame, by: str, kind: str) -> DataFrame:
-    """(by, content): one written document per value of `by`, ready for any binary sink."""
-    write = {"xlsx": write_xlsx, "docx": write_docx}[kind]
+    """(by, content): one written document per value of `by`, ready for any binary sink. kind: xlsx, docx or pdf (plain text)."""
+
+    def write_pdf(blocks: list[dict]) -> bytes:
+        from .pdf import write_text
+
+        return write_text("\n".join(b["text"] or "" for b in sorted(blocks, key=lambda b: b["seq"])))
+
+    write = {"xlsx": write_xlsx, "docx": write_docx, "pdf": write_pdf}[kind]
     key = rows.schema[by].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -542,3 +542,46 @@ def pdf_runs(data: bytes) -> tuple[list[dict], list[dict]]:
         if b"Do" in content and len(out) == before:
             losses.append({"severity": "dropped", "feature": "images", "detail": f"page {n} has no text"})
     return out, losses
+
+
+# --- plain text as a PDF --------------------------------------------------------------------
+
+PAGE, MARGIN, SIZE, LEADING = (595, 842), 56, 11, 14
+
+
+def write_text(text: str) -> bytes:
+    """A PDF of plain text in one standard font, a paragraph's line a line, wrapped by width; what the font lacks becomes a question mark.
+
+    A form feed starts a new page. The same text gives the same bytes.
+    """
+    room = int((PAGE[0] - 2 * MARGIN) / (0.5 * SIZE))
+    per_page = int((PAGE[1] - 2 * MARGIN) / LEADING)
+    pages: list[list[str]] = []
+    for part in text.split("\f"):
+        lines = [w for line in part.split("\n") for w in _wrapped(line, room)]
+        pages += [lines[k : k + per_page] for k in range(0, len(lines), per_page)] or [[]]
+    objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[%s]/Count %d>>" % (b" ".join(b"%d 0 R" % (4 + 2 * k) for k in range(len(pages))), len(pages)), b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding>>"]
+    for k, lines in enumerate(pages):
+        shown = b"".join(b"(%s) Tj T* " % re.sub(rb"([\\()])", rb"\\\1", x.encode("cp1252", "replace")) for x in lines)
+        body = zlib.compress(b"BT /F 11 Tf %d TL %d %d Td %sET" % (LEADING, MARGIN, PAGE[1] - MARGIN - SIZE, shown))
+        objects.append(b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 %d %d]/Resources<</Font<</F 3 0 R>>>>/Contents %d 0 R>>" % (*PAGE, 5 + 2 * k))
+        objects.append(b"<</Length %d/Filter/FlateDecode>>\nstream\n" % len(body) + body + b"\nendstream")
+    out, places = bytearray(b"%PDF-1.4\n"), []
+    for k, body in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n" % k + body + b"\nendobj\n"
+    start = len(out)
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % at for at in places)
+    out += b"trailer\n<</Size %d/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, start)
+    return bytes(out)
+
+
+def _wrapped(line: str, room: int) -> list[str]:
+    """The line in parts of at most `room` characters, cut at blanks where there are any."""
+    out = []
+    while len(line) > room:
+        cut = line.rfind(" ", 1, room + 1)
+        cut = cut if cut > 0 else room
+        out.append(line[:cut])
+        line = line[cut + 1 :] if line[cut : cut + 1] == " " else line[cut:]
+    return [*out, line]

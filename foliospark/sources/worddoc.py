@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 from .office import Package, Refused, _attr, _child, _local, _run_text, _runs, docx_blocks
-from .workbook import properties
+from .workbook import charts, properties
 
 _LOOK = "bold boolean, italic boolean, underline boolean, strike boolean, size double, font string, color string, highlight string, vert_align string"
 FACETS = {
@@ -165,21 +165,6 @@ def _sections(body: ET.Element) -> Iterator[tuple[str, dict]]:
         yield "sections", {"seq": seq, "width": _points(_value(size, "w")), "height": _points(_value(size, "h")), "landscape": _value(size, "orient") == "landscape", **{side: _points(_value(edge, side)) for side in ("top", "right", "bottom", "left")}, "columns": int(columns) if columns and columns.isdigit() else 1, "kind": _value(_child(s, "type")) or "nextPage"}
 
 
-def charts(package: Package) -> Iterator[tuple[str, dict]]:
-    """The series of every chart part, from their cached values."""
-    for part in sorted(n for n in package.names if "/charts/chart" in n and n.endswith(".xml")):
-        root = package.xml(part)
-        plot = next((x for x in root.iter() if _local(x.tag) == "plotArea"), None) if root is not None else None
-        number = 0
-        for kind in plot if plot is not None else ():
-            for ser in (x for x in kind if _local(x.tag) == "ser"):
-                points = lambda *names: [p for n in names if (holder := _child(ser, n)) is not None for p in holder.iter() if _local(p.tag) == "pt"]  # noqa: E731, B023
-                text = lambda p: "".join(v.text or "" for v in p if _local(v.tag) == "v")
-                title = _child(ser, "tx")
-                yield "charts", {"part": part, "series": number, "kind": _local(kind.tag).removesuffix("Chart"), "name": next((v.text for v in title.iter() if _local(v.tag) == "v"), None) if title is not None else None, "categories": [text(p) for p in points("cat", "xVal")], "vals": [_points(text(p), 1.0) for p in points("val", "yVal")]}
-                number += 1
-
-
 def facets(data: bytes) -> Iterator[tuple[str, dict]]:
     """(facet, row) of everything in a document, read once."""
     package = Package(data)

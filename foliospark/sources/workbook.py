@@ -29,6 +29,10 @@ FACETS = {
     "tables": "sheet int, id int, name string, r0 int, c0 int, r1 int, c1 int, header_rows int, totals_rows int, style string, row_stripes boolean, column_stripes boolean, first_column boolean, last_column boolean, columns array<string>",
     "filters": "sheet int, table_id int, column int, vals array<string>, blank boolean",
     "comments": "sheet int, row int, col int, seq int, author string, text string, parent string, id string, done boolean",
+    "charts": "part string, series int, kind string, name string, categories array<string>, vals array<double>",
+    "slicers": "sheet int, name string, caption string, cache string, source string, table_id int, column int",
+    "pivots": "sheet int, name string, cache int, r0 int, c0 int, r1 int, c1 int, first_data_row int, first_data_col int, row_fields array<int>, column_fields array<int>, data array<string>",
+    "drawings": "sheet int, seq int, kind string, name string, target string, r0 int, c0 int, r1 int, c1 int",
     "properties": "name string, value string",
     "losses": "severity string, feature string, detail string",
 }
@@ -144,7 +148,7 @@ def _sheet_rows(k: int, root: ET.Element) -> Iterator[tuple[str, dict]]:
 
 
 def _linked(package: Package, k: int, root: ET.Element, links: dict[str, str]) -> Iterator[tuple[str, dict]]:
-    """What a sheet points at: links, tables, notes."""
+    """What a sheet points at: links, tables, slicers, pivot tables, drawings, notes."""
     for seq, h in enumerate(_children(_child(root, "hyperlinks"), "hyperlink")):
         for c in _corners(h.attrib.get("ref", "")):
             yield "links", {"sheet": k, "seq": seq, "target": links.get(_attr(h, "id") or ""), "location": h.attrib.get("location"), "tooltip": h.attrib.get("tooltip")} | c
@@ -156,6 +160,32 @@ def _linked(package: Package, k: int, root: ET.Element, links: dict[str, str]) -
             for c in _corners(t.attrib.get("ref", "")):
                 yield "tables", {"sheet": k, "id": _int(t, "id"), "name": t.attrib.get("displayName") or t.attrib.get("name"), "header_rows": _int(t, "headerRowCount", 1), "totals_rows": _int(t, "totalsRowCount", 0), "style": None if style is None else style.attrib.get("name"), "row_stripes": _flag(style, "showRowStripes"), "column_stripes": _flag(style, "showColumnStripes"), "first_column": _flag(style, "showFirstColumn"), "last_column": _flag(style, "showLastColumn"), "columns": [unescape(n.attrib.get("name", "")) for n in _children(_child(t, "tableColumns"), "tableColumn")]} | c
             yield from filters(_child(t, "autoFilter"), _int(t, "id"))
+    caches = {}
+    for name in package.names:
+        if name.startswith("xl/slicerCaches/") and (root_s := package.xml(name)) is not None:
+            held = next((x for x in root_s.iter() if _local(x.tag) == "tableSlicerCache"), None)
+            caches[root_s.attrib.get("name")] = {"source": root_s.attrib.get("sourceName"), "table_id": None if held is None else _int(held, "tableId"), "column": None if held is None else _int(held, "column")}
+    for part in links.values():
+        root_x = package.xml(part) if any(x in part for x in ("/slicers/", "/pivotTables/", "/drawings/")) and part.endswith(".xml") else None
+        if root_x is None:
+            continue
+        if "/slicers/" in part:
+            for x in _children(root_x, "slicer"):
+                cache = x.attrib.get("cache")
+                yield "slicers", {"sheet": k, "name": x.attrib.get("name"), "caption": x.attrib.get("caption"), "cache": cache} | caches.get(cache, {})
+        elif "/pivotTables/" in part:
+            place = _child(root_x, "location")
+            fields = lambda name: [_int(f, "x", 0) for f in _children(_child(root_x, name), "field")]  # noqa: E731, B023
+            for c in _corners("" if place is None else place.attrib.get("ref", "")):
+                yield "pivots", {"sheet": k, "name": root_x.attrib.get("name"), "cache": _int(root_x, "cacheId"), "first_data_row": _int(place, "firstDataRow"), "first_data_col": _int(place, "firstDataCol"), "row_fields": fields("rowFields"), "column_fields": fields("colFields"), "data": [f.attrib.get("name", "") for f in _children(_child(root_x, "dataFields"), "dataField")]} | c
+        else:
+            targets = package.relations(part)
+            for seq, anchor in enumerate(x for x in root_x if _local(x.tag).endswith("Anchor")):
+                kind = next((_local(x.tag) for x in anchor if _local(x.tag) in ("pic", "sp", "graphicFrame", "cxnSp", "grpSp")), "none")
+                named = next((x for x in anchor.iter() if _local(x.tag) == "cNvPr"), None)
+                link = next((_attr(x, "embed") or _attr(x, "id") for x in anchor.iter() if _local(x.tag) in ("blip", "chart")), None)
+                at = lambda end, axis: None if (n := _child(anchor, end, axis)) is None or not (n.text or "").strip().isdigit() else int(n.text)  # noqa: E731, B023
+                yield "drawings", {"sheet": k, "seq": seq, "kind": kind, "name": None if named is None else named.attrib.get("name"), "target": targets.get(link or ""), "r0": at("from", "row"), "c0": at("from", "col"), "r1": at("to", "row"), "c1": at("to", "col")}
     persons = {}
     for name in package.names:
         if name.startswith("xl/persons/") and (root_p := package.xml(name)) is not None:
@@ -187,6 +217,28 @@ def properties(package: Package) -> list[dict]:
     return [{"name": _local(n.tag), "value": n.text.strip()} for n in root if n.text and n.text.strip()] if root is not None else []
 
 
+def charts(package: Package) -> Iterator[tuple[str, dict]]:
+    """The series of every chart part, from their cached values."""
+    for part in sorted(n for n in package.names if "/charts/chart" in n and n.endswith(".xml")):
+        root = package.xml(part)
+        plot = next((x for x in root.iter() if _local(x.tag) == "plotArea"), None) if root is not None else None
+        number = 0
+        for kind in plot if plot is not None else ():
+            for ser in _children(kind, "ser"):
+                cached = lambda *names: ["".join(v.text or "" for v in p if _local(v.tag) == "v") for n in names if (holder := _child(ser, n)) is not None for p in holder.iter() if _local(p.tag) == "pt"]  # noqa: E731, B023
+                title = _child(ser, "tx")
+                name = None if title is None else next((v.text for v in title.iter() if _local(v.tag) == "v"), None)
+                yield "charts", {"part": part, "series": number, "kind": _local(kind.tag).removesuffix("Chart"), "name": name, "categories": cached("cat", "xVal"), "vals": [_number(v) for v in cached("val", "yVal")]}
+                number += 1
+
+
+def _number(text: str) -> float | None:
+    try:
+        return float(text)
+    except ValueError:
+        return None
+
+
 def facets(data: bytes) -> Iterator[tuple[str, dict]]:
     """(facet, row) of everything in a workbook, read once."""
     package = Package(data)
@@ -199,6 +251,7 @@ def facets(data: bytes) -> Iterator[tuple[str, dict]]:
     yield from (("losses", x) for x in losses)
     yield from (("styles", s) for s in styles(package, links))
     yield from (("properties", p) for p in properties(package))
+    yield from charts(package)
     for n in _children(_child(book, "definedNames"), "definedName"):
         yield "names", {"name": n.attrib.get("name"), "sheet": _int(n, "localSheetId"), "value": n.text or "", "hidden": _flag(n, "hidden")}
     dates = _flag(_child(book, "workbookPr"), "date1904")

@@ -175,3 +175,15 @@ def test_kinds_side_by_side(spark):
     assert lost == {"x": "xls is no pdf", "d": "doc is no pdf", "p": "ppt is no pdf", "e": "encrypted is no pdf", "l": "unknown is no pdf"}
     office.register_reader("log", "seq int, text string", lambda data: data.startswith(b"LOG"), lambda data: ([{"seq": k, "text": t} for k, t in enumerate(data[4:].decode().split("\n"))], []))
     assert [r.text for r in office.facet(office.parse(files, "log"), "log", "rows").orderBy("seq").collect()] == ["a", "b"]
+
+
+def test_plain_text_round_trip():
+    text = "A (b) \\ line\n\n" + "word " * 60 + "\fsecond page é €\n" + "x" * 200 + "\n" + "\n".join(f"row {k}" for k in range(80))
+    data = pdf.write_text(text)
+    assert data == pdf.write_text(text)
+    runs, losses = pdf.pdf_runs(data)
+    assert losses == [] and max(r["page"] for r in runs) == 2 and runs[0]["text"] == "A (b) \\ line"
+    lines = [r["text"] for r in runs]
+    assert "second page é €" in lines and all(len(x) <= 87 for x in lines) and [x for x in lines if x.startswith("row")] == [f"row {k}" for k in range(80)]
+    assert " ".join(lines[1 : lines.index("second page é €")]).split() == ["word"] * 60
+    assert pdf.pdf_runs(pdf.write_text(""))[0] == []

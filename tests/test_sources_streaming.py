@@ -52,12 +52,17 @@ STYLED = {
     "xl/theme/theme1.xml": '<t><e><clrScheme><dk1><sysClr val="x" lastClr="000000"/></dk1><lt1><sysClr lastClr="FFFFFF"/></lt1><accent1><srgbClr val="4472c4"/></accent1></clrScheme></e></t>',
     "xl/styles.xml": '<styleSheet><numFmts><numFmt numFmtId="164" formatCode="0.0&quot; kg&quot;"/></numFmts><fonts><font><sz val="11"/><name val="Arial"/></font><font><b/><i val="0"/><u/><color theme="4"/></font></fonts><fills><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FFFFEE00"/></patternFill></fill></fills><borders><border/><border><top style="thin"/><left style="none"/></border></borders><cellXfs><xf/><xf numFmtId="164" fontId="1" fillId="1" borderId="1"><alignment horizontal="right" wrapText="1"/></xf><xf numFmtId="14"/></cellXfs></styleSheet>',
     "xl/worksheets/a.xml": '<worksheet xmlns:r="u"><sheetViews><sheetView><pane state="frozen" topLeftCell="B2"/></sheetView></sheetViews><cols><col min="2" max="3" width="9.5" hidden="1" style="2"/></cols><sheetData><row r="1" ht="20" customHeight="1"><c r="A1" s="1"><v>2.25</v></c><c r="B1" s="2"><v>1</v></c></row><row r="3" hidden="1" s="1" customFormat="1"><c r="A3" t="b"><v>1</v></c></row></sheetData><autoFilter ref="A1:B9"><filterColumn colId="1"><filters blank="1"><filter val="x"/></filters></filterColumn></autoFilter><dataValidations><dataValidation type="list" allowBlank="1" sqref="A1:A2 D4"><formula1>"p,q"</formula1></dataValidation></dataValidations><conditionalFormatting sqref="A1:B2"><cfRule type="cellIs" operator="greaterThan" priority="2" dxfId="0"><formula>5</formula></cfRule></conditionalFormatting><hyperlinks><hyperlink ref="A1" r:id="r1" tooltip="tip"/></hyperlinks></worksheet>',
-    "xl/worksheets/_rels/a.xml.rels": '<Relationships><Relationship Id="r1" Target="http://x/" TargetMode="External"/><Relationship Id="r2" Target="../tables/table1.xml"/><Relationship Id="r3" Target="../comments1.xml"/><Relationship Id="r4" Target="../threadedComments/threadedComment1.xml"/></Relationships>',
+    "xl/worksheets/_rels/a.xml.rels": '<Relationships><Relationship Id="r1" Target="http://x/" TargetMode="External"/><Relationship Id="r2" Target="../tables/table1.xml"/><Relationship Id="r3" Target="../comments1.xml"/><Relationship Id="r4" Target="../threadedComments/threadedComment1.xml"/><Relationship Id="r5" Target="../slicers/slicer1.xml"/><Relationship Id="r6" Target="../pivotTables/pivotTable1.xml"/><Relationship Id="r7" Target="../drawings/drawing1.xml"/></Relationships>',
     "xl/worksheets/b.xml": "<worksheet/>",
     "xl/tables/table1.xml": '<table id="7" name="T" displayName="T" ref="A1:B3" totalsRowCount="1"><autoFilter ref="A1:B2"><filterColumn colId="0"><filters><filter val="2.25"/></filters></filterColumn></autoFilter><tableColumns><tableColumn name="a_x000A_b"/><tableColumn name="c"/></tableColumns><tableStyleInfo name="TableStyleMedium2" showRowStripes="1"/></table>',
     "xl/comments1.xml": '<comments><authors><author>Ann</author></authors><commentList><comment ref="A1" authorId="0"><text><t>old</t></text></comment><comment ref="B2" authorId="0"><text><r><t>no</t></r><r><t>te</t></r></text></comment></commentList></comments>',
     "xl/threadedComments/threadedComment1.xml": '<ThreadedComments><threadedComment ref="A1" personId="p" id="1"><text>first</text></threadedComment><threadedComment ref="A1" personId="p" id="2" parentId="1" done="1"><text>reply</text></threadedComment></ThreadedComments>',
     "xl/persons/person.xml": '<personList><person displayName="Bob" id="p"/></personList>',
+    "xl/slicers/slicer1.xml": '<slicers><slicer name="S" cache="C" caption="Sizes"/></slicers>',
+    "xl/slicerCaches/slicerCache1.xml": '<slicerCacheDefinition name="C" sourceName="c"><extLst><ext><tableSlicerCache tableId="7" column="2"/></ext></extLst></slicerCacheDefinition>',
+    "xl/pivotTables/pivotTable1.xml": '<pivotTableDefinition name="P" cacheId="3"><location ref="D1:F9" firstDataRow="1" firstDataCol="1"/><rowFields><field x="0"/></rowFields><colFields><field x="-2"/></colFields><dataFields><dataField name="Sum of v"/></dataFields></pivotTableDefinition>',
+    "xl/drawings/drawing1.xml": '<d><twoCellAnchor><from><col>1</col><row>2</row></from><to><col>3</col><row>4</row></to><pic xmlns:r="u"><nvPicPr><cNvPr name="Pic"/></nvPicPr><blip r:embed="r1"/></pic></twoCellAnchor></d>',
+    "xl/drawings/_rels/drawing1.xml.rels": '<Relationships><Relationship Id="r1" Target="../media/a.png"/></Relationships>',
     "docProps/core.xml": "<cp><title> T </title><creator>me</creator><subject/></cp>",
 }
 
@@ -65,7 +70,11 @@ STYLED = {
 def test_workbook_facets(spark):
     files = spark.createDataFrame([("a", office._zip(STYLED)), ("bad", b"nothing")], "path string, content binary")
     parsed = office.parse(files, "xlsx").cache()
-    get = {name: office.facet(parsed, "xlsx", name).where("path = 'a'") for name in ("cells", "styles", "sheets", "names", "rows", "columns", "validations", "rules", "links", "tables", "filters", "comments", "properties")}
+    get = {name: office.facet(parsed, "xlsx", name).where("path = 'a'") for name in ("cells", "styles", "sheets", "names", "rows", "columns", "validations", "rules", "links", "tables", "filters", "comments", "properties", "slicers", "pivots", "drawings")}
+    assert [tuple(r)[1:] for r in get["slicers"].collect()] == [(0, "S", "Sizes", "C", "c", 7, 2)]
+    pivot = get["pivots"].first()
+    assert (pivot.name, pivot.cache, pivot.r0, pivot.c1, pivot.row_fields, pivot.column_fields, pivot.data) == ("P", 3, 0, 5, [0], [-2], ["Sum of v"])
+    assert [tuple(r)[1:] for r in get["drawings"].collect()] == [(0, 0, "pic", "Pic", "xl/media/a.png", 2, 1, 4, 3)]
     style = get["styles"].where("idx = 1").first()
     assert (style.num_fmt, style.bold, style.italic, style.underline, style.color, style.fill, style.border_top, style.border_left, style.horizontal, style.wrap) == ('0.0" kg"', True, False, True, "4472C4", "FFEE00", "thin", None, "right", True)
     assert [(r.sheet, r.state, r.freeze, r.auto_filter, r.date1904) for r in get["sheets"].orderBy("sheet").collect()] == [(0, "visible", "B2", "A1:B9", True), (1, "hidden", None, None, True)]
