@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import connected_components, documents, free_name, slices, stage, unstage, utf8
 
-RADIUS, BUCKET, SMALL = 3, 4096, 8
+RADIUS, BUCKET, SMALL = 3, 16384, 8
 _ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -115,7 +115,12 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, radius: int) -> list[tuple[np.
 
 
 def _match(batches: Iterator[pa.RecordBatch], radius: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows (mask, masked, fp) sorted by (mask, masked) to links (a, b, null), or (fp, null, mask) of too large buckets."""
+    """Rows (mask, masked, fp) sorted by (mask, masked) to links (a, b, null), or (fp, null, finer mask) of too large buckets."""
+
+    def dealt_anew(fp: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
+        kinds, place = np.unique(mask, return_inverse=True)
+        finer = np.array([[_signed(f) for f in finer_masks(int(m) & (2**64 - 1), radius)] for m in kinds.tolist()], np.int64)
+        return rows(np.repeat(fp, radius + 1), none(len(fp) * (radius + 1)), finer[place].reshape(-1))
 
     def rows(a, b, mask):
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), b if isinstance(b, pa.Array) else pa.array(b.view(np.int64)), mask if isinstance(mask, pa.Array) else pa.array(mask)], names=["a", "b", "mask"])
@@ -133,7 +138,7 @@ def _match(batches: Iterator[pa.RecordBatch], radius: int, limit: int) -> Iterat
         if hot is not None:
             same = (mask == hot[0]) & (masked == hot[1])
             if same.any():
-                yield rows(fp[same], none(int(same.sum())), mask[same])
+                yield dealt_anew(fp[same], mask[same])
             carry = [c[~same] for c in carry]
             mask, masked, fp = carry
         if not len(fp):
@@ -144,7 +149,7 @@ def _match(batches: Iterator[pa.RecordBatch], radius: int, limit: int) -> Iterat
         over = (sizes > limit) & (np.array([64 - (int(m) & (2**64 - 1)).bit_count() for m in mask[edge]]) > 12)
         big = over[group - 1]
         if big.any():
-            yield rows(fp[big], none(int(big.sum())), mask[big])
+            yield dealt_anew(fp[big], mask[big])
         last = group == group[-1]
         hot = (mask[-1], masked[-1]) if over[-1] else None
         whole = ~big & (~last if batch is not None else True)
@@ -172,9 +177,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, bucket: int = B
         hot = rounds[-1].where("mask is not null")
         if hot.isEmpty():
             return rounds
-        fixed = [r[0] for r in hot.select("mask").distinct().collect()]  # at most tables x blocks**rounds
-        finer = F.create_map(*[x for m in fixed for x in (F.lit(m), F.array(*[F.lit(_signed(f)) for f in finer_masks(m & (2**64 - 1), radius)]))])
-        todo = hot.select(F.col("a").alias("fp"), F.explode(finer[F.col("mask")]).alias("mask")).distinct()
+        todo = hot.select(F.col("a").alias("fp"), "mask").distinct()
 
 
 def fingerprint_components(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -12,9 +13,9 @@ def low(s):
     return re.sub("[A-Z]", lambda m: m[0].lower(), s)
 
 
-def brute_fingerprint(text):
+def brute_fingerprint(text, size=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", low(text or ""))
-    shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    shingles = [" ".join(words[k : k + size]) for k in range(len(words) - size + 1)] or ([" ".join(words)] if words else [])
     values = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > len(values))
 
@@ -47,27 +48,29 @@ def test_matches_brute_force(docs, rows):
     assert sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in got), key=repr) == want
 
 
-def test_masks_cover_every_pair_in_the_radius():
-    masks = simhash.covering_masks()
+@pytest.mark.parametrize("radius", [1, 3, 6])
+def test_masks_cover_every_pair_in_the_radius(radius):
+    masks = simhash.covering_masks(radius)
     rng = random.Random(3)
-    assert len(masks) == 15
+    assert len(masks) == 2 ** (radius + 1) - 1
     for _ in range(2000):
-        flip = sum(1 << b for b in rng.sample(range(64), 3))
+        flip = sum(1 << b for b in rng.sample(range(64), radius))
         assert any(flip & m == 0 for m in masks)
-        fine = simhash.finer_masks(masks[0])
+        fine = simhash.finer_masks(masks[0], radius)
         free = [b for b in range(64) if not masks[0] >> b & 1]
-        flip = sum(1 << b for b in rng.sample(free, 3))
+        flip = sum(1 << b for b in rng.sample(free, radius))
         assert any(flip & m == 0 for m in fine)
 
 
-def test_crowded_buckets_lose_no_link(spark):
+@pytest.mark.parametrize("radius", [2, 3])
+def test_crowded_buckets_lose_no_link(spark, radius):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(3)]
     fps = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(150)}
     df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long").repartition(3)
-    links = [(r.a % 2**64, r.b % 2**64) for part in simhash.fingerprint_links(df, bucket=16) for r in part.where("mask is null").collect()]
-    assert all((a ^ b).bit_count() <= 3 for a, b in links)
-    want = components(fps)
+    links = [(r.a % 2**64, r.b % 2**64) for part in simhash.fingerprint_links(df, radius, bucket=16) for r in part.where("mask is null").collect()]
+    assert all((a ^ b).bit_count() <= radius for a, b in links)
+    want = components(fps, radius)
     parent = {f: f for f in fps}
 
     def find(x):
