@@ -131,6 +131,34 @@ def test_quality_base_columns(spark, docs, rows, no_docs):
     assert all(r.kept != r.base_failed for r in quality.judge(docs, keep_all).collect())
 
 
+def test_quality_verdicts_match_brute_force(spark, docs):
+    """Each document's score by walking every tree node by node from its own statistics."""
+    labels = spark.createDataFrame([(k, int(k % 5 != 0), 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    model = quality.learn(docs, labels)
+    assert len(model.roots)
+    scores = {}
+    for r in docs.select("doc_id", "text").collect():
+        x, total = quality.statistics([(r.text or "").encode()])[1][0], model.bias
+        for at in model.roots.tolist():
+            while model.left[at] != at:
+                at = int(model.left[at] if x[model.feature[at]] <= model.cut[at] else model.right[at])
+            total += model.value[at]
+        scores.setdefault(r.doc_id, []).append(1 / (1 + np.exp(-total)))
+    for r in quality.judge(docs, model).collect():
+        assert any(abs(r.score - s) < 1e-9 for s in scores[r.doc_id]) and r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
+
+
+def test_quality_on_labels_not_learned_from(spark):
+    """Junk is told from prose it has not seen."""
+    rng = random.Random(4)
+    prose, junk = TEXTS["en"].split(), "BUY #### now!!! $$$ 99 CLICK *** &&& win |||".split()
+    rows = [(k, " ".join(rng.choice(prose if k % 2 else junk) for _ in range(40))) for k in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    got = quality.judge(table.where("doc_id >= 200"), quality.learn(table, labels)).collect()
+    assert np.mean([(r.score >= quality.THRESHOLD) == bool(r.doc_id % 2) for r in got]) > 0.97
+
+
 def test_trees_are_monotonic_and_learn():
     rng = np.random.default_rng(2)
     x = rng.random((2000, 3))

@@ -144,6 +144,46 @@ def test_best_fit_picks_the_fullest_that_fits_and_closes_the_fullest():
     assert bins.place(4) == (2, 5) and bins.place(10) == (4, 0)
 
 
+class PlainBestFit:
+    """Every open bin looked at: the fullest that fits, else a new one, closing the fullest where there are too many."""
+
+    def __init__(self, size, open_bins):
+        self.size, self.open_bins, self.open, self.next = size, open_bins, {}, 0
+
+    def place(self, length):
+        if length == self.size:
+            self.next += 1
+            return self.next - 1, 0
+        fits = [(self.size - used, b) for b, used in self.open.items() if self.size - used >= length]
+        if fits:
+            tightest = min(fits)[0]
+            b = next(b for b in reversed(self.open) if self.size - self.open[b] == tightest)
+        else:
+            if len(self.open) >= self.open_bins:
+                most = max(self.open.values())
+                del self.open[next(b for b in reversed(self.open) if self.open[b] == most)]
+            b, self.open[self.next], self.next = self.next, 0, self.next + 1
+        used = self.open.pop(b)
+        if used + length < self.size:
+            self.open[b] = used + length
+        return b, used
+
+
+@pytest.mark.parametrize(("size", "open_bins"), [(10, 1), (16, 3), (64, 20)])
+def test_best_fit_matches_brute_force(size, open_bins):
+    rng = random.Random(size)
+    fast, plain = packing.BestFit(size, open_bins), PlainBestFit(size, open_bins)
+    lengths = [rng.choice([rng.randint(1, size), rng.randint(1, max(1, size // 4))]) for _ in range(3000)]
+    assert [fast.place(n) for n in lengths] == [plain.place(n) for n in lengths]
+
+
+def test_packing_fills_sequences(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, " ".join("word" for _ in range(rng.randint(1, 700)))) for k in range(3000)], "doc_id long, text string").repartition(2)
+    got = packing.pack(docs, PATH, with_ids=False).selectExpr("sum(length) as n", "count(distinct sequence_id) as sequences").first()
+    assert got.sequences <= 1.03 * -(-got.n // 2048)
+
+
 def brute_count(word, pieces):
     n = at = 0
     longest = max(map(len, pieces), default=1)
