@@ -313,12 +313,30 @@ def d_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.safe_link(F.col("url")).alias("link"))
 
 
-@register("""SELECT n_nationkey, CASE WHEN n_regionkey > 2 THEN least(n_regionkey + 1, 6) WHEN n_nationkey % 3 = 0 THEN least(n_nationkey % 9 + 1, 6) WHEN n_nationkey % 3 = 1 THEN 1 END AS level FROM nation""")
+@register("""SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN least(length(text) % 9 + 1, 6) WHEN turn % 4 = 1 THEN least(length(text) % 9 + 1, 6) WHEN turn % 4 = 2 THEN 1 END AS level, CASE WHEN length(text) >= 1.5 * m THEN 0 WHEN length(text) >= 1.25 * m THEN 1 END AS by_size FROM conversations JOIN (SELECT conv_id, median(length(text)) AS m FROM conversations GROUP BY 1) USING (conv_id)""")
 def d_headings(spark, sf_dir):
-    key = F.col("n_nationkey")
-    style = F.when(key % 3 == 0, F.concat(F.lit("heading "), (key % 9 + 1).cast("string"))).when(key % 3 == 1, "Title").otherwise("Normal")
-    outline = F.when(F.col("n_regionkey") > 2, F.col("n_regionkey"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", tx.heading_level(outline, style).alias("level"))
+    """Levels from outlines, from styles' names, and from sizes beside the document's median."""
+    turns = table(spark, sf_dir, "conversations")
+    n, kind = F.length("text"), F.col("turn") % 4
+    median = turns.groupBy("conv_id").agg(F.median(n).alias("m"))
+    outline = F.when(kind == 0, n % 9)
+    style = F.when(kind == 1, F.concat(F.lit("heading "), (n % 9 + 1).cast("string"))).when(kind == 2, "Title").otherwise("Normal")
+    return turns.join(median, "conv_id").select("conv_id", "turn", tx.heading_level(outline, style).alias("level"), tx.heading_by_size(n, F.col("m")).alias("by_size"))
+
+
+@register(r"""SELECT doc_id, NOT regexp_matches(coalesce(text, ''), '[^\s\x{00A0}\x{200B}-\x{200D}\x{2060}\x{FEFF}]') AS blank, replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;') AS escaped, source = 'a' OR starts_with(source, 'a.') AS inside, replace(coalesce(source, ''), 'e', 'e' || chr(10)) AS decoded FROM documents""")
+def t_text_tools(spark, sf_dir):
+    """Blank texts, markup, feature prefixes and escaped characters."""
+    t, source = F.coalesce("text", F.lit("")), F.coalesce("source", F.lit(""))
+    coded = F.replace(source, F.lit("e"), F.lit("e_x000A_"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.is_blank(t).alias("blank"), tx.escape_html(t).alias("escaped"), tx.within_feature(F.col("source"), "a").alias("inside"), tx.decode_xstring(coded).alias("decoded"))
+
+
+@register("""SELECT p_brand, floor(lo / step) * step AS low, ceil(hi * 1.05 / step) * step AS high, step FROM (SELECT *, CASE WHEN f < 1.5 THEN 1 WHEN f < 3 THEN 2 WHEN f < 7 THEN 5 ELSE 10 END * unit AS step FROM (SELECT *, (hi - lo) / 5 / unit AS f FROM (SELECT *, power(10, floor(log10((hi - lo) / 5))) AS unit FROM (SELECT p_brand, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1))))""")
+def g_nice_scale(spark, sf_dir):
+    ends = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
+    axis = grid.nice_scale(F.col("lo"), F.col("hi"))
+    return ends.select("p_brand", axis["min"].alias("low"), axis["max"].alias("high"), axis["step"].alias("step"))
 
 
 #: Special characters are escaped everywhere, and a mark or number that would start a block at the front.
@@ -366,10 +384,10 @@ def d_numbering(spark, sf_dir):
     return document.number_lists(items).select(F.col("doc_id").alias("conv_id"), F.col("seq").alias("turn"), F.get("counters", F.lit(0)).cast("int").alias("top"), F.get("counters", F.lit(1)).cast("int").alias("below"))
 
 
-@register("""SELECT doc_id, md5(coalesce(text, '')) AS md5, sha256(coalesce(text, '')) AS sha256 FROM documents""")
+@register("""SELECT doc_id, md5(coalesce(text, '')) AS md5, sha1(coalesce(text, '')) AS sha1, sha256(coalesce(text, '')) AS sha256 FROM documents""")
 def h_content_hash(spark, sf_dir):
     t = F.coalesce("text", F.lit("")).cast("binary")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("md5"), F.sha2(t, 256).alias("sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("md5"), F.sha1(t).alias("sha1"), F.sha2(t, 256).alias("sha256"))
 
 
 # --- layout ---------------------------------------------------------------------------------

@@ -49,6 +49,13 @@ def x_paragraphs(spark, sf_dir):
     return office.facet(parsed, "docx", "rows").select("path", "seq", "style", "text")
 
 
+@register("""SELECT CAST(conv_id AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq, 1 AS level, text FROM conversations QUALIFY role = 'user'""")
+def x_outline(spark, sf_dir):
+    """The outline of written and reread documents whose users' turns are headings."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("seq"), F.when(F.col("role") == "user", "Heading1").alias("style"), "text")
+    return office.outline(office.facet(office.parse(office.to_files(turns, "path", "docx"), "docx"), "docx", "rows"))
+
+
 _PLAIN = "regexp_replace(text, '[^ -~]', '?', 'g')"
 
 
