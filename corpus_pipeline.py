@@ -15,6 +15,8 @@ from foliospark.llm.tokens import default_path
 
 #: A text less like every learned language than this is rejected; unrelated letter vectors stay near 0.
 MIN_LANGUAGE_SCORE = 0.05
+#: Near-duplicates differ in at most so many of 64 bits (a similarity of over 0.9) of fingerprints over five words.
+NEAR_RADIUS, NEAR_SHINGLE = 3, 5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: the least doc_id."""
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, NEAR_RADIUS, NEAR_SHINGLE)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

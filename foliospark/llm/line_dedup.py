@@ -43,10 +43,10 @@ from .common import connected_components, documents, slices, stage, unstage
 from .repeats import bucket_of, make_blocks
 
 SHINGLE, BANDS, ROWS, THRESHOLD, SMALL, LARGE = 5, 20, 6, 0.8, 16, 4096
-CHARS = 2 << 20  # of a block; a longer line is one by itself
+CHARS = 1 << 20  # of a block; a longer line is one by itself
 CACHED = 1 << 15  # characters whose shingles are numbered at a time
 BLOCK_BYTES = 2 << 20
-PACK, HELD = 1 << 21, 1 << 22  # entries that a task sends on, and holds of one bucket, at a time
+PACK, HELD = 1 << 18, 1 << 21  # entries that a task sends on, and holds of one bucket, at a time
 BUCKET_BYTES, BUCKET_KEYS = 16 << 20, 1 << 18  # of text and of band keys that a bucket is for
 _INDEX_BITS = 26  # of a line id; the block is above
 _MIX = np.random.default_rng(11).integers(0, 2**31, 64, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -328,15 +328,14 @@ def shingle_numbers(lines: list[str], size: int = SHINGLE, dense: bool = True, a
     text = "".join(lines)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     alphabet = _alphabet(text) if alphabet is None else alphabet
-    rank = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 1, np.int64)
-    rank[alphabet] = np.arange(len(alphabet))
-    chars = rank[codes]
+    rank = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 1, np.int32)
+    rank[alphabet] = np.arange(1, len(alphabet) + 1)  # 0 stands past a line's end
+    full = np.concatenate([rank[codes], np.zeros(size, np.int32)])
     base, lengths = len(alphabet) + 1, np.fromiter(map(len, lines), np.int64, len(lines))
     ends = np.cumsum(lengths)
     count = np.maximum(lengths - size + 1, 1)
-    line = np.repeat(np.arange(len(lines)), count)
+    line = np.repeat(np.arange(len(lines), dtype=np.int32), count)
     at = (ends - lengths - np.cumsum(count) + count)[line] + np.arange(len(line))
-    full = np.concatenate([chars + 1, np.zeros(size, np.int64)])
     numbers, top = np.zeros(len(line), np.int64), 1
     for k in range(size):  # characters past the line's end count as none
         if top > 2**62 // base:
@@ -350,7 +349,9 @@ def shingle_numbers(lines: list[str], size: int = SHINGLE, dense: bool = True, a
         first = np.cumsum(count) - count
         parts = [np.unique(numbers[x : x + n]) for x, n in zip(first.tolist(), count.tolist(), strict=True)]
         return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
-    both = np.sort(line * top + numbers)
+    numbers += line * np.int64(top)
+    numbers.sort()
+    both = numbers
     both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
     starts = np.searchsorted(both, np.arange(len(lines) + 1) * top)
     return both - np.repeat(np.arange(len(lines)) * top, np.diff(starts)), starts

@@ -49,8 +49,8 @@ def brute(rows):
     for i, text, n, gone in brute_lines(rows, line_dedup.THRESHOLD):
         if n > gone:
             kept.append((i, text))
-    fps = [brute_fingerprint(t) for _, t in kept]
-    root, best = components(fps), {}
+    fps = [brute_fingerprint(t, corpus_pipeline.NEAR_SHINGLE) for _, t in kept]
+    root, best = components(fps, corpus_pipeline.NEAR_RADIUS), {}
     for (i, t), f in zip(kept, fps, strict=True):
         if root[f] not in best or i < best[root[f]][0]:
             best[root[f]] = (i, t)
