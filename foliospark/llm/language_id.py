@@ -84,10 +84,11 @@ def grams_of(parts: list[str], after: np.ndarray, before: np.ndarray) -> tuple[n
     codes, cut, letter, own = codes[keep], cut[keep], letter[keep], own[keep]
     doc = np.cumsum(cut, dtype=np.int64)
     # Blanks around: a text starts and ends with one (its cut mark serves as both).
-    alphabet, index = np.unique(np.where(letter, codes, 0), return_inverse=True) if len(codes) else (np.zeros(1, np.uint32), np.zeros(0, np.int64))
-    if not len(alphabet) or alphabet[0] != 0:
-        alphabet, index = np.concatenate([[0], alphabet]), index + 1
-    size = len(alphabet)
+    codes = np.where(letter, codes, 0)
+    seen = np.zeros(int(codes.max()) + 1 if len(codes) else 1, bool)
+    seen[codes] = seen[0] = True
+    alphabet, size = np.flatnonzero(seen), int(seen.sum())
+    index = (np.cumsum(seen) - 1)[codes]
     padded = np.concatenate([[0], index, [0]]).astype(np.int64)
     key = (padded[:-2] * size + padded[1:-1]) * size + padded[2:]
     real = (padded[1:-1] > 0) & own  # one gram for each letter: its neighbours and itself
@@ -115,10 +116,8 @@ def encode(texts: list[str], dims: int = DIMENSIONS) -> tuple[np.ndarray, np.nda
             continue
         codes, place = np.unique(grams, return_inverse=True)
         place = place.reshape(grams.shape)
-        order = np.argsort(column, kind="stable") if len(grams) > CHUNK else np.arange(len(column))
-        doc, column = doc[order], column[order]
         for first in range(0, len(grams), CHUNK):
-            some = slice(None) if len(grams) <= CHUNK else slice(*np.searchsorted(column, (first, first + CHUNK)))
+            some = slice(None) if len(grams) <= CHUNK else np.flatnonzero((column >= first) & (column < first + CHUNK))
             used, at = np.unique(place[first : first + CHUNK], return_inverse=True)
             at = at.reshape(-1, GRAM)
             base = np.stack([letter_vector(int(codes[c]), dims) for c in used])
