@@ -52,33 +52,49 @@ _INDEX_BITS = 26  # of a line id; the block is above
 _MIX = np.random.default_rng(11).integers(0, 2**31, 64, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-_SPACE = " \t\r\f\v"
-_SPACES = re.compile(f"[{_SPACE}]+")
-
-
-def _collapsed(line: str) -> str:
-    if "  " in line or "\t" in line or "\r" in line or "\f" in line or "\v" in line:
-        line = _SPACES.sub(" ", line)
-    return line.strip(" ")
+_SPACES = re.compile(rb"[ \t\r\f\v]+")
 
 
 def normal(line: str) -> str:
     """A-Z lower-cased and ASCII white space collapsed; empty if there is nothing else."""
-    return _collapsed(line.encode("utf-8", "replace").lower().decode())
+    return _collapsed(line.encode("utf-8", "replace").lower()).decode()
+
+
+def _has_more_than_blanks(text: bytes) -> bool:
+    return b"  " in text or b"\t" in text or b"\r" in text or b"\f" in text or b"\v" in text
+
 
+def _collapsed(line: bytes) -> bytes:
+    return (_SPACES.sub(b" ", line) if _has_more_than_blanks(line) else line).strip(b" ")
 
-def block_texts(blob: bytes, sizes: list[int], lower: bool = False) -> Iterator[str]:
+
+def block_texts(blob: bytes, sizes: list[int]) -> Iterator[bytes]:
     data, at = zstandard.ZstdDecompressor().decompress(blob), 0
-    data = data.lower() if lower else data
     for n in sizes:
-        yield data[at : at + n].decode("utf-8", "replace")
+        yield data[at : at + n]
         at += n
 
 
-def block_lines(blob: bytes, sizes: list[int]) -> tuple[list[str], list[int]]:
-    """The normalised lines of a block in order, a line's index being its place in its id, and each text's number of them."""
-    of_texts = [[x for line in t.split("\n") if (x := _collapsed(line))] for t in block_texts(blob, sizes, True)]
-    return [x for own in of_texts for x in own], list(map(len, of_texts))
+def text_lines(text: bytes) -> list[bytes]:
+    """A text's normalised lines in order; a line's index among its block's is its place in its id."""
+    lines = text.lower().split(b"\n")
+    if _has_more_than_blanks(text):
+        return [x for line in lines if (x := _collapsed(line))]
+    return [x for line in lines if (x := line.strip(b" "))]
+
+
+def block_lines(blob: bytes, sizes: list[int], at: np.ndarray) -> tuple[list[str], list[int]]:
+    """The normalised lines of a block at these indexes, and each text's number of lines."""
+    counts, out, k, chosen = [], [], 0, at.tolist()
+    place = 0
+    for text in block_texts(blob, sizes):
+        lines = text_lines(text)
+        counts.append(len(lines))
+        while place < len(chosen) and chosen[place] < k + len(lines):
+            out.append(lines[chosen[place] - k].decode("utf-8", "replace"))
+            place += 1
+        k += len(lines)
+    return out, counts
 
 
 def shingle_codes(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -506,17 +522,16 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             for row in batch.to_pylist():
-                first: dict[str, tuple[int, int]] = {}
+                first: dict[bytes, tuple[int, int]] = {}
                 k = 0
-                for place, text in zip(row["orders"], block_texts(row["blob"], row["sizes"], True), strict=True):
-                    for line in text.split("\n"):
-                        if x := _collapsed(line):
-                            if x not in first or place < first[x][0]:
-                                first[x] = place, k
-                            k += 1
+                for place, text in zip(row["orders"], block_texts(row["blob"], row["sizes"]), strict=True):
+                    for x in text_lines(text):
+                        if x not in first or place < first[x][0]:
+                            first[x] = place, k
+                        k += 1
                 if k >= 1 << _INDEX_BITS:
                     raise ValueError(f"a text has over {1 << _INDEX_BITS} lines")
-                both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "replace")) for x in first), np.uint64).reshape(-1, 2)
+                both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, first)), np.uint64).reshape(-1, 2)
                 where = np.array(list(first.values()), np.int64).reshape(-1, 2)
                 yield both[:, 0], both[:, 1], where[:, 0], where[:, 1] + (row["block"] << _INDEX_BITS)
 
@@ -525,8 +540,9 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
 
     def chosen_lines(row: dict, name: str) -> tuple[np.ndarray, list[str], np.ndarray]:
         """The chosen lines' ids, themselves and their documents' order."""
-        (lines, counts), at = block_lines(row["blob"], row["sizes"]), _numbers(row[name])
-        return at + (row["block"] << _INDEX_BITS), [lines[k] for k in at.tolist()], np.repeat(np.array(row["orders"], np.int64), counts)[at]
+        at = _numbers(row[name])
+        lines, counts = block_lines(row["blob"], row["sizes"], at)
+        return at + (row["block"] << _INDEX_BITS), lines, np.repeat(np.array(row["orders"], np.int64), counts)[at]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
@@ -567,8 +583,8 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
                 texts, counts, removed = [], [], []
                 for text in block_texts(row["blob"], row["sizes"]):
                     out, n, gone = [], 0, 0
-                    for line in text.split("\n"):
-                        if not line.strip(_SPACE):
+                    for line in text.split(b"\n"):
+                        if not line or line.isspace():
                             out.append(line)
                             continue
                         n += 1
@@ -577,10 +593,10 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
                         else:
                             gone += 1
                         k += 1
-                    texts.append("\n".join(out))
+                    texts.append(b"\n".join(out))
                     counts.append(n)
                     removed.append(gone)
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], id_type), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=["doc_id", "text", "n_lines", "n_removed"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], id_type), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=["doc_id", "text", "n_lines", "n_removed"])
 
     return _with_lines(blocks.drop("n_bytes", "orders"), owned=owned, gone=gone).mapInArrow(finish, schema)
 
