@@ -164,24 +164,25 @@ def rows_at(runs: DataFrame, ems: float = ROW_DRIFT) -> DataFrame:
 def voted_gutters(lines_of_runs: DataFrame, step: float = VOTE_STEP, votes: int = VOTES) -> DataFrame:
     """(doc_id, page, left, right): places where lines part, by votes.
 
-    runs with line. A sampled x splits a line if it has runs on both sides and none across, and a
-    gutter is x that splits `votes` lines or more and is crossed by fewer than it splits; samples
-    within 1.5 steps of one another are one gutter. Each run votes only where it can matter: the
-    gaps between neighbours and the run itself are expanded to samples, no line meets another.
+    runs with line. A sampled x splits a line if it lies in a gap between its runs, else it crosses
+    it where the line reaches that far; a gutter is x that splits `votes` lines or more and is
+    crossed by fewer than it splits, and samples within 1.5 steps of one another are one gutter.
+    Gaps and lines count by their two ends, summed by place before a page's places are run through.
     """
     w = Window.partitionBy(*_PAGE, "line").orderBy("x", "run_idx")
     reach = F.max("end_x").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = lines_of_runs.withColumn("_reach", reach)
-    samples = lambda a, b: F.when(F.floor(b / step) > F.ceil(a / step), F.sequence(F.ceil(a / step), F.floor(b / step) - 1)).otherwise(F.array().cast("array<bigint>"))
-    split = marked.where(F.col("_reach") < F.col("x")).select(*_PAGE, "line", F.explode(samples(F.col("_reach"), F.col("x"))).alias("k"), F.lit(1).alias("s"), F.lit(0).alias("c"))
-    cross = marked.select(*_PAGE, "line", F.explode(samples(F.col("x"), F.col("end_x"))).alias("k"), F.lit(0).alias("s"), F.lit(1).alias("c"))
-    each = split.union(cross).groupBy(*_PAGE, "line", "k").agg(F.max("s").alias("s"), F.max("c").alias("c"))
-    sums = each.groupBy(*_PAGE, "k").agg(F.sum(F.when(F.col("c") == 0, F.col("s")).otherwise(0)).alias("s"), F.sum("c").alias("c"))
-    good = sums.where((F.col("s") >= votes) & (F.col("c") < F.col("s")))
+    low, high = lambda c: F.ceil(c / step), lambda c: F.floor(c / step)
+    gaps = marked.where(F.col("_reach") < F.col("x")).select(*_PAGE, low(F.col("_reach")).alias("a"), high(F.col("x")).alias("b"), F.lit(1).alias("s"), F.lit(0).alias("e"))
+    reached = marked.groupBy(*_PAGE, "line").agg(low(F.min("x")).alias("a"), high(F.max("end_x")).alias("b")).select(*_PAGE, "a", "b", F.lit(0).alias("s"), F.lit(1).alias("e"))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("k"), F.col("s"), F.col("e")), F.struct(F.col("b").alias("k"), (-F.col("s")).alias("s"), (-F.col("e")).alias("e"))))
+    events = gaps.union(reached).where("b > a").select(*_PAGE, ends.alias("v")).groupBy(*_PAGE, F.col("v.k").alias("k")).agg(F.sum("v.s").alias("s"), F.sum("v.e").alias("e"))
     page = Window.partitionBy(*_PAGE).orderBy("k")
-    new = F.coalesce(F.col("k") - F.lag("k").over(page) > MERGE_STEP, F.lit(True))
-    islands = good.withColumn("_g", F.sum(new.cast("int")).over(page))
-    return islands.groupBy(*_PAGE, "_g").agg((F.min("k") * step).alias("left"), (F.max("k") * step).alias("right")).drop("_g")
+    counted = events.select(*_PAGE, "k", (F.lead("k").over(page) - 1).alias("to"), F.sum("s").over(page).alias("s"), F.sum("e").over(page).alias("e"))
+    good = counted.where((F.col("s") >= votes) & (F.col("e") - F.col("s") < F.col("s")) & F.col("to").isNotNull())
+    new = F.coalesce(F.col("k") - F.lag("to").over(page) > MERGE_STEP, F.lit(True))
+    islands = good.withColumn("_new", new).withColumn("_g", F.sum(F.col("_new").cast("int")).over(page))
+    return islands.groupBy(*_PAGE, "_g").agg((F.min("k") * step).alias("left"), (F.max("to") * step).alias("right")).drop("_g")
 
 
 def tabbed_rows(lines: DataFrame) -> DataFrame:
