@@ -1,7 +1,7 @@
 """Token-id files: documents' ids in ascending doc_id order, range-coded in checked blocks.
 
-The files are Parquet as a container, one row a segment of whole documents (about
-`segment_ids` ids, one document at least): shard and the ids before it in the shard, the
+The files are Parquet as a container, one row a segment of whole documents (`segment_ids` ids to
+twice as many, or all of a smaller shard's; one document at least): shard and the ids before it in the shard, the
 documents' ids and lengths, and the coded payload of `range_coder`. Shards follow one another in doc_id
 order, so a document's global start is its shard's offset plus its place in it; only one
 number a shard reaches the driver.
@@ -39,9 +39,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         counts: list[np.ndarray] = []
         held, id_type = 0, None
 
-        def flush() -> pa.RecordBatch:
-            lengths = np.concatenate(counts)
-            values = [[shard], [before], [names], [lengths.tolist()], [range_coder.encode(np.concatenate(ids))]]
+        def flush(least: int) -> pa.RecordBatch:
+            """A segment of the first documents held that have `least` ids, or of all."""
+            nonlocal names, ids, counts, held, before
+            lengths, every, start = np.concatenate(counts), np.concatenate(ids), before
+            n = min(len(lengths), int(np.searchsorted(np.cumsum(lengths), least)) + 1)
+            size = int(lengths[:n].sum())
+            values = [[shard], [start], [names[:n]], [lengths[:n].tolist()], [range_coder.encode(every[:size])]]
+            names, ids, counts, held, before = names[n:], [every[size:]], [lengths[n:]], held - size, before + size
             types = [pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=["shard", "before", "doc_ids", "lengths", "payload"])
 
@@ -52,12 +57,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             ids.append(some)
             counts.append(n)
             held += len(some)
-            if held >= segment_ids:
-                yield flush()
-                before, held = before + held, 0
-                names, ids, counts = [], [], []
+            while held >= 2 * segment_ids:
+                yield flush(segment_ids)
         if names:
-            yield flush()
+            yield flush(held)
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, f"shard bigint, before bigint, doc_ids array<{kind}>, lengths array<bigint>, payload binary").write.mode("overwrite").option("compression", "none").parquet(path)

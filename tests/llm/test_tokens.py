@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -34,6 +35,58 @@ def test_memo_can_be_emptied(rows):
         assert ids.tolist() == library_ids(t)
 
 
+class Spy:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_reach_the_library_once_wherever_they_stand():
+    """Beside line feeds, other marks and letters outside ASCII, in any combination."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgéß", k=8)) for _ in range(200)]
+    texts = [" ".join(f"{rng.choice(words)}{rng.choice(['.', '!!', ',', ''])}\n{rng.choice(words)}" for _ in range(40)) for _ in range(100)]
+    memo = tokens.Encoder(PATH)
+    memo.tokenizer = Spy(memo.tokenizer)
+    ids, counts = memo.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library_ids(t) for t in texts]
+    assert memo.tokenizer.given < 3 * sum(len(w) + 1 for w in words)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "Zé", "ß", "×", ".", "!?", "'s", "'", " ", "  ", "\n", "\n\n", "\r", "\0", "\x7f", "\x85", "\u3000", "\u2009", "\u1680", "—", "中", "7", "abcdefghijklmno", "#$-"]), max_size=14).map("".join), min_size=1, max_size=4))
+def test_cuts_beside_marks_and_spaces_keep_the_librarys_ids(texts):
+    ids, counts = tokens.encoder(PATH).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library_ids(t) for t in texts]
+
+
+def test_memo_table_tells_equal_hashes_apart(monkeypatch):
+    monkeypatch.setattr(tokens._Table, "mixed", staticmethod(lambda one, two: np.zeros(len(one), np.uint64)))
+    texts = ["a bc def", "bc a def ghij a", "def\0 bc"]
+    ids, counts = tokens.Encoder(PATH).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library_ids(t) for t in texts]
+
+
+def test_coder_holds_the_words_it_writes_alone():
+    ids = np.minimum(np.random.default_rng(2).zipf(1.3, 1 << 20), 5000)
+    tracemalloc.start()
+    data = range_coder.encode(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(range_coder.decode(data), ids)
+    assert peak < 26 << 20
+
+
+def test_coder_grows_its_room():
+    ids = np.random.default_rng(4).integers(0, range_coder.MAX_ID, 60 * 1024)  # more than a word an id
+    assert np.array_equal(range_coder.decode(range_coder.encode(ids)), ids)
+
+
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 3000])
 @pytest.mark.parametrize("top", [1, 3, 300, 60_000])
 def test_coder_round_trip(n, top):
