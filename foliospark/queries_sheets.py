@@ -122,11 +122,12 @@ def s_filtered(spark, sf_dir):
 
 @register(f"""SELECT {_KEYS}, k AS col, CASE k WHEN 0 THEN length(p_name) <= 14 WHEN 1 THEN p_size BETWEEN 5 AND 30 ELSE p_retailprice > 950 END AS valid FROM part, (VALUES (0), (1), (2)) v(k)""")
 def s_validated(spark, sf_dir):
-    rule = "kind string, operator string, formula1 string, formula2 string, allow_blank boolean, r0 int, c0 int, r1 int, c1 int, seq int"
-    end = 1048575
-    rules = spark.createDataFrame([("textLength", "lessThanOrEqual", "14", None, False, 0, 0, end, 0, 0), ("whole", "between", "30", "5", False, 0, 1, end, 1, 1), ("decimal", "greaterThan", "950", None, False, 0, 2, end, 2, 2)], rule)
+    """A rule a column, over all rows that its sheet has."""
+    rule = "kind string, operator string, formula1 string, formula2 string, allow_blank boolean, c0 int, seq int"
+    rules = spark.createDataFrame([("textLength", "lessThanOrEqual", "14", None, False, 0, 0), ("whole", "between", "30", "5", False, 1, 1), ("decimal", "greaterThan", "950", None, False, 2, 2)], rule)
     cells = _part_cells(spark, sf_dir)
-    return sheets.validated(cells, cells.select("sheet").distinct().join(F.broadcast(rules)), by=[]).select("sheet", "row", "col", "valid")
+    windows = cells.groupBy("sheet").agg(F.min("row").alias("r0"), F.max("row").alias("r1"))
+    return sheets.validated(cells, windows.join(F.broadcast(rules)).withColumn("c1", F.col("c0")), by=[]).select("sheet", "row", "col", "valid")
 
 
 @register(f"""SELECT {_KEYS}, p_size * 2e0 AS twice, CASE WHEN p_partkey > 0 THEN coalesce(p_size > lag_size, p_size > 0) END AS over, p_retailprice - first_price AS gap, lag_size IS NULL AND p_partkey > 0 AS alone FROM (SELECT p.*, q.p_size AS lag_size, f.p_retailprice AS first_price FROM part p LEFT JOIN part q ON q.p_brand = p.p_brand AND q.p_partkey = p.p_partkey - 1 JOIN (SELECT p_retailprice FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part WHERE p_brand = 'Brand#11')) f ON TRUE)""")

@@ -26,3 +26,7 @@ def parts(keys):
 
 def test_windows_of_any_length_are_filled_in(spark, tmp_path):
     assert differences(spark, tmp_path, "s_dense", part=parts([0, 1, 5, 63, 64, 700, 60_001, 60_100])) == ([], [])
+
+
+def test_rules_reach_the_last_row_of_any_sheet(spark, tmp_path):
+    assert differences(spark, tmp_path, "s_validated", part=parts([0, 1, 17, 1_048_575, 1_048_576, 1_200_001])) == ([], [])
