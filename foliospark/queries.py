@@ -412,7 +412,7 @@ _WORDS_SQL = "SELECT doc_id, n, w FROM (SELECT doc_id, n, unnest(string_split(l,
 @register(f"""SELECT doc_id, CAST(6.0 + f AS DOUBLE) AS median_font FROM (SELECT doc_id, f, row_number() OVER (PARTITION BY doc_id ORDER BY f) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS c FROM (SELECT doc_id, length(w) % 7 AS f FROM ({_WORDS_SQL}) WHERE trim(w) <> '')) WHERE k = c // 2""")
 def l_median_font(spark, sf_dir):
     """The upper median of font sizes that follow the words' lengths."""
-    return layout.median_font(_runs(spark, sf_dir))
+    return layout.median_font(_runs(spark, sf_dir).where("trim(text) <> ''"))
 
 
 from . import queries_documents, queries_formulas, queries_sheets  # noqa: E402, F401  add their queries

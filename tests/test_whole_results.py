@@ -36,3 +36,8 @@ def test_a_product_beyond_doubles_is_infinite(spark, tmp_path):
     n = 200
     lines = pd.DataFrame({"l_discount": [1e6] * n, "l_linestatus": ["O", ""] * (n // 2), "l_extendedprice": [float(k) for k in range(n)], "l_quantity": [float(k % 50) for k in range(n)], "l_tax": [0.05] * n})
     assert differences(spark, tmp_path, "f_whole_table", lineitem=lines) == ([], [])
+
+
+def test_blank_words_have_no_say_in_the_median_font(spark, tmp_path):
+    texts = ["aaa    bbb    ccc", "", "   ", "a\n\n\nbb ccc", None, "one two  three", " ", "\n"]
+    assert differences(spark, tmp_path, "l_median_font", documents=pd.DataFrame({"doc_id": range(len(texts)), "text": texts})) == ([], [])
