@@ -12,6 +12,8 @@ from ..functions.criteria import wildcard_match
 from .statistics import bucket_of, quantile_cuts
 
 TABLE_ROWS = 4096  # of an approximate lookup's table in one bucket
+FEW_BUCKETS = 64  # of a table that is sent to every task
+LOOKUPS = 1 << 20  # rows that look up in one copy of a bucket
 
 
 def normal_key(df: DataFrame, column: str) -> Column:
@@ -38,8 +40,9 @@ def vlookup_approximate(left: DataFrame, key: str, table: DataFrame, table_key:
 
     The table's rows become spans, each from its key to the next, cut at the keys' quantiles into
     buckets of about TABLE_ROWS rows that carry in the last row before them. A row finds its span
-    by binary search in its bucket's sorted keys: an equi-join on the bucket, whose table side has
-    one row, so equal or crowded keys of `left` may be split among tasks. Null keys find nothing.
+    by binary search in its bucket's sorted keys. A table of at most FEW_BUCKETS is sent to every
+    task; else this is an equi-join on the bucket, of which there is a copy for every LOOKUPS rows
+    counted in it, so no task has all of a crowded one. Null keys find nothing.
     Keys must be numeric and the table's in ascending order, as approximate lookups require.
     """
     keyed = table.select(F.col(table_key).cast("double").alias("_key"), F.struct(*values).alias("_hit")).where("_key is not null")
@@ -60,7 +63,14 @@ def vlookup_approximate(left: DataFrame, key: str, table: DataFrame, table_key:
     middle = lambda s: F.floor((s["low"] + s["high"]) / 2).cast("int")
     halved = lambda s: F.when(s["low"] >= s["high"], s).when(F.get("_keys", middle(s)) <= x, F.struct((middle(s) + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), middle(s).alias("high")))
     place = F.aggregate(steps, none, lambda s, _: halved(s))["low"]
-    found = probe.join(one, "_b", "left").withColumn("_at", place)
+    if len(cuts) < FEW_BUCKETS:
+        met = probe.join(F.broadcast(one), "_b", "left")
+    else:
+        counted = {r["_b"]: r["count"] for r in probe.groupBy("_b").count().collect()}  # one row a bucket
+        copies = F.get(F.lit([-(-counted.get(b, 1) // LOOKUPS) for b in range(len(cuts) + 1)]), F.col("_b"))
+        copied = one.withColumn("_c", F.explode(F.sequence(F.lit(0), copies - 1)))
+        met = probe.withColumn("_c", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), copies).cast("int")).join(copied, ["_b", "_c"], "left")
+    found = met.withColumn("_at", place)
     hit = F.when(F.col("_at") > 0, F.get("_hits", F.col("_at") - 1)).otherwise(F.col("_in"))
     return found.withColumn("_found", F.when(x.isNotNull(), hit)).select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(f"_found.{v}").alias(v) for v in values])
 

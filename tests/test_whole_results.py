@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 
 import __spark_entry__
+from foliospark.operators import lookup
 
 
 def differences(spark, folder, name, **tables):
@@ -46,3 +47,24 @@ def test_blank_words_have_no_say_in_the_median_font(spark, tmp_path):
 def test_a_missing_number_is_small(spark, tmp_path):
     rows = pd.DataFrame({"c_custkey": [1, 2, 3], "c_nationkey": pd.array([3, None, 20], dtype="Int32"), "c_acctbal": [1.5, -2.5, None]})
     assert differences(spark, tmp_path, "f_number_format", customer=rows) == ([], [])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_a_small_table_is_looked_up_without_dealing_the_rows(spark, monkeypatch):
+    left = spark.range(3000).selectExpr("id", "cast(id % 700 as double) as x")
+    table = spark.range(0, 600, 3).selectExpr("cast(id as double) as k", "id as v")
+    want = {(i, (i % 700) // 3 * 3 if i % 700 < 600 else 597) for i in range(3000)}
+    monkeypatch.setattr(lookup, "LOOKUPS", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = lookup.vlookup_approximate(left, "x", table, "k", ["v"])
+        assert "SortMergeJoin" not in plan_of(small)
+        monkeypatch.setattr(lookup, "FEW_BUCKETS", 0)
+        large = lookup.vlookup_approximate(left, "x", table, "k", ["v"], 5)
+        for found in (small, large):
+            assert {(r.id, r.v) for r in found.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
