@@ -298,7 +298,8 @@ def with_references(targets: DataFrame, cells: DataFrame, formulas: Mapping[str,
 
     A reference without $ moves with the target's distance from the origin; one with a sheet's
     name reads that sheet, an unknown name or a place off the grid is #REF!. Every reference is an
-    equi-join with cells(sheet, row, col, kind, num, str, bool, err). A range must be anchored; its
+    equi-join with cells(sheet, row, col, kind, num, str, bool, err); a fixed row of a named sheet,
+    which is one row of cells for all targets, is sent to every task. A range must be anchored; its
     functions see the target's own sheet.
     """
     r0, c0, *_ = parse_cell(origin)
@@ -312,6 +313,10 @@ def with_references(targets: DataFrame, cells: DataFrame, formulas: Mapping[str,
         col = F.lit(c) if fixed_col else F.col("col") + (c - c0)
         at = F.col("sheet") if sheet is None else F.lit(known.get(sheet.lower(), -1))
         held = value.select(F.col("sheet").alias("_s"), F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("_v").alias(name))
+        if sheet is not None and fixed_row:
+            held = F.broadcast(held.where((F.col("_s") == at) & (F.col("_r") == r)))
+        else:
+            held = held.hint("merge")  # a table's size says little of its cells', so it is not left to the planner to send them all
         out = out.join(held, (at == F.col("_s")) & (row == F.col("_r")) & (col == F.col("_c")), "left").drop("_s", "_r", "_c")
         empty = F.named_struct(F.lit("kind"), F.lit("blank"), F.lit("num"), F.lit(None).cast("double"), F.lit("str"), F.lit(None).cast("string"), F.lit("bool"), F.lit(None).cast("boolean"), F.lit("err"), F.lit(None).cast("string")).cast(_BLANK)
         lost = F.named_struct(F.lit("kind"), F.lit("err"), F.lit("num"), F.lit(None).cast("double"), F.lit("str"), F.lit(None).cast("string"), F.lit("bool"), F.lit(None).cast("boolean"), F.lit("err"), F.lit("#REF!")).cast(_BLANK)

@@ -68,3 +68,9 @@ def test_a_small_table_is_looked_up_without_dealing_the_rows(spark, monkeypatch)
             assert {(r.id, r.v) for r in found.collect()} == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cells_that_references_reach_are_not_sent_to_every_task(spark, tmp_path):
+    parts([0, 1, 2, 3, 5]).to_parquet(tmp_path / "part.parquet", index=False)
+    plan = plan_of(__spark_entry__.queries()["s_references"](spark, str(tmp_path)))
+    assert plan.count("SortMergeJoin") >= 2
