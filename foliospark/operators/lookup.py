@@ -47,8 +47,10 @@ def vlookup_approximate(left: DataFrame, key: str, table: DataFrame, table_key:
     """
     keyed = table.select(F.col(table_key).cast("double").alias("_key"), F.struct(*values).alias("_hit")).where("_key is not null")
     lasts = keyed.groupBy("_key").agg(F.max(F.struct("_hit"))["_hit"].alias("_hit")) if all(isinstance(f.dataType, T.AtomicType) for f in table.select(*values).schema) else keyed.groupBy("_key").agg(F.last("_hit").alias("_hit"))
+    few = False  # a number of buckets that is given says nothing of their size
     if buckets is None:
         buckets = max(1, -(-lasts.count() // TABLE_ROWS))
+        few = buckets <= FEW_BUCKETS
     cuts = quantile_cuts(lasts, "_key", buckets) if buckets > 1 else []
     sorted_keys = lasts.groupBy(bucket_of(F.col("_key"), cuts).alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_key", "_hit"))).alias("_rows"))
     every = table.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_b")).join(sorted_keys, "_b", "left")
@@ -63,7 +65,7 @@ def vlookup_approximate(left: DataFrame, key: str, table: DataFrame, table_key:
     middle = lambda s: F.floor((s["low"] + s["high"]) / 2).cast("int")
     halved = lambda s: F.when(s["low"] >= s["high"], s).when(F.get("_keys", middle(s)) <= x, F.struct((middle(s) + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), middle(s).alias("high")))
     place = F.aggregate(steps, none, lambda s, _: halved(s))["low"]
-    if len(cuts) < FEW_BUCKETS:
+    if few:
         met = probe.join(F.broadcast(one), "_b", "left")
     else:
         counted = {r["_b"]: r["count"] for r in probe.groupBy("_b").count().collect()}  # one row a bucket
